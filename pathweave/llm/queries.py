@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import mixing, pii, secrets
+from pathweave.llm import bpe, language, mixing, pii, secrets
 from pathweave.llm.spans import count_of, listed
 
 
@@ -13,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = language.identify(table(spark, sf_dir, "documents"))
+    held_out = ~language.in_training(F.col("doc_id"))
+    return d.select("doc_id", held_out.alias("held_out"), F.col("prediction.lang").alias("lang_pred"), F.col("prediction.score").alias("score"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_history(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secrets.BASE]
@@ -25,6 +35,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame, path: str = BYTE_RANKS) -> DataFrame:
+    d = bpe.decode(bpe.encode(docs, path), path)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.draw(table(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -40,4 +60,4 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op8_source_mixing, op10_pii_sanitisation)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_byte_bpe, op8_source_mixing, op10_pii_sanitisation)}
