@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe, language, mixing, pii, secrets
+from pathweave.llm import bpe, idfiles, language, mixing, pii, secrets, warc
 from pathweave.llm.spans import count_of, listed
 
 
@@ -45,6 +45,26 @@ def bpe_digests(docs: DataFrame, path: str = BYTE_RANKS) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.archive(table(spark, sf_dir, "pages")))
+    whole = F.col("record_type") == "response"
+    # what has been read back counts; a revisit states the length and digest of its response
+    return records.select(
+        F.col("id").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.write_and_read(table(spark, sf_dir, "documents"), WORD_TOKENIZER).withColumnRenamed("id", "doc_id")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.draw(table(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -60,4 +80,4 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_byte_bpe, op8_source_mixing, op10_pii_sanitisation)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_byte_bpe, op6_warc, op7_id_files, op8_source_mixing, op10_pii_sanitisation)}
