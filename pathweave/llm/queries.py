@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe, idfiles, language, mixing, pii, secrets, warc
+from pathweave.llm import bpe, idfiles, language, mixing, orderminhash, pii, secrets, warc
 from pathweave.llm.spans import count_of, listed
 
 
@@ -45,6 +45,11 @@ def bpe_digests(docs: DataFrame, path: str = BYTE_RANKS) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = orderminhash.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.archive(table(spark, sf_dir, "pages")))
     whole = F.col("record_type") == "response"
@@ -80,4 +85,4 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_byte_bpe, op6_warc, op7_id_files, op8_source_mixing, op10_pii_sanitisation)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_byte_bpe, op5_order_minhash, op6_warc, op7_id_files, op8_source_mixing, op10_pii_sanitisation)}
