@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe, idfiles, language, mixing, orderminhash, pii, secrets, warc
+from pathweave.llm import bpe, hnsw, idfiles, language, mixing, orderminhash, pii, quantisation, secrets, warc
 from pathweave.llm.spans import count_of, listed
 
 
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", held_out.alias("held_out"), F.col("prediction.lang").alias("lang_pred"), F.col("prediction.score").alias("score"))
 
 
+def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantisation.links(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_history(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secrets.BASE]
@@ -75,6 +80,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -85,4 +95,4 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_byte_bpe, op5_order_minhash, op6_warc, op7_id_files, op8_source_mixing, op10_pii_sanitisation)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_itq_near_dedup, op3_secret_scan, op4_byte_bpe, op5_order_minhash, op6_warc, op7_id_files, op8_source_mixing, op9_hnsw, op10_pii_sanitisation)}
