@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.llm.spans import SPAN, cut_out, digits, find, luhn, merged
+from pathweave.llm.tables import counted_side
 from pathweave.session import cut_lineage
 
 # ``\G`` lets a match begin where the last one ended; the look-behind keeps the search for
@@ -74,13 +75,6 @@ def text_digest(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
-def counted_side(df: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """``df`` written out and counted, marked for broadcast if it has at most ``most`` rows."""
-    df = cut_lineage(df)
-    n = df.count()
-    return (F.broadcast(df) if n <= most else df), n
-
-
 def near(text: Column, span: Column, window: int) -> Column:
     """The distinct terms within ``window`` words to either side of a span."""
     reach = window * 40
@@ -106,10 +100,17 @@ def disclosing_terms(found: DataFrame, *, window: int = 5, min_support: int = 3,
         .filter(F.col("n_ct") >= min_support)
     )
     pairs = cut_lineage(pairs)
+    if pairs.isEmpty():
+        return pairs.select("term", F.lit(0.0).alias("share"))
+    texts = float(found.agg(F.count_distinct("blob").alias("n")).first()["n"])
+    # The threshold bounds n_t from above, and the texts that have the term near any entity bound
+    # it from below: common words are out without a count over the corpus.
+    at_most = F.col("n_ct") * F.lit(texts) / F.col("n_c") / F.pow(F.lit(texts) / F.col("n_c"), F.lit(disclosure))
+    at_least = holding.select("blob", F.explode("terms").alias("term")).groupBy("term").agg(F.count_distinct("blob").alias("n_near"))
+    pairs = cut_lineage(pairs.join(at_least, "term").filter(F.col("n_near") <= at_most * 1.000001).drop("n_near"))
     terms, n_terms = counted_side(pairs.select("term").distinct(), BROADCAST_ROWS)
     if n_terms == 0:
         return pairs.select("term", F.lit(0.0).alias("share"))
-    texts = float(found.agg(F.count_distinct("blob").alias("n")).first()["n"])
     tokens = found.select("blob", F.explode(F.array_distinct(words(F.col("content")))).alias("term"))
     freq = tokens.join(terms, "term").groupBy("term").agg(F.count_distinct("blob").alias("n_t"))
     pmi = F.log(F.col("n_ct") * F.lit(texts) / (F.col("n_c") * F.col("n_t")))
