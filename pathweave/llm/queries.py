@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pathweave.llm import bpe, hnsw, idfiles, language, mixing, orderminhash, pii, quantisation, secrets, warc
 from pathweave.llm.spans import count_of, listed
+from pathweave.llm.sql import ORACLES as ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
