@@ -185,6 +185,14 @@ class Merges(dict):
 _merges: dict[str, Merges] = {}
 
 
+def merges_for(key: str, ranks: dict[bytes, int]) -> Merges:
+    """The cache of a vocabulary, kept from task to task."""
+    if key not in _merges:
+        _merges.clear()
+        _merges[key] = Merges(ranks)
+    return _merges[key]
+
+
 def encode_texts(texts: Sequence[str], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, and how many each text has."""
     begins, owner = boundaries(texts)
@@ -231,10 +239,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: Sequence
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _merges:
-            _merges.clear()
-            _merges[key] = Merges(shared.value)
-        merges = _merges[key]
+        merges = merges_for(key, shared.value)
         lengths = np.zeros(max(merges.ranks.values(), default=-1) + 1, dtype=np.int64)
         for token, rank in merges.ranks.items():
             lengths[rank] = len(token)
