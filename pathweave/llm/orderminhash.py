@@ -29,11 +29,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.tables import counted_side
+from pathweave.llm.tables import counted_side, deal_buckets, each_group
 from pathweave.operators.components import connected_components
 from pathweave.session import cut_lineage, write_and_reread
 
@@ -41,6 +42,8 @@ K, ELL, SKETCHES = 5, 3, 24
 WORDS_KEPT = 500_000
 #: Up to this number of ids (8 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Members of a bucket that one task compares with each other; larger buckets are dealt out.
+CHUNK = 256
 
 _ODD = np.array([np.uint64(2 * int(x) + 1) for x in np.random.default_rng(101).integers(0, 2**63 - 1, SKETCHES)], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -207,6 +210,43 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(run, "a long, b long")
 
 
+def compared(group: list, similarity: float) -> pa.RecordBatch | None:
+    """Links that join the components within one bucket: every pair of its members in different
+    components is aligned, unless the two have met in a bucket of an earlier function."""
+    key, _, _, side, ids, component, keys, texts = group
+    tokens = [words(t) for t in texts]
+    n = np.array([len(t) for t in tokens])
+    # texts of at most ELL k-mers have one key only
+    sketches = np.array([list(k) + [0] * (SKETCHES - len(k)) for k in keys], dtype=np.int64)
+    table = int(np.argmax(sketches[0] == key[0]))
+    _, root = np.unique(component, return_inverse=True)
+    side = np.array(side)
+    split = bool(side.any())
+    a = np.flatnonzero(side == 0)
+    vocabulary: dict[str, int] = {}
+    bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int64) for t in tokens]
+    found: list[tuple[int, int]] = []
+    for x in a.tolist():
+        others = np.flatnonzero(side == 1) if split else np.arange(x + 1, len(ids))
+        others = others[root[others] != root[x]]
+        others = others[np.minimum(n[others], n[x]) >= similarity * np.maximum(n[others], n[x])]
+        others = others[~(sketches[others, :table] == sketches[x, :table]).any(axis=1)]
+        if not len(others):
+            continue
+        left = np.bincount(bags[x], minlength=len(vocabulary))
+        for y in others.tolist():
+            if root[y] == root[x]:
+                continue
+            limit = int(max(n[x], n[y]) * (1 - similarity) + 1e-9)
+            differ = left - np.bincount(bags[y], minlength=len(vocabulary))
+            if max(differ[differ > 0].sum(), -differ[differ < 0].sum()) <= limit and distance_within(tokens[x], tokens[y], limit) is not None:
+                found.append((ids[x], ids[y]))
+                root[root == root[y]] = root[x]
+    if not found:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """``id, class_id`` of every distinct document id: the smallest id of its group."""
     sk = write_and_reread(sketched(docs, id_col, text_col), "order-minhash")
@@ -247,19 +287,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     # what is left: pairs of one bucket in different components
     comp = found.select(F.col("node").alias("id"), "component")
-    placed = cut_lineage(rows.select("key", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    groups = placed.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = groups.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    groups = groups.join(mixed, "key")
-    g, h = groups.alias("g"), groups.alias("h")
-    meet = g.join(h, (F.col("g.key") == F.col("h.key")) & (F.col("g.component") < F.col("h.component")) & (F.col("g.high") >= F.lit(similarity) * F.col("h.low")) & (F.col("h.high") >= F.lit(similarity) * F.col("g.low")))
-    meet = meet.select(F.col("g.key").alias("key"), F.col("g.component").alias("ca"), F.col("h.component").alias("cb"))
-    left = placed.select("key", F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("a_n"))
-    right = placed.select("key", F.col("component").alias("cb"), F.col("id").alias("b"), F.col("n").alias("b_n"))
-    rest = meet.join(left, ["key", "ca"]).join(right, ["key", "cb"]).filter(fits(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
-    tried = rows.select(F.least("id", "first").alias("x"), F.greatest("id", "first").alias("y")).union(rows.select(F.least("id", "other"), F.greatest("id", "other"))).distinct()
-    rest = rest.join(tried, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    links = cut_lineage(verified(rest, texts, similarity).union(links))
+    placed = cut_lineage(rows.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mixed = placed.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count")
+    members = placed.join(mixed.select("key"), "key", "left_semi").join(one.select("id", "keys"), "id").join(texts, "id").select("key", "id", "component", "keys", "text")
+    dealt = deal_buckets(members, mixed, CHUNK, BROADCAST_ROWS)
+    rest = dealt.mapInArrow(each_group(lambda group: compared(group, similarity)), "a long, b long")
+    links = cut_lineage(rest.union(links))
     found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     return member.join(found, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
 

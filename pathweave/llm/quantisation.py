@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.tables import counted_side
+from pathweave.llm.tables import deal_buckets, each_group
 from pathweave.llm.vectors import split_usable
 from pathweave.operators.components import connected_components
 from pathweave.session import cut_lineage, write_and_reread
@@ -111,7 +111,6 @@ def rerank(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, subs: np.ndarray,
 
 def links(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 0.02, seed: int = 17) -> DataFrame:
     """``id, n_links, component_id`` of every row."""
-    spark = rows.sparkSession
     good, bad = split_usable(rows, id_col, vector_col)
     alone = bad.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     classes = write_and_reread(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vector-classes")
@@ -135,51 +134,18 @@ def links(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embeddi
 
     coded = classes.select("rep", "weight", "v").mapInArrow(code, "id long, weight long, x binary, subs binary, keys array<long>")
     coded = write_and_reread(coded, "vector-codes")
-    crowded = coded.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > CHUNK)
-    crowded, n_crowded = counted_side(crowded.select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), BROADCAST_ROWS)
-    placed = coded.select("id", "weight", "x", "subs", F.explode("keys").alias("key"))
-    if n_crowded:
-        own = F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int")
-        placed = placed.join(crowded, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", own)
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "weight", "x", "subs")
-    else:
-        zero = F.lit(0)
-        placed = placed.select("key", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", "weight", "x", "subs")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-
-        def flush(groups: list) -> Iterator[pa.RecordBatch]:
-            out = []
-            for g in groups:
-                if len(g[4]) > 1:
-                    x = np.frombuffer(b"".join(g[6]), dtype=np.float64).reshape(len(g[4]), -1)
-                    subs = np.frombuffer(b"".join(g[7]), dtype=np.int32).reshape(len(g[4]), -1)
-                    found = rerank(np.array(g[4]), np.array(g[5]), x, subs, np.array(g[3]), int(g[0][0]) >> 32, threshold)
-                    if len(found[0]):
-                        out.append(found)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "links", "root"])
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            key, i, j = (np.array(c) for c in columns[:3])
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edges = [0, *cut.tolist(), len(key)]
-            groups = [[c[a:b] for c in columns] for a, b in zip(edges, edges[1:], strict=False) if b > a]
-            if held and groups and tuple(c[0] for c in held[:3]) == tuple(c[0] for c in groups[0][:3]):
-                groups[0] = [x + y for x, y in zip(held, groups[0], strict=True)]
-            elif held:
-                groups.insert(0, held)
-            held = groups.pop() if groups else []
-            yield from flush(groups)
-        if held:
-            yield from flush([held])
-
-    found = cut_lineage(placed.mapInArrow(work, "id long, links long, root long"))
+    placed = coded.select(F.explode("keys").alias("key"), "id", "weight", "x", "subs")
+    sizes = coded.select(F.explode("keys").alias("key")).groupBy("key").count()
+
+    def work(group: list) -> pa.RecordBatch | None:
+        key, _, _, side, ids, weight, x, subs = group
+        x = np.frombuffer(b"".join(x), dtype=np.float64).reshape(len(ids), -1)
+        subs = np.frombuffer(b"".join(subs), dtype=np.int32).reshape(len(ids), -1)
+        found = rerank(np.array(ids), np.array(weight), x, subs, np.array(side), key[0] >> 32, threshold)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "links", "root"]) if len(found[0]) else None
+
+    placed = deal_buckets(placed, sizes, CHUNK, BROADCAST_ROWS)
+    found = cut_lineage(placed.mapInArrow(each_group(work), "id long, links long, root long"))
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "a", "b")
     per_class = (
