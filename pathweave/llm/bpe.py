@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CHUNK = 1_000_000
-CACHE = 250_000
+CHUNK = 250_000
+CACHE = 150_000
 MAX_VOCABULARY_BYTES = 64_000_000
 
 # The characters with the Unicode property White_Space.
@@ -272,8 +272,8 @@ def decode(encoded: DataFrame, path: str, *, keep: Sequence[str] = ("doc_id", "i
         begin = np.cumsum(size) - size
         letters = np.frombuffer(b"".join(t for _, t in tokens), dtype=np.uint8)
         for batch in batches:
-            for a in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(a, 256)
+            for a in range(0, max(batch.num_rows, 1), 64):
+                part = batch.slice(a, 64)
                 ids, offsets = part.column(len(kept)), part.column(len(kept) + 1)
                 id_ = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 at = offsets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 GRAM = 3
 #: Code points handled in one go; a longer text is a chunk of its own.
-CHUNK = 1_000_000
+CHUNK = 300_000
 #: n-grams whose vectors are kept for a chunk.
 KEPT_GRAMS = 16_384
 

@@ -39,7 +39,7 @@ from pathweave.operators.components import connected_components
 from pathweave.session import cut_lineage, write_and_reread
 
 K, ELL, SKETCHES = 5, 3, 24
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 #: Up to this number of ids (8 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out.
