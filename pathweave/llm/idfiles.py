@@ -41,9 +41,8 @@ from pathweave.session import scratch_path, write_and_reread
 MAGIC = b"PWIDS\0\0\1"
 TAIL = struct.Struct("<QQQ")  # where the table begins, its compressed length, documents
 NO_ID = -(2**63)
-CACHE = 250_000
-#: Files that are written side by side, at least; about one for so many bytes of input.
-FILE_BYTES = 8_000_000
+CACHE = 400_000
+MARK = "\0"
 
 
 class Pieces(dict):
@@ -58,17 +57,35 @@ class Pieces(dict):
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the ids of this tokenizer need more than 16 bits")
+        (self.mark,) = np.frombuffer(self.whole(MARK), dtype="<u2")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def fill(self, split: list[list[str]]) -> None:
-        """Encode all pieces that aren't known yet in one call."""
-        if len(self) > CACHE:
+        """Encode all pieces that aren't known yet, many in one text.
+
+        A character that none of them holds stands between them as a token of its own.
+        """
+        wanted = {p for pieces in split for p in pieces}
+        new = [p for p in wanted if p not in self]
+        if len(self) > CACHE:  # what has come up again stays
+            again = {p: self[p] for p in wanted if p in self}
             self.clear()
-        new = [p for p in {p for pieces in split for p in pieces} if p not in self]
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = np.array(e.ids, dtype="<u2").tobytes()
+            self.update(again)
+        for piece in [p for p in new if MARK in p]:
+            self[piece] = self.whole(piece)
+        new = [p for p in new if MARK not in p]
+        for a in range(0, len(new), 2048):
+            some = new[a : a + 2048]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*some, ""]), add_special_tokens=False).ids, dtype="<u2")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(some):
+                raise ValueError("the mark between pieces isn't a token of its own")
+            raw, begin = ids.tobytes(), 0
+            for piece, end in zip(some, ends.tolist(), strict=True):
+                self[piece] = raw[2 * begin : 2 * end]
+                begin = end + 1
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]

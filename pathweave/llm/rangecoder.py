@@ -43,13 +43,13 @@ _SQUASH = np.clip(np.round((1 << _BITS) / (1 + np.exp(-(np.arange(-2048, 2048))
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float32))[1]
+    return np.frexp(ids.astype(np.float32))[1].astype(np.intp)
 
 
 class _Model:
     def __init__(self, n: int):
         self.n = n
-        self.lane = np.arange(n, dtype=np.int32)
+        self.lane = np.arange(n)  # indices are of numpy's own index type, which saves a copy at each use
         self.base1, self.base2 = self.lane << _SLOTS1, self.lane << _SLOTS2
         self.table1, self.table2 = np.zeros(n << _SLOTS1, np.int32), np.zeros(n << _SLOTS2, np.int32)
         self.lead = np.zeros(n, np.int32)  # an id and its confidence, as in the tables
@@ -66,13 +66,14 @@ class _Model:
         np.cumsum(count, axis=0, out=up[1:])
         spare = (1 << _BITS) - 2 * _KINDS
         self.below = up * spare // up[-1] + 2 * np.arange(_KINDS + 1, dtype=np.int32)[:, None]
+        self.low = self.below[1:].astype(np.int16)
         self.flat = self.below.ravel()
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The id to test, and the probability that it is right."""
         self.at1 = self.base1 + ((self.last * np.int32(40503) >> 4) & ((1 << _SLOTS1) - 1))
         self.at2 = self.base2 + ((self.mixed >> 3) & ((1 << _SLOTS2) - 1))
-        entries = self.lead, self.table1.take(self.at1), self.table2.take(self.at2)
+        entries = self.lead, self.table1[self.at1], self.table2[self.at2]
         self.entries, self.said, sure = entries, [e >> 3 for e in entries], [e & _SURE for e in entries]
         chosen = np.where(sure[2] > 0, self.said[2], np.where(sure[1] > 0, self.said[1], self.said[0]))
         self.inputs = [np.where(said == chosen, _FOR.take(s), _AGAINST) for said, s in zip(self.said, sure, strict=True)]
@@ -103,13 +104,13 @@ class _Model:
 
     def of_kind(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = kind * self.n + self.lane
-        low = self.flat.take(at)
-        return low, self.flat.take(at + self.n) - low
+        low = self.flat[at]
+        return low, self.flat[at + self.n] - low
 
 
 def _extra(kind: np.ndarray) -> np.ndarray:
     """Bits that follow a bit length: all but the leading one."""
-    return np.maximum(kind - 1, 0)
+    return np.maximum(kind - 1, 0).astype(np.int32)
 
 
 def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -122,6 +123,11 @@ def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     return np.flatnonzero(done)
 
 
+def _grown(span: np.ndarray) -> np.ndarray:
+    """A span after its lanes' leading word has gone; less by one, as a whole one of 2^64 can't be held."""
+    return ((span - _U(1)) << _U(16)) + _U(0xFFFF)
+
+
 def encode_blocks(ids: np.ndarray) -> Iterator[bytes]:
     """The blocks of a one-dimensional array of ids below 131072."""
     for begin in range(0, len(ids), BLOCK * LANES):
@@ -164,7 +170,7 @@ def _encode(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out[at] = (word >> _U(48)).astype(np.uint16)
             used[go] = at + 1
             low[go] = word << _U(16)
-            span[go] = span.take(go) << _U(16)
+            span[go] = _grown(span.take(go))
         model.learn(ids, hit, kind)
     for shift in (48, 32, 16, 0):
         out[used] = (low >> _U(shift)).astype(np.uint16)
@@ -210,7 +216,7 @@ def _decode(words: np.ndarray, steps: int) -> np.ndarray:
         left = (span - cut) >> _U(_BITS)
         rest = np.where(hit, _U(0), code_at - cut)
         value = np.minimum(rest // left, _U((1 << _BITS) - 1)).astype(np.int32)
-        kind = np.count_nonzero(model.below[1:] <= value, axis=0).astype(np.int32)
+        kind = (model.low <= value.astype(np.int16)).view(np.int8).sum(axis=0, dtype=np.int8).astype(np.intp)
         start, size = model.of_kind(kind)
         extra = _extra(kind)
         above = left * start.astype(_U)
@@ -225,7 +231,7 @@ def _decode(words: np.ndarray, steps: int) -> np.ndarray:
             code[go] = code.take(go) << _U(16) | flat.take(at, mode="clip").astype(_U)
             read[go] = at + 1
             low[go] = low.take(go) << _U(16)
-            span[go] = span.take(go) << _U(16)
+            span[go] = _grown(span.take(go))
         out[step] = ids
         model.learn(ids, hit, _bit_lengths(ids))
     return out

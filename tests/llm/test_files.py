@@ -30,6 +30,19 @@ def test_blocks_round_trip(ids, times, few):
     assert (decoded(b"".join(rangecoder.encode_blocks(ids))) == ids).all()
 
 
+def test_a_span_of_a_whole_word_survives():
+    span = np.array([1 << 48, 1 << 40, (1 << 48) - 1], dtype=np.uint64)
+    assert rangecoder._grown(span).tolist() == [2**64 - 1, 2**56 - 1, 2**64 - 1 - 2**16]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_short_blocks_end_in_padding(seed):
+    rng = np.random.default_rng(seed)
+    for n in rng.integers(1, 3 * rangecoder.BLOCK, 12):
+        ids = np.minimum(rng.zipf(1.2, n), 49407)
+        assert (decoded(b"".join(rangecoder.encode_blocks(ids))) == ids).all()
+
+
 def test_blocks_are_independent_checked_and_small():
     ids = np.random.default_rng(1).zipf(1.3, 20_000) % 49408
     blocks = list(rangecoder.encode_blocks(ids))
