@@ -173,6 +173,18 @@ def square_around(p: Column, area_m2: Column) -> Column:
     return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
 
 
+def widened(ring: Column, metres: float) -> Column:
+    """A ring with each vertex moved away from their mean by so many metres."""
+    c = vertex_mean(F.slice(ring, F.lit(1), F.size(ring) - 1), 9)
+
+    def out(p: Column) -> Column:
+        d = haversine(c, p)
+        k = 1 + metres / F.when(d > 0, d).otherwise(F.lit(1.0))
+        return point(c["lon"] + (p["lon"] - c["lon"]) * k, c["lat"] + (p["lat"] - c["lat"]) * k)
+
+    return F.transform(ring, out)
+
+
 def length_inside(line: Column, ring: Column) -> Column:
     """Metres of a line within a ring: its segments are cut where they cross the ring, and the
     pieces whose middle is inside count."""

@@ -261,19 +261,20 @@ def shade(edges: DataFrame, tree_rows: DataFrame, footprints: DataFrame) -> Data
     d = edges.join(trees, "id", "left").join(by, "id", "left")
     no = F.lit(False)
     covered = F.coalesce("covered", no) | F.coalesce("tunnel", no) | F.coalesce("indoor", no)
-    found = F.when(covered, F.struct(F.lit(1.0).alias("i"), F.lit("covered").alias("s"))).when(F.col("tree"), F.struct(F.lit(0.7), F.lit("treerow"))).when(F.col("near"), F.struct(F.lit(0.5), F.lit("adjacency"))).otherwise(F.struct(F.lit(0.15), F.lit("default")))
+    kind = lambda index, source: F.struct(F.lit(index).alias("i"), F.lit(source).alias("s"))
+    found = F.when(covered, kind(1.0, "covered")).when(F.col("tree"), kind(0.7, "treerow")).when(F.col("near"), kind(0.5, "adjacency")).otherwise(kind(0.15, "default"))
     return d.withColumn("f", found).withColumns({"shadeIndex": F.col("f.i"), "shadeSource": F.col("f.s")}).drop("f", "tree", "near")
 
 
 def around_footprints(edges: DataFrame, footprints: DataFrame, least_m: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Edges(id, line) that run more than ``least_m`` through one footprint led along its border, the
-    shorter way; those whose end lies inside, or that pierce several, stay and are returned as
+    """Edges(id, line) that run more than ``least_m`` through one footprint led along its border, 0.3 m
+    outside and the shorter way; those whose end lies inside, or that pierce several, stay and are returned as
     ``id, reason`` for the allow-list."""
     e = edges.select("id", "line")
     met = box_join(e.withColumnRenamed("id", "edge_id"), footprints.select("footprint_id", "ring"), geo.bounds(F.col("line")), geo.bounds(F.col("ring")), 1e-3).filter(geo.length_inside(F.col("line"), F.col("ring")) > least_m)
     per = met.groupBy("edge_id").agg(F.count("*").alias("n"), F.first("line").alias("line"), F.first("ring").alias("ring"))
     bad_end = geo.inside(F.col("line")[0], F.col("ring")) | geo.inside(F.element_at("line", -1), F.col("ring"))
-    fix = per.filter((F.col("n") == 1) & ~bad_end)
+    fix = per.filter((F.col("n") == 1) & ~bad_end).withColumn("ring", geo.widened(F.col("ring"), 0.3))
     ring_n = F.size("ring") - 1
     place = lambda p: F.array_min(F.zip_with(geo.pairs(F.col("ring"), lambda a, b: F.struct(geo.project(p, a, b).alias("x"))), F.sequence(F.lit(0), ring_n - 1), lambda s, i: F.struct(s["x"]["dist_m"].alias("d"), i.alias("k"))))["k"]
     hits = F.flatten(F.zip_with(geo.pairs(F.col("line"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.sequence(F.lit(0), F.size("line") - 2), lambda s, i: F.transform(F.filter(geo.pairs(F.col("ring"), lambda c, d: geo.intersection(s["a"], s["b"], c, d)), lambda x: x.isNotNull()), lambda x: F.struct(i.alias("seq"), x["t"].alias("t"), x["point"].alias("p")))))

@@ -192,7 +192,7 @@ def nearest_edge(spark, d):
     at = p.place((F.col("p_partkey") * 7) % F.col("n"))
     here = geo.point(at["lon"] + F.col("p_size") * 0.0000031 - 0.0001, at["lat"] - F.col("p_size") * 0.00002)
     points = s.select(F.col("p_partkey").alias("point_id"), here.alias("p"))
-    found = spatial.nearest_edge(points, p.edges(spark, d).select("id", F.col("geometry").alias("line")), 125.0, radii=(20.0,))
+    found = spatial.nearest_edge(points, p.edges(spark, d).select("id", F.col("geometry").alias("line")), 125.0, radii=(15.0, 50.0))
     return found.select(F.col("point_id").alias("id"), F.round("dist_m", 3).alias("dist_m"))
 
 
