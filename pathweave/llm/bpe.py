@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = 250_000
@@ -229,66 +230,91 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(np.int32, copy=False)))
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``ids`` and ``offsets`` (the byte at which each token begins)."""
+class Vocabulary:
+    """The tokens of a rank file, to be shared with tasks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = np.zeros(max(ranks.values(), default=-1) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+        self.begin = np.cumsum(self.size) - self.size
+        ordered = sorted((r, t) for t, r in ranks.items())
+        self.letters = np.frombuffer(b"".join(t for _, t in ordered), dtype=np.uint8)
+
+    def offsets(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The byte in its text at which each token begins."""
+        size = self.size[ids]
+        at = np.cumsum(size) - size
+        first = np.cumsum(counts) - counts
+        base = at[np.minimum(first, max(len(at) - 1, 0))] if len(at) else np.zeros(len(counts), dtype=np.int64)
+        return at - np.repeat(base, counts)
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts' bytes: each token's written at its offset."""
+        n = self.size[ids]
+        total = np.append(0, np.cumsum(n))
+        bounds = np.append(0, np.cumsum(counts))
+        start = total[bounds]  # of each text in what is written
+        out = np.zeros(int(start[-1]), dtype=np.uint8)
+        within = np.arange(len(out)) - np.repeat(total[:-1], n)
+        out[np.repeat(offsets + np.repeat(start[:-1], counts), n) + within] = self.letters[np.repeat(self.begin[ids], n) + within]
+        whole = out.tobytes()
+        return [whole[a:b] for a, b in zip(start.tolist(), start[1:].tolist(), strict=False)]
+
+
+def _fields(df: DataFrame, keep: Sequence[str], *more: tuple[str, T.DataType]) -> tuple[int, T.StructType]:
+    kept = [T.StructField(f.name, f.dataType) for f in df.select(*keep).schema]
+    return len(kept), T.StructType([*kept, *[T.StructField(n, t) for n, t in more]])
+
+
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _encoder(docs: DataFrame, path: str, text_col: str, keep: Sequence[str], decoded: bool) -> DataFrame:
     ranks = read_ranks(path)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, Vocabulary(ranks)))
     key = f"{path}:{shared._jbroadcast.id()}"
-    kept = [T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
-    from pyspark.sql import functions as F
+    n, schema = _fields(docs, keep, ("ids", IDS), ("decoded", T.BinaryType()) if decoded else ("offsets", IDS))
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = merges_for(key, shared.value)
-        lengths = np.zeros(max(merges.ranks.values(), default=-1) + 1, dtype=np.int64)
-        for token, rank in merges.ranks.items():
-            lengths[rank] = len(token)
+        ranks, vocabulary = shared.value
+        merges = merges_for(key, ranks)
         for batch in batches:
-            for begin, texts in _parts(batch.column(len(kept))):
+            for begin, texts in _parts(batch.column(n)):
                 ids, counts = encode_texts(texts, merges)
-                size = lengths[ids]
-                at = np.cumsum(size) - size
-                first = np.cumsum(counts) - counts
-                base = np.where(counts > 0, at[np.minimum(first, max(len(at) - 1, 0))] if len(at) else 0, 0)
-                offsets = at - np.repeat(base, counts)
-                same = [batch.column(i).slice(begin, len(texts)) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*same, _lists(ids, counts), _lists(offsets, counts)], names=[f.name for f in schema])
+                offsets = vocabulary.offsets(ids, counts)
+                last = pa.array(vocabulary.texts(ids, offsets, counts), type=pa.binary()) if decoded else _lists(offsets, counts)
+                same = [batch.column(i).slice(begin, len(texts)) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([*same, _lists(ids, counts), last], names=names)
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns with ``ids`` and ``offsets`` (the byte at which each token begins)."""
+    return _encoder(docs, path, text_col, keep, decoded=False)
+
+
+def round_trip(docs: DataFrame, path: str, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns with ``ids`` and ``decoded``, what ``decode`` makes of them, in one pass."""
+    return _encoder(docs, path, text_col, keep, decoded=True)
+
+
 def decode(encoded: DataFrame, path: str, *, keep: Sequence[str] = ("doc_id", "ids")) -> DataFrame:
-    """``keep`` columns with ``decoded``: the bytes of the tokens, each written at its offset."""
-    ranks = read_ranks(path)
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-    kept = [T.StructField(f.name, f.dataType) for f in encoded.select(*keep).schema]
-    schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
-    from pyspark.sql import functions as F
+    """``keep`` columns with ``decoded``: the bytes of the tokens ``ids``, each written at its ``offsets``."""
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
+    n, schema = _fields(encoded, keep, ("decoded", T.BinaryType()))
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted((r, t) for t, r in shared.value.items())
-        size = np.zeros(tokens[-1][0] + 1, dtype=np.int64)
-        size[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
-        begin = np.cumsum(size) - size
-        letters = np.frombuffer(b"".join(t for _, t in tokens), dtype=np.uint8)
         for batch in batches:
             for a in range(0, max(batch.num_rows, 1), 64):
                 part = batch.slice(a, 64)
-                ids, offsets = part.column(len(kept)), part.column(len(kept) + 1)
-                id_ = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                at = offsets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, offsets = part.column(n), part.column(n + 1)
+                flat = lambda c: c.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 counts = np.array(ids.value_lengths().fill_null(0).to_pylist(), dtype=np.int64)
-                n = size[id_]
-                bounds = np.append(0, np.cumsum(counts))
-                total = np.append(0, np.cumsum(n))
-                doc_bytes = total[bounds[1:]] - total[bounds[:-1]]
-                doc_start = np.append(0, np.cumsum(doc_bytes))
-                out = np.zeros(int(doc_start[-1]), dtype=np.uint8)
-                target = at + np.repeat(doc_start[:-1], counts)
-                within = np.arange(len(out)) - np.repeat(total[:-1], n)
-                out[np.repeat(target, n) + within] = letters[np.repeat(begin[id_], n) + within]
-                whole = out.tobytes()
-                decoded = pa.array([whole[doc_start[i] : doc_start[i + 1]] for i in range(part.num_rows)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], decoded], names=[f.name for f in schema])
+                texts = pa.array(shared.value.texts(flat(ids), flat(offsets), counts), type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], texts], names=names)
 
     return encoded.select(*keep, F.col("ids").alias("__ids"), F.col("offsets").alias("__offsets")).mapInArrow(run, schema)

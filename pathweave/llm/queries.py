@@ -46,7 +46,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, path: str = BYTE_RANKS) -> DataFrame:
-    d = bpe.decode(bpe.encode(docs, path), path)
+    d = bpe.round_trip(docs, path)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
