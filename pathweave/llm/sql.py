@@ -78,4 +78,41 @@ SELECT doc_id, size, source_size::bigint AS source_size, target,
 FROM r
 """
 
-ORACLES = {"op3_secret_scan": OP3, "op6_warc": OP6, "op8_source_mixing": OP8}
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+_CARD = r"[0-9](?:[\x20-]?[0-9])+"
+_PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+_only = "regexp_replace(@, '[^0-9]', '', 'g')"
+_parts = "list_transform(string_split(@, '.'), lambda p: ltrim(p, '0'))"
+_digit = f"list_transform(string_split(reverse({_only}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::int WHEN c::int > 4 THEN 2 * c::int - 9 ELSE 2 * c::int END)"
+_PII = [
+    _spans("t", _EMAIL, "email", 0),
+    _spans("t", _IP, "ip", 1, f"len(list_filter({_parts}, lambda p: length(p) > 3 OR (length(p) = 3 AND p > '255'))) = 0"),
+    _spans("t", _CARD, "card", 2, f"CASE WHEN length({_only}) BETWEEN 12 AND 19 THEN list_sum({_digit}) % 10 = 0 ELSE false END"),
+    _spans("t", _PHONE, "phone", 3, f"length({_only}) BETWEEN 9 AND 15"),
+]
+_WORDS = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda w: lower(w))"
+_TERM = _spans("t", r"[\p{L}\p{N}]{2,}", "term", 4, "list_contains(hits, lower(@))")
+
+OP10 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT r, doc_id, t, list_concat(list_concat(list_concat({_PII[0]}, {_PII[1]}), {_PII[2]}), {_PII[3]}) AS base FROM d),
+h AS (SELECT t, unnest(base) AS s FROM f),
+e AS (SELECT t, CASE WHEN s.kind IN ('email', 'ip') THEN lower(s.m) ELSE s.kind || ':' || regexp_replace(s.m, '[^0-9]', '', 'g') END AS entity,
+  {_WORDS.format("substring(t, greatest(s.start - 200, 0) + 1, least(s.start, 200))")} AS l, {_WORDS.format("substring(t, s.stop + 1, 200)")} AS a FROM h),
+p AS (SELECT DISTINCT t, entity, unnest(list_concat(list_reverse(l)[1:5], a[1:5])) AS term FROM e),
+c AS (SELECT entity, count(DISTINCT t) AS n_c FROM e GROUP BY 1 HAVING count(DISTINCT t) >= 3),
+ct AS (SELECT entity, n_c, term, count(DISTINCT t) AS n_ct FROM p JOIN c USING (entity) GROUP BY ALL HAVING count(DISTINCT t) >= 3),
+k AS (SELECT DISTINCT term FROM ct),
+x AS (SELECT DISTINCT t FROM d), n AS (SELECT count(*)::double AS n FROM x),
+w AS (SELECT t, unnest(list_distinct({_WORDS.format("t")})) AS term FROM x),
+nt AS (SELECT term, count(*) AS n_t FROM w JOIN k USING (term) GROUP BY 1),
+z AS (SELECT DISTINCT term FROM ct JOIN nt USING (term), n WHERE n > n_c AND ln(n_ct * n / (n_c * n_t)) / ln(n / n_c) >= 0.8),
+v AS (SELECT t, list(term) AS hits FROM w JOIN z USING (term) GROUP BY 1),
+g AS (SELECT f.*, CASE WHEN hits IS NULL THEN [] ELSE {_TERM} END AS terms FROM f LEFT JOIN v USING (t))
+SELECT doc_id, {", ".join(f"{_count('base', q)} AS n_{q}" for q in ("email", "ip", "card", "phone"))},
+       sha256({_listed("base")}) AS base_sha256, {_listed("list_concat(base, terms)")} AS spans
+FROM g
+"""
+
+ORACLES = {"op3_secret_scan": OP3, "op6_warc": OP6, "op8_source_mixing": OP8, "op10_pii_sanitisation": OP10}
