@@ -211,17 +211,16 @@ def with_ids(edges: DataFrame) -> DataFrame:
 
 def doors(buildings: DataFrame, entrance_points: DataFrame, edges: DataFrame) -> DataFrame:
     """``building_id, position, provisional, weak, reason`` for ``buildings(id, ring)``: mapped entrances in or
-    within 3 m of the footprint; else up to three projections of its centre's sides onto edges
-    within 60 m; else the nearest edge within 120 m, weak; else a reason."""
+    within 3 m of the footprint; else the middles of up to three sides that have an edge within 60 m;
+    else of the side nearest to an edge within 120 m, weak; else a reason."""
     b = buildings.select("id", "ring")
     met = box_join(b, entrance_points.select(F.col("p").alias("ep")), geo.bounds(F.col("ring")), point_box(F.col("ep")), 1e-3, degrees_for(DOOR_M))
     mapped = met.filter(geo.inside(F.col("ep"), F.col("ring")) | (geo.distance_to_line(F.col("ep"), F.col("ring")) <= DOOR_M)).select("id", F.col("ep").alias("position")).distinct()
     rest = cut_lineage(b.join(mapped.select("id").distinct(), "id", "left_anti"))
     sides = rest.select("id", F.posexplode(geo.pairs(F.col("ring"), lambda p, q: geo.point((p["lon"] + q["lon"]) / 2, (p["lat"] + q["lat"]) / 2))).alias("side", "p")).withColumn("point_id", F.xxhash64("id", "side"))
     near = nearest_edge(sides.select("point_id", "p"), edges.select("id", "line"), WEAK_M, radii=(PROJECT_M,))
-    near = near.join(sides, "point_id").select("id", "side", "p", "edge_id", "dist_m").join(edges.select(F.col("id").alias("edge_id"), "line"), "edge_id")
-    spot = F.array_min(geo.pairs(F.col("line"), lambda a, c: F.struct(geo.project(F.col("p"), a, c)["dist_m"].alias("d"), geo.project(F.col("p"), a, c)["point"].alias("at"))))["at"]
-    near = near.withColumn("position", spot)
+    near = near.join(sides, "point_id").select("id", "side", "p", "dist_m")
+    near = near.withColumn("position", F.col("p"))
     good = near.filter(F.col("dist_m") <= PROJECT_M).withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("dist_m", "side"))).filter("r <= 3")
     weak = near.join(good.select("id").distinct(), "id", "left_anti").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("dist_m", "side"))).filter("r = 1")
     row = lambda d, provisional, weak_, reason=None: d.select(F.col("id").alias("building_id"), "position", F.lit(provisional).alias("provisional"), F.lit(weak_).alias("weak"), F.lit(reason).cast("string").alias("reason"))
@@ -229,6 +228,14 @@ def doors(buildings: DataFrame, entrance_points: DataFrame, edges: DataFrame) ->
     return row(mapped, False, False).unionByName(row(good, True, False)).unionByName(row(weak, True, True)).unionByName(row(none, None, None, "no_walkway_within_120m"))
 
 
+def door_ordinals(doors_: DataFrame) -> DataFrame:
+    """Doors numbered per building from 0, the preferred one first: mapped before provisional, strong before
+    weak, then by side (``main`` first, if there is that column) and place."""
+    side = [F.when(F.col("side") == "main", 0).otherwise(1), F.col("side")] if "side" in doors_.columns else []
+    order = W.partitionBy("building_id").orderBy(F.col("provisional").asc_nulls_last(), F.col("weak").asc_nulls_last(), *side, "position.lon", "position.lat")
+    return doors_.filter("position is not null").withColumn("ordinal", F.row_number().over(order) - 1)
+
+
 def link_doors(doors_: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges(id, line, ...) cut where doors(building_id, position) project onto them, and the links
     ``building_id, line, edge_id, surface, shadeIndex`` from each door to its edge."""

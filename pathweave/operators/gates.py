@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathweave import schema
 from pathweave.functions import geo
 from pathweave.operators.components import connected_components
-from pathweave.operators.spatial import close_pairs, nearest_edge, piercing
+from pathweave.operators.spatial import box_join, close_pairs, crossings, degrees_for, nearest_edge, piercing, point_box
 
 MOST_ERRORS = 100
 
@@ -150,6 +150,30 @@ def far_buildings(buildings: DataFrame, edges: DataFrame, metres: float = 50.0)
     return _out(buildings.join(near.select(F.col("point_id").alias("id")), "id", "left_anti"), "id", F.lit(f"no edge within {metres:g} m"))
 
 
+def roads_without_crossing(edges: DataFrame, roads: DataFrame, crossing_nodes: DataFrame, metres: float = 3.0) -> DataFrame:
+    """Places where an edge(id, geometry) crosses a road(id, line) and no crossing(id, position) is near."""
+    seg = lambda d, line, kind: d.select(F.concat(F.lit(kind), F.col("id").cast("string")).alias("of"), F.posexplode(geo.pairs(F.col(line), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("k", "s")).select(F.concat_ws("/", "of", F.col("k").cast("string")).alias("id"), "of", "s.a", "s.b")
+    met = crossings(seg(edges, "geometry", "e:").unionByName(seg(roads, "line", "r:")))
+    met = met.filter(F.col("left_id").startswith("e:") & F.col("right_id").startswith("r:")).select(F.concat_ws(" x ", "left_id", "right_id").alias("place"), "point")
+    near = box_join(met, crossing_nodes.select(F.col("position").alias("cp")), point_box(F.col("point")), point_box(F.col("cp")), 1e-3, degrees_for(metres))
+    covered = near.filter(geo.haversine(F.col("point"), F.col("cp")) <= metres).select("place").distinct()
+    return _out(met.join(covered, "place", "left_anti"), "place", F.to_json("point"))
+
+
+def without_entrance(buildings: DataFrame) -> DataFrame:
+    """Buildings in the service area that have no door and no reason for it."""
+    return _out(buildings.filter("inServiceArea").filter((F.size(F.coalesce("entranceIds", F.array().cast("array<string>"))) == 0) & F.col("unroutableReason").isNull()), "id", F.lit("no entrance"))
+
+
+def unreachable(buildings: DataFrame, edges: DataFrame, main: str) -> DataFrame:
+    """C4: routable buildings none of whose doors is in the component of the main building's."""
+    comp = connected_components(edges.select(F.col("fromNodeId").alias("u"), F.col("toNodeId").alias("v")), "u", "v")
+    doors = buildings.filter("routable").select("id", F.explode("entranceIds").alias("node")).join(comp, "node")
+    home = doors.filter(F.col("id") == main).select("component").distinct()
+    ok = doors.join(home, "component", "left_semi").select("id").distinct()
+    return _out(buildings.filter("routable").join(ok, "id", "left_anti"), "id", F.lit(f"not reachable from {main}"))
+
+
 def check_constraints(table: DataFrame, name: str) -> DataFrame:
     """Rows of an authoring table that break a CHECK: ``entity`` is the key, ``measurement`` the constraint."""
     key = F.concat_ws("/", *[F.col(c).cast("string") for c in schema.KEYS[name][0]])
