@@ -241,4 +241,8 @@ SELECT id, CASE WHEN exact_node IS NOT NULL THEN 'exact' WHEN hits = 1 THEN 'spa
     "check_constraints": """
 SELECT c_custkey::varchar AS entity, m AS measurement FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_acctbal <= 0 OR c_acctbal >= 2000 THEN 'length' END, CASE WHEN c_custkey % 90 = 4 THEN 'order' END], lambda x: x IS NOT NULL)) AS m FROM customer)""",
     "reference_integrity": "SELECT o_custkey % 1700 AS node_id, count(*)::bigint AS rows FROM orders WHERE o_custkey % 1700 + 40 NOT IN (SELECT c_custkey FROM customer) GROUP BY 1",
+    "build_hash": f"""
+WITH {EDGE}, {NODE}, l AS (SELECT 0 AS part, id::varchar AS k, id::varchar AS line FROM n UNION ALL SELECT 1, id::varchar, id || '|' || u || '|' || v || '|' || printf('%.3f', m) FROM e),
+g AS (SELECT part, substr(sha256(k), 1, 2) AS pre, sha256(string_agg(line, chr(10) ORDER BY k, line)) AS h FROM l GROUP BY 1, 2)
+SELECT sha256(string_agg(part || ':' || pre || ':' || h, '' ORDER BY part, pre)) AS graph_hash FROM g""",
 }
