@@ -22,6 +22,7 @@ and an empty result; only the named columns are read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -41,8 +42,10 @@ from pathweave.session import scratch_path, write_and_reread
 MAGIC = b"PWIDS\0\0\1"
 TAIL = struct.Struct("<QQQ")  # where the table begins, its compressed length, documents
 NO_ID = -(2**63)
-CACHE = 400_000
+CACHE, BASE = 150_000, 300_000
 MARK = "\0"
+#: Letters that lower case maps one to one and normalisation leaves alone, then ASCII marks but the apostrophe.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Pieces(dict):
@@ -50,6 +53,7 @@ class Pieces(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.base: dict[str, bytes] = {"": b""}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,18 +77,34 @@ class Pieces(dict):
             again = {p: self[p] for p in wanted if p in self}
             self.clear()
             self.update(again)
+        # a plain word with marks behind it is split before its merges, and capitals don't count
+        parts = {p: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(p)) else (p, "") for p in new}
+        self.learn({part for both in parts.values() for part in both if part})
+        base = self.base
+        for piece, (word, marks) in parts.items():
+            self[piece] = base[word] + base[marks] if marks else base[word]
+
+    def learn(self, wanted: set[str]) -> None:
+        """The ids of parts of pieces that aren't known yet, many encoded as one text."""
+        base = self.base
+        if len(base) > BASE:
+            again = {p: base[p] for p in wanted if p in base}
+            base.clear()
+            base.update(again)
+            base[""] = b""
+        new = [p for p in wanted if p not in base]
         for piece in [p for p in new if MARK in p]:
-            self[piece] = self.whole(piece)
-        new = [p for p in new if MARK not in p]
-        for a in range(0, len(new), 2048):
-            some = new[a : a + 2048]
+            base[piece] = self.whole(piece)
+        plain = [p for p in new if MARK not in p]
+        for a in range(0, len(plain), 2048):
+            some = plain[a : a + 2048]
             ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*some, ""]), add_special_tokens=False).ids, dtype="<u2")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(some):
                 raise ValueError("the mark between pieces isn't a token of its own")
             raw, begin = ids.tobytes(), 0
             for piece, end in zip(some, ends.tolist(), strict=True):
-                self[piece] = raw[2 * begin : 2 * end]
+                base[piece] = raw[2 * begin : 2 * end]
                 begin = end + 1
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:

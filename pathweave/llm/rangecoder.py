@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 2048
-LANES = 4096
+LANES = 2048
 HEAD = struct.Struct("<III")
 
 _U = np.uint64
