@@ -169,16 +169,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Merges(dict):
-    """Piece -> its ids as little-endian bytes; emptied when it is full."""
+    """Piece -> its ids as little-endian bytes. When it is full it becomes the old generation, from
+    which pieces that come up again are taken over, and the one before that goes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u4").tobytes()
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u4").tobytes()
         self[piece] = ids
         return ids
 
