@@ -33,7 +33,7 @@ from pathweave.session import cut_lineage, write_and_reread
 SHARD = 4096
 BLOCK = 1024
 LINKS = 10  # a node's neighbours on upper layers; twice as many on the lowest
-BUILD_WIDTH, SEARCH_WIDTH = 48, 96
+BUILD_WIDTH, SEARCH_WIDTH = 48, 192
 INDEX = "shard int, ids array<long>, vectors array<double>, levels array<int>, neighbours array<int>, entry int"
 
 
