@@ -13,6 +13,13 @@ joins groups of near copies, however large, by as many comparisons as they have
 pairs of a bucket that are still in different components are then compared one by one, all of
 them; so no link between components is lost, and no group is expanded into all its pairs.
 
+Sketches alone miss pairs with many scattered edits. So a last step compares what they can't
+have seen: texts of m words at most d edits apart have at least ``m - k + 1 - k d`` labelled
+k-mers in common, so in one order of all k-mers they share some (up to ``MEET``) among the first
+of each (a prefix filter). The order puts k-mers that are frequent in a sample last and decides cost only;
+``k`` is 3, or less where a short text would have nothing in common by this count. All pairs that
+share as many, fit by length and are in different components are aligned: no pair is missed.
+
 Two texts whose shares of common labelled 5-word shingles is J meet in at least one of the 24
 buckets with probability ``1 - (1 - J^3)^24``: over 0.9999999 at J = 0.8, 0.99 at J = 0.56.
 
@@ -26,6 +33,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +52,12 @@ WORDS_KEPT = 150_000
 BROADCAST_ROWS = 200_000
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out.
 CHUNK = 256
+#: Words of a k-mer of the last step; documents from which its frequent ones are learned, and how many are kept.
+GRAM, GRAM_DOCS, GRAMS_KEPT = 3, 4096, 100_000
+#: Shared first k-mers that are asked for, where similar texts have so many; each adds one to the first k-mers of a text.
+MEET = 8
+#: Members of a bucket, without their texts, that one task pairs.
+PAIR_CHUNK = 2048
 
 _ODD = np.array([np.uint64(2 * int(x) + 1) for x in np.random.default_rng(101).integers(0, 2**63 - 1, SKETCHES)], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,13 +89,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def kmers(hashes: np.ndarray) -> np.ndarray:
-    """A hash for each occurrence-labelled k-mer; a text of fewer than K words is one k-mer."""
-    n = len(hashes) - K + 1
+def kmers(hashes: np.ndarray, k: int = K) -> np.ndarray:
+    """A hash for each occurrence-labelled k-mer; a text of fewer than k words is one k-mer."""
+    n = len(hashes) - k + 1
     if n < 1:
         k, n = len(hashes), min(1, len(hashes))
-    else:
-        k = K
     out = np.zeros(n, dtype=np.uint64)
     for i in range(k):
         out = out * _STEP + hashes[i : i + n]
@@ -94,7 +106,8 @@ def kmers(hashes: np.ndarray) -> np.ndarray:
         first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         label = np.empty(n, dtype=np.uint64)
         label[order] = np.arange(n) - first
-        out = _mixed(out + label * np.uint64(0xD6E8FEB86659FD93))
+        # a first occurrence is the same whether or not others repeat
+        out = np.where(label > 0, _mixed(out + label * np.uint64(0xD6E8FEB86659FD93)), out)
     return out
 
 
@@ -247,6 +260,135 @@ def compared(group: list, similarity: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
+def edits(n: int, similarity: float) -> int:
+    return int(n * (1 - similarity) + 1e-9)
+
+
+@lru_cache(maxsize=100_000)
+def must_share(m: int, similarity: float) -> tuple[int, int] | None:
+    """The largest k for which a text of ``m`` words and a similar one, not longer, have k-mers in
+    common, and how many at least; None if they must be equal."""
+    d = edits(m, similarity)
+    return next(((k, t) for k in range(GRAM, 0, -1) if (t := m - k + 1 - k * d) >= 1), None) if d else None
+
+
+@lru_cache(maxsize=100_000)
+def prefix_lengths(n: int, similarity: float) -> tuple[tuple[int, int], ...]:
+    """``(k, number of first k-mers)`` under which a text of ``n`` words meets all similar ones.
+
+    A pair goes by the k of its longer text, of m words.
+    """
+    spare: dict[int, int] = {}
+    m = n
+    while m - edits(m, similarity) <= n:
+        share = must_share(m, similarity)
+        if share and n >= share[0]:
+            k, t = share
+            spare[k] = min(spare.get(k, m), t - min(t, MEET))
+        m += 1
+    return tuple((k, n - k + 1 - t) for k, t in spare.items())
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The k-mers under which a text is looked up in the last step."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for k, most in prefix_lengths(len(hashes), similarity):
+        grams = kmers(hashes, k)
+        count = np.zeros(len(grams), dtype=np.int64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+            count = np.where(frequent[at] == grams, counts[at], 0)
+        out.append(grams[np.lexsort((grams, count))[:most]])
+    return np.concatenate(out)
+
+
+def _shared(keys: np.ndarray, digests: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row (that with the smallest id) of each text under each key."""
+    order = np.lexsort((ids, digests, keys))
+    keys, digests, ids = keys[order], digests[order], ids[order]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])
+    return keys[first], digests[first], ids[first]
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, id`` of the keys of two or more texts, from rows in order of their key."""
+    held = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def out(rows: tuple) -> pa.RecordBatch:
+        keys = rows[0]
+        same = np.zeros(len(keys) + 1, dtype=bool)
+        same[1:-1] = keys[1:] == keys[:-1]
+        several = same[1:] | same[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(keys[several]), pa.array(rows[2][several])], names=["key", "id"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held = _shared(*[np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)])
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            yield out(tuple(h[:end] for h in held))
+            held = tuple(h[end:] for h in held)
+    yield out(held)
+
+
+def unmet_pairs(docs: DataFrame, one: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of texts in different components that may be similar by their first k-mers.
+
+    ``docs(id, text)``, ``one(id, n)`` of each distinct text, ``component(id, component)``.
+    """
+    spark = docs.sparkSession
+    share = max(1, -(-one.count() // GRAM_DOCS))
+
+    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t in batch["text"]:
+                h = word_hashes(words(t))
+                yield pd.DataFrame({"gram": np.unique(np.concatenate([kmers(h, k) for k in range(1, GRAM + 1)])).view(np.int64)})
+
+    drawn = docs.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).limit(2 * GRAM_DOCS).mapInPandas(learned, "gram long")
+    top = drawn.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(GRAMS_KEPT).toPandas()
+    grams = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    frequent = spark.sparkContext.broadcast((grams[order], top["count"].to_numpy(dtype=np.int64)[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                hashes = [word_hashes(words(t)) for t in part.column(1).to_pylist()]
+                keys = [prefix(h, similarity, *frequent.value).view(np.int64) for h in hashes]
+                n = [len(k) for k in keys]
+                digests = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in hashes], dtype=np.uint64).view(np.int64)
+                columns = [np.concatenate(keys), np.repeat(digests, n), np.repeat(part.column(0).to_numpy(), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["key", "digest", "id"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.mapInArrow(run, "key long, digest long, id long").repartition(parts, "key").sortWithinPartitions("key")
+    met = write_and_reread(dealt.mapInArrow(meetings, "key long, id long"), "order-minhash-met")
+    placed = met.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).join(one.select("id", "n"), "id")
+    placed = write_and_reread(placed.select("key", "id", "component", "n"), "order-minhash-placed")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count")
+    mixed = cut_lineage(mixed)
+
+    def pair(group: list) -> pa.RecordBatch | None:
+        side, ids, root, n = (np.array(c) for c in group[3:])
+        need = {m: min(share[1], MEET) if (share := must_share(m, similarity)) else m + 1 for m in set(n.tolist())}
+        need = np.array([need[m] for m in n.tolist()])
+        a, b = (side == 0).nonzero()[0], (side == 1).nonzero()[0]
+        alone = len(b) == 0 and not side.any()
+        found = []
+        for x in a.tolist():
+            y = np.arange(x + 1, len(ids)) if alone else b
+            y = y[(root[y] != root[x]) & (np.abs(n[y] - n[x]) <= np.floor(np.maximum(n[y], n[x]) * (1 - similarity) + 1e-9))]
+            found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.where(n[y] > n[x], need[y], need[x])))
+        if not sum(len(f[0]) for f in found):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1, 2)], names=["a", "b", "need"])
+
+    members = placed.join(mixed.select("key"), "key", "left_semi").select("key", "id", "component", "n")
+    return deal_buckets(members, mixed, PAIR_CHUNK, BROADCAST_ROWS).mapInArrow(each_group(pair), "a long, b long, need long").groupBy("a", "b", "need").count().filter("count >= need").select("a", "b")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """``id, class_id`` of every distinct document id: the smallest id of its group."""
     sk = write_and_reread(sketched(docs, id_col, text_col), "order-minhash")
@@ -258,9 +400,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = cut_lineage(keyed.join(shared.drop("size"), "key"))
     fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
 
-    held, n_held = counted_side(rows.select("id").distinct(), BROADCAST_ROWS)
-    if n_held == 0:
-        return member.select("id", F.col("rep").alias("class_id")).distinct()
+    held, _ = counted_side(rows.select("id").distinct(), BROADCAST_ROWS)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # rows that share an id and differ in text are told apart by nothing; one of them stands for the id
     texts = write_and_reread(d.join(held, "id", "left_semi").dropDuplicates(["id"]), "order-minhash-texts")
@@ -293,7 +433,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     dealt = deal_buckets(members, mixed, CHUNK, BROADCAST_ROWS)
     rest = dealt.mapInArrow(each_group(lambda group: compared(group, similarity)), "a long, b long")
     links = cut_lineage(rest.union(links))
-    found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+
+    # what no sketch has brought together
+    found = connected_components(links, "a", "b")
+    unmet, n_unmet = counted_side(unmet_pairs(d.filter("id is not null"), one.select("id", "n"), found.select(F.col("node").alias("id"), "component"), similarity), 0)
+    if n_unmet:
+        held, _ = counted_side(unmet.select(F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_ROWS)
+        texts = write_and_reread(d.join(held, "id", "left_semi").dropDuplicates(["id"]), "order-minhash-unmet")
+        links = cut_lineage(verified(unmet, texts, similarity).union(links))
+        found = connected_components(links, "a", "b")
+    found = found.select(F.col("node").alias("rep"), "component")
     return member.join(found, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
 
 
