@@ -1,8 +1,9 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-Rotations are learned on a bounded sample (``SAMPLE`` vectors): unit vectors are centred and
+Rotations are learned on a bounded sample (``SAMPLE`` vectors): unit vectors are
 turned to their principal axes, then rotated so that their signs lose as little as possible
-(alternating between signs and the best orthogonal rotation). The signs are balanced binary
+(alternating between signs and the best orthogonal rotation). The vectors are not centred, as
+the angle of a pair must be that of its cosine. The signs are binary
 codes; several rotations from different starts give a code of any length. The code is cut
 into substrings, a hash table each: every pair whose codes differ in fewer bits than there are
 tables meets in at least one. The tables' number follows from the substrings' length, which
@@ -46,8 +47,11 @@ def units(v: np.ndarray) -> np.ndarray:
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection whose signs are the code of a unit vector, from a sample of unit vectors."""
-    mean = x.mean(axis=0)
+    """Origin and projection whose signs are the code of a unit vector, from a sample of unit vectors.
+
+    The origin is zero: from the mean, a pair would be seen under a wider angle than its own.
+    """
+    mean = np.zeros(x.shape[1])
     centred = x - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     turned = centred @ axes
@@ -109,7 +113,7 @@ def rerank(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, subs: np.ndarray,
     return ids[some], links[some].astype(np.int64), ids[root[some]]
 
 
-def links(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 0.02, seed: int = 17) -> DataFrame:
+def links(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, seed: int = 17) -> DataFrame:
     """``id, n_links, component_id`` of every row."""
     good, bad = split_usable(rows, id_col, vector_col)
     alone = bad.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
