@@ -12,7 +12,9 @@ gives each document's place in the whole sequence of ids.
 
 White space never belongs to a token of this kind of tokenizer (it splits there before its
 merges), so texts are encoded by the pieces between blanks, which repeat and are cached; the
-library sees every piece it has not seen lately. ``by_pieces=False`` gives it whole texts.
+library sees every piece it has not seen lately. ``by_pieces=False`` gives it whole texts, and a
+tokenizer that isn't of this kind gets them whole as well. The strings of special tokens in a
+text become these tokens, as the library's plain call has it.
 
 Cases: null or empty text is the end id alone; documents with equal ids follow each other by
 text; a null document id comes first and is read back as null; an empty table gives no files
@@ -58,10 +60,13 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the ids of this tokenizer need more than 16 bits")
-        (self.mark,) = np.frombuffer(self.whole(MARK), dtype="<u2")
+        one, other = self.whole("Ab"), self.whole("c")
+        #: whether blanks only divide; whether capitals don't count
+        self.apart = self.whole(f" Ab \t{MARK}\n c ") == one + self.whole(MARK) + other and len(self.whole(MARK)) == 2
+        self.folds = one == self.whole("ab")
+        self.mark = int(np.frombuffer(self.whole(MARK), dtype="<u2")[0]) if self.apart else -1
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -78,7 +83,7 @@ class Pieces(dict):
             self.clear()
             self.update(again)
         # a plain word with marks behind it is split before its merges, and capitals don't count
-        parts = {p: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(p)) else (p, "") for p in new}
+        parts = {p: (m[1].lower(), m[2]) if self.folds and (m := PLAIN.fullmatch(p)) else (p, "") for p in new}
         self.learn({part for both in parts.values() for part in both if part})
         base = self.base
         for piece, (word, marks) in parts.items():
@@ -190,7 +195,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
                 texts = batch["text"].tolist()
                 for a in range(0, len(texts), 500):
                     some = texts[a : a + 500]
-                    codes = pieces.encode(some) if by_pieces else [pieces.whole(t) for t in some]
+                    codes = pieces.encode(some) if by_pieces and pieces.apart else [pieces.whole(t) for t in some]
                     yield ids[a : a + 500], [c + end for c in codes]
 
         number = TaskContext.get().partitionId()

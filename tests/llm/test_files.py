@@ -59,14 +59,13 @@ def test_blocks_are_independent_checked_and_small():
 
 def texts():
     rng = random.Random(9)
-    pool = list("abcdeÉß  \n\t\x1c\x85　'.,!?123") + ["don't", "<|endoftext|>", "É", "word", "中", "😀"]
+    pool = list("abcdeÉß  \n\t\x1c\x85　'.,!?123") + ["don't", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "É", "word", "中", "😀"]
     out = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 80))) for _ in range(400)]
-    return out + ["", None, " ", "long " * 60_000, "x" * 30_000] + out[:3]
+    return out + ["", None, " ", "long " * 60_000, "x" * 30_000, "hello <|endoftext|> x", "a<|startoftext|>,b", "<|endoftext|><|endoftext|>"] + out[:3]
 
 
 def test_id_files(spark):
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     rows = [(i if i != 11 else None, x, 7) for i, x in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start long").repartition(5)
     want, start = {}, 0
@@ -85,6 +84,13 @@ def test_id_files(spark):
     assert all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:], strict=False))
 
 
+def test_pieces_of_other_tokenizers():
+    """One whose tokens hold blanks, and where capitals count, gets whole texts."""
+    pieces = idfiles.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not pieces.apart and not pieces.folds
+    assert idfiles.Pieces(TOKENIZER).apart and idfiles.Pieces(TOKENIZER).folds
+
+
 def test_archives(spark, tmp_path):
     rng = random.Random(2)
     bodies = ["<p>é" + "x" * n for n in (10, 1200, 1200, 5000)] + ["", None, "y" * 999, "z" * 1000, "w" * 200_000]
