@@ -76,12 +76,19 @@ def text_digest(text: Column) -> Column:
 
 
 def near(text: Column, span: Column, window: int) -> Column:
-    """The distinct terms within ``window`` words to either side of a span."""
+    """The distinct terms among the ``window`` words of what stands before a span, and of what stands after it.
+
+    A few characters hold them nearly always; where these don't hold more words than wanted, so
+    that the outermost may be cut, the whole text is searched.
+    """
     reach = window * 40
-    before = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach)))
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
-    left, right = words(before), words(after)
-    return F.array_distinct(F.concat(F.slice(F.reverse(left), 1, window), F.slice(right, 1, window)))
+    last = lambda part: F.slice(F.reverse(part), 1, window)
+    first = lambda part: F.slice(part, 1, window)
+    before = words(F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach))))
+    after = words(F.substring(text, span["end"] + 1, F.lit(reach)))
+    left = F.when(F.size(before) > window, last(before)).otherwise(last(words(F.substring(text, F.lit(1), span["start"]))))
+    right = F.when(F.size(after) > window, first(after)).otherwise(first(words(F.substring(text, span["end"] + 1, F.length(text)))))
+    return F.array_distinct(F.concat(left, right))
 
 
 def disclosing_terms(found: DataFrame, *, window: int = 5, min_support: int = 3, disclosure: float = 0.8) -> DataFrame:
@@ -91,7 +98,7 @@ def disclosing_terms(found: DataFrame, *, window: int = 5, min_support: int = 3,
     """
     at = F.explode(F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), near(F.col("content"), s, window).alias("terms"))))
     holding = cut_lineage(found.filter(F.size("spans") > 0).select("blob", at.alias("at")).select("blob", "at.entity", "at.terms"))
-    entities = holding.groupBy("entity").agg(F.count_distinct("blob").alias("n_c")).filter(F.col("n_c") >= min_support)
+    entities, _ = counted_side(holding.groupBy("entity").agg(F.count_distinct("blob").alias("n_c")).filter(F.col("n_c") >= min_support), BROADCAST_ROWS)
     pairs = (
         holding.join(entities, "entity")
         .select("blob", "entity", "n_c", F.explode("terms").alias("term"))
@@ -138,11 +145,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **o
     return found.join(hits, "blob", "left").select("id", "content", F.col("spans").alias("base"), merged([F.col("spans"), added]).alias("spans"))
 
 
-def sanitize(scanned: DataFrame) -> DataFrame:
-    """The result of ``scan`` -> ``id, sanitized``: entities by kind, terms generalised or removed."""
+def sanitized(content: Column, spans: Column) -> Column:
+    """A text with its entities named by kind, and its terms generalised or removed; of spans that overlap the first holds."""
 
     def put(s: Column) -> Column:
         named = F.when(s["text"].rlike(r"^\p{Lu}"), F.lit("[name]")).otherwise(F.lit("[term]"))
         return F.when(s["kind"] == "term", named).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
 
-    return scanned.select("id", cut_out(F.col("content"), F.col("spans"), put).alias("sanitized"))
+    return cut_out(content, spans, put)
+
+
+def sanitize(scanned: DataFrame) -> DataFrame:
+    """The result of ``scan`` -> ``id, sanitized``."""
+    return scanned.select("id", sanitized(F.col("content"), F.col("spans")).alias("sanitized"))

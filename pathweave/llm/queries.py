@@ -93,6 +93,7 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        F.sha2(pii.sanitized(F.col("content"), F.col("spans")), 256).alias("sanitized_sha256"),
     )
 
 

@@ -93,13 +93,17 @@ _PII = [
 ]
 _WORDS = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda w: lower(w))"
 _TERM = _spans("t", r"[\p{L}\p{N}]{2,}", "term", 4, "list_contains(hits, lower(@))")
+_PUT = "CASE WHEN s.kind <> 'term' THEN '[' || s.kind || ']' WHEN regexp_matches(s.m, '^\\p{Lu}') THEN '[name]' ELSE '[term]' END"
+_CUT = f"""list_reduce(list_transform(list_sort(spans), lambda s: {{'start': s.start, 'pos': s.stop, 'out': {_PUT}}}),
+  lambda a, x: CASE WHEN x.start >= a.pos THEN {{'start': x.start, 'pos': x.pos, 'out': a.out || substring(t, a.pos + 1, x.start - a.pos) || x.out}} ELSE a END,
+  {{'start': 0::bigint, 'pos': 0::bigint, 'out': ''}})"""
 
 OP10 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT r, doc_id, t, list_concat(list_concat(list_concat({_PII[0]}, {_PII[1]}), {_PII[2]}), {_PII[3]}) AS base FROM d),
 h AS (SELECT t, unnest(base) AS s FROM f),
 e AS (SELECT t, CASE WHEN s.kind IN ('email', 'ip') THEN lower(s.m) ELSE s.kind || ':' || regexp_replace(s.m, '[^0-9]', '', 'g') END AS entity,
-  {_WORDS.format("substring(t, greatest(s.start - 200, 0) + 1, least(s.start, 200))")} AS l, {_WORDS.format("substring(t, s.stop + 1, 200)")} AS a FROM h),
+  {_WORDS.format("substring(t, 1, s.start)")} AS l, {_WORDS.format("substring(t, s.stop + 1)")} AS a FROM h),
 p AS (SELECT DISTINCT t, entity, unnest(list_concat(list_reverse(l)[1:5], a[1:5])) AS term FROM e),
 c AS (SELECT entity, count(DISTINCT t) AS n_c FROM e GROUP BY 1 HAVING count(DISTINCT t) >= 3),
 ct AS (SELECT entity, n_c, term, count(DISTINCT t) AS n_ct FROM p JOIN c USING (entity) GROUP BY ALL HAVING count(DISTINCT t) >= 3),
@@ -109,10 +113,11 @@ w AS (SELECT t, unnest(list_distinct({_WORDS.format("t")})) AS term FROM x),
 nt AS (SELECT term, count(*) AS n_t FROM w JOIN k USING (term) GROUP BY 1),
 z AS (SELECT DISTINCT term FROM ct JOIN nt USING (term), n WHERE n > n_c AND ln(n_ct * n / (n_c * n_t)) / ln(n / n_c) >= 0.8),
 v AS (SELECT t, list(term) AS hits FROM w JOIN z USING (term) GROUP BY 1),
-g AS (SELECT f.*, CASE WHEN hits IS NULL THEN [] ELSE {_TERM} END AS terms FROM f LEFT JOIN v USING (t))
+g AS (SELECT f.*, list_concat(base, CASE WHEN hits IS NULL THEN [] ELSE {_TERM} END) AS spans FROM f LEFT JOIN v USING (t)),
+u AS (SELECT *, {_CUT} AS c FROM g)
 SELECT doc_id, {", ".join(f"{_count('base', q)} AS n_{q}" for q in ("email", "ip", "card", "phone"))},
-       sha256({_listed("base")}) AS base_sha256, {_listed("list_concat(base, terms)")} AS spans
-FROM g
+       sha256({_listed("base")}) AS base_sha256, {_listed("spans")} AS spans, sha256(c.out || substring(t, c.pos + 1)) AS sanitized_sha256
+FROM u
 """
 
 ORACLES = {"op3_secret_scan": OP3, "op6_warc": OP6, "op8_source_mixing": OP8, "op10_pii_sanitisation": OP10}

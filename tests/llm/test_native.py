@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,23 @@ def test_terms_that_reveal_an_entity_are_sanitised(spark):
     assert clean[2001] == "only clean words" and clean[7] == rows[7][1]
 
 
+def test_contexts_reach_as_far_as_their_words(spark, tmp_path):
+    """Terms beyond words or gaps of any length are found whole, by the query and by its SQL."""
+    long = ["".join(random.Random(i).choice("abcdefgh") for _ in range(60)) for i in range(5)]
+    rows = [(i, f"words here {i} is of the usual clean kind number {i}") for i in range(200)]
+    rows += [(1000 + i, f"{i} Quorra {' '.join(long[:4])} {long[4] * (i % 2)} bob@x.org") for i in range(4)]
+    rows += [(1100 + i, f"{i} Zebulon" + " " * 210 + f"ann@y.org {'.' * 300} Tarkin") for i in range(4)]
+    rows += [(2000, f"Quorra, {long[3]} and {long[3][4:]} Zebulon tarkin"), (2001, None), (2002, "ann@y.org bob@x.org +49 (30) 1234567 1234567")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_pii_sanitisation(spark, str(tmp_path)).collect()}
+    clean = f"Quorra, [term] and {long[3][4:]} [name] [term]"
+    assert got[2000].sanitized_sha256 == hashlib.sha256(clean.encode()).hexdigest()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op10_pii_sanitisation"]).df()
+    assert {r.doc_id: (r.base_sha256, r.spans, r.sanitized_sha256) for r in want.itertuples()} == {i: (r.base_sha256, r.spans, r.sanitized_sha256) for i, r in got.items()}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets.scan_history(none)[0].count() == 0
