@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by navigable small-world graphs, one per shard.
 
-Vectors are dealt into shards of about ``SHARD`` by a hash of their id. Each shard builds its
+Vectors are dealt into shards by a hash; a shard has an eighth of them, between ``SMALLEST`` and
+``LARGEST`` (or what ``CELLS`` numbers hold). Each shard builds its
 graph (Malkov and Yashunin 2018) and stores it in one row as flat arrays: ids, vectors, levels
 and neighbours, layer after layer, padded with -1. Queries are packed in blocks; a task takes
 one block and one shard, walks the graph and rescores what it finds by the cosine of the
@@ -9,9 +10,11 @@ original vectors in double precision. The shards' results are merged per query.
 Equal vectors are one node with its few smallest ids, as many as a result can show.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-vectors of another length than most or without an id; ties go to the smaller id; with fewer
-candidates than ``k`` all are returned; an empty table gives an empty result; only the named
-columns are read.
+those without an id; a vector's candidates are those of its own length, each length being
+searched by itself; ties go to the smaller id; with fewer candidates than ``k`` all are returned;
+rows with equal id and vector are one; rows that share an id with different vectors are candidates
+each, and queries each with ranks of its own; none of an id's rows is a candidate of that id; an
+empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pathweave.llm.quantisation import units
-from pathweave.llm.vectors import split_usable
+from pathweave.llm.vectors import lengths, split_usable
 from pathweave.session import cut_lineage, write_and_reread
 
-SHARD = 4096
-BLOCK = 1024
+SMALLEST, LARGEST, CELLS = 2048, 65_536, 16_000_000
+BLOCK = 8192
 LINKS = 10  # a node's neighbours on upper layers; twice as many on the lowest
 BUILD_WIDTH, SEARCH_WIDTH = 48, 192
-INDEX = "shard int, ids array<long>, vectors array<double>, levels array<int>, neighbours array<int>, entry int"
+INDEX = "shard int, ids array<long>, least array<long>, vectors array<double>, levels array<int>, neighbours array<int>, entry int"
 
 
 class Graph:
@@ -154,17 +157,23 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float((a * b).sum() / (math.sqrt((a * a).sum()) * math.sqrt((b * b).sum())))
 
 
+def shards_for(n: int, dims: int) -> int:
+    """The number of shards of ``n`` vectors."""
+    most = max(SMALLEST, min(LARGEST, CELLS // dims))
+    return max(1, math.ceil(n / min(most, max(SMALLEST, n // 8))))
+
+
 def index(classes: DataFrame, n_shards: int, seed: int = 23) -> DataFrame:
-    """A row per shard of ``classes(rep, v)``."""
+    """A row per shard of ``classes(rep, members, v)``."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep")
-        v = np.stack(rows["v"].to_list())
+        rows = rows.sort_values(["least", "rep"])
+        v = np.stack(rows["v"].to_list()).astype(np.float64)
         g = build(units(v), seed)
-        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "ids": [rows["rep"].to_numpy()], "vectors": [v.ravel()], "levels": [g.levels], "neighbours": [g.flat()], "entry": [g.entry]})
+        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "ids": [rows["rep"].to_numpy()], "least": [rows["least"].to_numpy()], "vectors": [v.ravel()], "levels": [g.levels], "neighbours": [g.flat()], "entry": [g.entry]})
 
-    shard = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(n_shards)).cast("int")
-    return write_and_reread(classes.select(shard.alias("shard"), "rep", "v").groupBy("shard").applyInPandas(run, INDEX), "hnsw-index")
+    shard = F.pmod(F.xxhash64(F.col("members")[0], "v", F.lit(seed)), F.lit(n_shards)).cast("int")
+    return write_and_reread(classes.select(shard.alias("shard"), "rep", F.col("members")[0].alias("least"), "v").groupBy("shard").applyInPandas(run, INDEX), "hnsw-index")
 
 
 def search(indexed: DataFrame, queries: DataFrame, n_shards: int, n_queries: int, found_per_shard: int) -> DataFrame:
@@ -176,14 +185,14 @@ def search(indexed: DataFrame, queries: DataFrame, n_shards: int, n_queries: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                ids = np.asarray(row.ids)
+                ids, least = np.asarray(row.ids), np.asarray(row.least)
                 v = np.asarray(row.vectors).reshape(len(ids), -1)
                 g = Graph(units(v), np.asarray(row.levels), np.asarray(row.neighbours), int(row.entry))
-                points = np.asarray(row.points).reshape(len(row.queries), -1)
+                points = np.asarray(row.points, dtype=np.float64).reshape(len(row.queries), -1)
                 out = []
                 for query, p, q in zip(row.queries, points, units(points).astype(np.float32), strict=True):
-                    near = [(-cosine(p, v[n]), ids[n]) for _, n in g.search(q, SEARCH_WIDTH)]
-                    out += [(query, n, -d) for d, n in sorted(near)[:found_per_shard]]
+                    near = [(-cosine(p, v[n]), least[n], ids[n]) for _, n in g.search(q, max(SEARCH_WIDTH, found_per_shard))]
+                    out += [(query, n, -d) for d, _, n in sorted(near)[:found_per_shard]]
                 yield pd.DataFrame(out, columns=["query", "rep", "score"])
 
     return pairs.join(indexed, "shard").mapInPandas(run, "query long, rep long, score double")
@@ -193,17 +202,29 @@ def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     """``query_id, rank, id, score``: the ``k`` nearest other rows of every row for which ``is_query`` (over ``id``) holds."""
     good, _ = split_usable(rows, id_col, vector_col)
     first = W.partitionBy("v").orderBy("id")
-    few = good.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
-    classes = write_and_reread(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("members")).select("v", "members", F.col("members")[0].alias("rep")), "vector-classes")
-    n = classes.count()
-    asked = good.filter(is_query).select("id", "v").join(classes.select(F.col("v").alias("cv"), "rep"), F.col("v") == F.col("cv")).select(F.col("id").alias("query_id"), F.col("rep").alias("query"), "v")
-    asked = cut_lineage(asked)
-    points = asked.dropDuplicates(["query"]).select("query", "v")
-    n_shards = max(1, math.ceil(n / SHARD))
-    found = search(index(classes, n_shards), points, n_shards, points.count(), k + 1)
-    merged = W.partitionBy("query").orderBy(F.desc("score"), "rep")
-    top = found.withColumn("place", F.row_number().over(merged)).filter(F.col("place") <= k + 1)
-    each = top.join(classes.select("rep", "members"), "rep").select("query", "score", F.explode("members").alias("id"))
-    ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = asked.select("query_id", "query").join(each, "query").filter("id <> query_id").withColumn("rank", F.row_number().over(ranked))
-    return out.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    few = good.withColumn("place", F.dense_rank().over(first)).filter(F.col("place") <= k + 1)
+    classes = few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("members")).withColumn("rep", F.monotonically_increasing_id())
+    classes = write_and_reread(classes.select("v", "members", "rep"), "vector-classes")  # the numbers hold from here on
+    asked = good.filter(is_query).select("id", "v").join(classes.select(F.col("v").alias("cv"), "rep"), F.col("v") == F.col("cv"))
+    asked = cut_lineage(asked.select(F.col("id").alias("query_id"), F.col("rep").alias("query"), "v").dropDuplicates(["query_id", "query"]))
+    points = cut_lineage(asked.dropDuplicates(["query"]).select("query", "v"))
+    # nodes that hold no other id than the query's are passed over; there is one, unless ids repeat
+    own = classes.filter(F.size("members") == 1).groupBy(F.col("members")[0].alias("id")).count().agg(F.max("count").alias("most")).first()["most"]
+    wanted = k + (own or 1)
+    found = None
+    for dims, n in lengths(classes):
+        here = points.filter(F.size("v") == dims)
+        n_queries = here.count()
+        if n_queries:
+            n_shards = shards_for(n, dims)
+            more = search(index(classes.filter(F.size("v") == dims), n_shards), here, n_shards, n_queries, wanted)
+            found = more if found is None else found.union(more)
+    if found is None:
+        return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
+    merged = W.partitionBy("query").orderBy(F.desc("score"), "least")
+    near = found.join(classes.select("rep", "members", F.col("members")[0].alias("least")), "rep")
+    top = near.withColumn("place", F.row_number().over(merged)).filter(F.col("place") <= wanted)
+    each = top.select("query", "score", F.explode("members").alias("id"))
+    ranked = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
+    pairs = asked.select("query_id", "query").join(each, "query").filter("id <> query_id").withColumn("rank", F.row_number().over(ranked))
+    return pairs.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -17,8 +17,10 @@ in several tables counts in the first. A bucket of more than ``CHUNK`` classes i
 a task per pair of chunks.
 
 Cases: a vector that is null, zero, or holds null or non-finite components links with nothing,
-nor does one of another length than most or one without an id; rows with equal vectors link
-with each other; an empty table gives an empty result; only the named columns are read.
+nor does one without an id; vectors link with those of their own length only, each length being
+searched by itself; rows with equal vectors link with each other; rows that share an id are
+vectors of their own, so an id may have several rows in the result; an empty table gives an
+empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.llm.tables import deal_buckets, each_group
-from pathweave.llm.vectors import split_usable
+from pathweave.llm.vectors import dtype_of, lengths, split_usable
 from pathweave.operators.components import connected_components
 from pathweave.session import cut_lineage, write_and_reread
 
@@ -113,49 +115,65 @@ def rerank(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, subs: np.ndarray,
     return ids[some], links[some].astype(np.int64), ids[root[some]]
 
 
-def links(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, seed: int = 17) -> DataFrame:
-    """``id, n_links, component_id`` of every row."""
-    good, bad = split_usable(rows, id_col, vector_col)
-    alone = bad.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    classes = write_and_reread(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vector-classes")
-    n = classes.count()
-    if n == 0:
-        return alone
+def found_links(classes: DataFrame, dims: int, n: int, threshold: float, miss: float, seed: int) -> DataFrame:
+    """``id, links, root`` of ``n`` classes ``(id, weight, v)`` of one length, block by block: the number of
+    vectors of other classes that a class was linked with, and a class that it hangs together with."""
     bits, tables = layout(n, threshold, miss)
-    sample = units(np.array([r["v"] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()]))
-    dims = sample.shape[1]
+    stored = dtype_of(classes)
+    sample = units(np.array([r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], dtype=np.float64))
     models = [learn_rotation(sample, seed + k) for k in range(math.ceil(bits * tables / dims))]
+    packed = "<u2" if bits <= 16 else "<u4"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x = units(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
-                subs = substrings(x, models, bits, tables)
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(stored)
+                subs = substrings(units(x.astype(np.float64)), models, bits, tables)
                 keys = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * tables, pa.array((subs | (np.arange(tables) << 32)).ravel()))
-                rest = [pa.array([r.tobytes() for r in z], type=pa.binary()) for z in (x, subs.astype(np.int32))]
+                rest = [pa.array([r.tobytes() for r in z], type=pa.binary()) for z in (x, subs.astype(packed))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *rest, keys], names=["id", "weight", "x", "subs", "keys"])
 
-    coded = classes.select("rep", "weight", "v").mapInArrow(code, "id long, weight long, x binary, subs binary, keys array<long>")
+    coded = classes.select("id", "weight", "v").mapInArrow(code, "id long, weight long, x binary, subs binary, keys array<long>")
     coded = write_and_reread(coded, "vector-codes")
     placed = coded.select(F.explode("keys").alias("key"), "id", "weight", "x", "subs")
     sizes = coded.select(F.explode("keys").alias("key")).groupBy("key").count()
 
     def work(group: list) -> pa.RecordBatch | None:
         key, _, _, side, ids, weight, x, subs = group
-        x = np.frombuffer(b"".join(x), dtype=np.float64).reshape(len(ids), -1)
-        subs = np.frombuffer(b"".join(subs), dtype=np.int32).reshape(len(ids), -1)
+        x = units(np.frombuffer(b"".join(x), dtype=stored).reshape(len(ids), -1).astype(np.float64))
+        subs = np.frombuffer(b"".join(subs), dtype=packed).reshape(len(ids), -1)
         found = rerank(np.array(ids), np.array(weight), x, subs, np.array(side), key[0] >> 32, threshold)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "links", "root"]) if len(found[0]) else None
 
-    placed = deal_buckets(placed, sizes, CHUNK, BROADCAST_ROWS)
-    found = cut_lineage(placed.mapInArrow(each_group(work), "id long, links long, root long"))
-    sums = found.groupBy("id").agg(F.sum("links").alias("links"))
-    components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "a", "b")
-    per_class = (
-        classes.select("v", "rep", "weight")
-        .join(sums.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(F.col("v").alias("cv"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    return deal_buckets(placed, sizes, CHUNK, BROADCAST_ROWS).mapInArrow(each_group(work), "id long, links long, root long")
+
+
+def links(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, seed: int = 17) -> DataFrame:
+    """``id, n_links, component_id`` of every row."""
+    good, bad = split_usable(rows, id_col, vector_col)
+    alone = bad.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    classes = good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id())
+    classes = write_and_reread(classes, "vector-classes")  # the numbers hold from here on
+    found = None
+    for dims, n in lengths(classes):
+        if n > 1:
+            more = found_links(classes.filter(F.size("v") == dims), dims, n, threshold, miss, seed)
+            found = more if found is None else found.union(more)
+    per_class = classes.select("v", "id", "rep", "weight")
+    if found is None:
+        per_class = per_class.select("v", (F.col("weight") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+    else:
+        found = cut_lineage(found)
+        sums = found.groupBy("id").agg(F.sum("links").alias("links"))
+        components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "a", "b")
+        placed = components.select(F.col("node").alias("id"), "component").join(classes.select("id", "rep"), "id")
+        smallest = placed.groupBy("component").agg(F.min("rep").alias("least"))
+        least = placed.join(smallest, "component").select("id", "least")
+        per_class = (
+            per_class.join(sums, "id", "left")
+            .join(least, "id", "left")
+            .select("v", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+        )
+    per_class = per_class.withColumnRenamed("v", "cv")
     return good.join(per_class, F.col("v") == F.col("cv")).select("id", "n_links", "component_id").unionByName(alone)

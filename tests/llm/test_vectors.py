@@ -93,7 +93,7 @@ def test_empty_and_single(spark):
 
 
 def test_neighbours_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(hnsw, "SHARD", 500)
+    monkeypatch.setattr(hnsw, "SMALLEST", 500)
     v = sample(1500, 16, 4, copies=300)
     got: dict = {}
     for r in hnsw.nearest(frame(spark, v), F.col("id") % 10 == 0).orderBy("query_id", "rank").collect():
@@ -123,3 +123,20 @@ def test_graph_is_flat_and_can_be_read_back():
     for q in x[:20].astype(np.float32):
         assert g.search(q, 20) == again.search(q, 20)
     assert len(g.flat()) == sum(len(o) * (2 * hnsw.LINKS if i == 0 else hnsw.LINKS) for i, o in enumerate(g.order))
+
+
+def test_lengths_and_repeated_ids(spark):
+    """Vectors meet those of their own length; rows that share an id count by themselves."""
+    rows = [(10, [1.0, 0.0, 0.0]), (11, [1.0, 0.01, 0.0])] + [(20 + i, [1.0, float(i)]) for i in range(3)] + [(30, [1.0, 0.0, 0.0, 5.0])]
+    rows += [(1, [0.0, 1.0, 0.0, 0.0, 0.0]), (1, [0.0, 0.0, 1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.001, 0.0, 0.0]), (3, [0.0, 0.001, 1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.id, r.n_links, r.component_id) for r in quantisation.links(table).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (10, 1, 10), (11, 1, 10), (20, 0, 20), (21, 1, 21), (22, 1, 21), (30, 0, 30)]
+    out = hnsw.nearest(table, F.col("id").isin(10, 20, 30, 1), k=2).collect()
+    near = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r["rank"], r.id)):
+        near.setdefault(r.query_id, []).append((r["rank"], r.id))
+    assert near == {10: [(1, 11)], 20: [(1, 21), (2, 22)], 1: [(1, 2), (1, 3), (2, 2), (2, 3)]}
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (5, [1.0, 0.2])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r["rank"], r.id) for r in hnsw.nearest(twice, F.col("id") == 1).orderBy("rank").collect()] == [(1, 1, 2), (1, 2, 5)]
+    assert sorted((r.id, r.n_links, r.component_id) for r in quantisation.links(twice).collect()) == [(1, 3, 1), (2, 3, 1), (2, 3, 1), (5, 3, 1)]
