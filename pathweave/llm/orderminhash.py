@@ -10,22 +10,28 @@ that ``similarity`` (1 - distance / longer length) leaves.
 Texts with the same words are one class, found by a digest. Classes are looked up by their
 sketches. Each bucket's members are first compared with one of them, then with another, which
 joins groups of near copies, however large, by as many comparisons as they have members. Only
-pairs of a bucket that are still in different components are then compared one by one, all of
-them; so no link between components is lost, and no group is expanded into all its pairs.
+pairs of a bucket that are still in different components are left then. A bucket's members come
+without their texts, as lengths and ``BINS`` counts of hashed words, whose difference is at most
+the edit distance: each member first goes with the nearest one of every other component, then
+with all that are left. So no link between components is lost, and no group is expanded into
+all its pairs.
 
 Sketches alone miss pairs with many scattered edits. So a last step compares what they can't
-have seen: texts of m words at most d edits apart have at least ``m - k + 1 - k d`` labelled
-k-mers in common, so in one order of all k-mers they share some (up to ``MEET``) among the first
-of each (a prefix filter). The order puts k-mers that are frequent in a sample last and decides cost only;
-``k`` is 3, or less where a short text would have nothing in common by this count. All pairs that
-share as many, fit by length and are in different components are aligned: no pair is missed.
+have seen: texts of m words at most d edits apart have at least ``t = m - k + 1 - k d`` labelled
+k-mers in common, so in one order of all k-mers they share some (a quarter, at least ``MEET``)
+among the first of each (a prefix filter). The order puts k-mers that are frequent in a sample last
+and decides cost only; ``k`` is 3, or less where a short text would have nothing in common by this
+count. Where they share more than ``DRAWN`` by this, only k-mers with a hash below a rate are
+looked up, such that ``DRAWN`` shared ones are to be expected; pairs with ``ENOUGH`` of them are
+aligned. That fewer come up has a chance of 1e-7 for a pair right at the threshold, and none
+for texts below some 250 words.
 
 Two texts whose shares of common labelled 5-word shingles is J meet in at least one of the 24
 buckets with probability ``1 - (1 - J^3)^24``: over 0.9999999 at J = 0.8, 0.99 at J = 0.56.
 
 Cases: null text is empty, and empty texts are one class; texts of fewer than five words have
 one k-mer, all their words; a document without an id is in no class; rows with the same id are
-one document if their words are the same, else linked as they come; an empty table gives an
+compared by their own texts, and the id is in the smallest of their groups; an empty table gives an
 empty result; texts are read whole whatever their length; only the named columns are read.
 """
 
@@ -49,15 +55,19 @@ from pathweave.session import cut_lineage, write_and_reread
 K, ELL, SKETCHES = 5, 3, 24
 WORDS_KEPT = 150_000
 #: Up to this number of ids (8 bytes each) are sent to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-#: Members of a bucket that one task compares with each other; larger buckets are dealt out.
-CHUNK = 256
+BROADCAST_ROWS = 1_000_000
 #: Words of a k-mer of the last step; documents from which its frequent ones are learned, and how many are kept.
 GRAM, GRAM_DOCS, GRAMS_KEPT = 3, 4096, 100_000
-#: Shared first k-mers that are asked for, where similar texts have so many; each adds one to the first k-mers of a text.
+#: Shared first k-mers that are asked for, where similar texts have so many.
 MEET = 8
-#: Members of a bucket, without their texts, that one task pairs.
+#: Shared k-mers to be expected of those that are drawn, and how many are asked for then.
+DRAWN, ENOUGH = 24, 4
+#: Members of a bucket, without their texts, that one task pairs; larger buckets are dealt out.
 PAIR_CHUNK = 2048
+#: Counts of hashed words by which pairs are sorted out before their texts are read.
+BINS = 256
+#: A k-mer in one of so many texts of the sample is known to be shared.
+COMMON = 64
 
 _ODD = np.array([np.uint64(2 * int(x) + 1) for x in np.random.default_rng(101).integers(0, 2**63 - 1, SKETCHES)], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -196,18 +206,54 @@ def similar(a: str | None, b: str | None, similarity: float) -> bool:
     return longer == 0 or distance_within(x, y, int(longer * (1 - similarity) + 1e-9)) is not None
 
 
-def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, digest, n, keys`` of every document with an id."""
+def counts_of(hashes: np.ndarray) -> bytes:
+    """How many words fall into each of ``BINS`` classes, 255 at most."""
+    return np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def sketched(docs: DataFrame, similarity: float) -> DataFrame:
+    """``doc, th, digest, n, keys, bins, grams, common`` of every row of ``docs(doc, th, text)``.
+
+    ``grams`` are the k-mers of the last step, ``common`` those of them that many texts have.
+    """
+    spark = docs.sparkSession
+    share = max(1, -(-docs.count() // GRAM_DOCS))
+
+    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t in batch["text"]:
+                h = word_hashes(words(t))
+                yield pd.DataFrame({"gram": np.unique(np.concatenate([kmers(h, k) for k in range(1, GRAM + 1)])).view(np.int64)})
+
+    drawn = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).limit(2 * GRAM_DOCS).mapInPandas(learned, "gram long")
+    top = drawn.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(GRAMS_KEPT).toPandas()
+    grams = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    frequent = spark.sparkContext.broadcast((grams[order], top["count"].to_numpy(dtype=np.int64)[order]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, counts = frequent.value
+        hot = known[counts > max(2, GRAM_DOCS // COMMON)]
         for batch in batches:
-            for a in range(0, len(batch), 1000):
-                part = batch.iloc[a : a + 1000]
+            for a in range(0, len(batch), 500):
+                part = batch.iloc[a : a + 500]
                 rows = [word_hashes(words(t)) for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "digest": [xxhash.xxh128_digest(r.tobytes()) for r in rows], "n": [len(r) for r in rows], "keys": [sketch(r) for r in rows]})
-
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    return d.mapInPandas(run, "id long, digest binary, n int, keys array<long>")
+                first = [prefix(r, similarity, known, counts) for r in rows]
+                shared = [np.isin(f, hot) for f in first]
+                yield pd.DataFrame(
+                    {
+                        "doc": part["doc"].to_numpy(),
+                        "th": part["th"].to_numpy(),
+                        "digest": [xxhash.xxh128_digest(r.tobytes()) for r in rows],
+                        "n": [len(r) for r in rows],
+                        "keys": [sketch(r) for r in rows],
+                        "bins": [counts_of(r) for r in rows],
+                        "grams": [f[~s].view(np.int64) for f, s in zip(first, shared, strict=True)],
+                        "common": [f[s].view(np.int64) for f, s in zip(first, shared, strict=True)],
+                    }
+                )
+
+    return docs.mapInPandas(run, "doc long, th long, digest binary, n int, keys array<long>, bins binary, grams array<long>, common array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -223,41 +269,41 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(run, "a long, b long")
 
 
-def compared(group: list, similarity: float) -> pa.RecordBatch | None:
-    """Links that join the components within one bucket: every pair of its members in different
-    components is aligned, unless the two have met in a bucket of an earlier function."""
-    key, _, _, side, ids, component, keys, texts = group
-    tokens = [words(t) for t in texts]
-    n = np.array([len(t) for t in tokens])
+def candidates(group: list, similarity: float, nearest_only: bool) -> pa.RecordBatch | None:
+    """``a, b``: pairs of one bucket that are in different components and may be similar by their
+    lengths and counts, but for those that have met in a bucket of an earlier function. With
+    ``nearest_only`` a member goes with one of each other component."""
+    key, _, _, side, ids, component, n, keys, bins = group
     # texts of at most ELL k-mers have one key only
     sketches = np.array([list(k) + [0] * (SKETCHES - len(k)) for k in keys], dtype=np.int64)
     table = int(np.argmax(sketches[0] == key[0]))
+    ids, n, side = np.array(ids), np.array(n), np.array(side)
+    counts = np.frombuffer(b"".join(bins), dtype=np.uint8).reshape(len(ids), BINS).astype(np.int16)
     _, root = np.unique(component, return_inverse=True)
-    side = np.array(side)
-    split = bool(side.any())
-    a = np.flatnonzero(side == 0)
-    vocabulary: dict[str, int] = {}
-    bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int64) for t in tokens]
-    found: list[tuple[int, int]] = []
-    for x in a.tolist():
-        others = np.flatnonzero(side == 1) if split else np.arange(x + 1, len(ids))
-        others = others[root[others] != root[x]]
-        others = others[np.minimum(n[others], n[x]) >= similarity * np.maximum(n[others], n[x])]
-        others = others[~(sketches[others, :table] == sketches[x, :table]).any(axis=1)]
-        if not len(others):
+    alone = not side.any()
+    b = np.flatnonzero(side == 1)
+    found = []
+    for x in np.flatnonzero(side == 0).tolist():
+        y = np.arange(x + 1, len(ids)) if alone else b
+        y = y[root[y] != root[x]]
+        limit = np.floor(np.maximum(n[y], n[x]) * (1 - similarity) + 1e-9)
+        near = np.abs(n[y] - n[x]) <= limit
+        y, limit = y[near], limit[near]
+        new = ~(sketches[y, :table] == sketches[x, :table]).any(axis=1)
+        y, limit = y[new], limit[new]
+        if not len(y):
             continue
-        left = np.bincount(bags[x], minlength=len(vocabulary))
-        for y in others.tolist():
-            if root[y] == root[x]:
-                continue
-            limit = int(max(n[x], n[y]) * (1 - similarity) + 1e-9)
-            differ = left - np.bincount(bags[y], minlength=len(vocabulary))
-            if max(differ[differ > 0].sum(), -differ[differ < 0].sum()) <= limit and distance_within(tokens[x], tokens[y], limit) is not None:
-                found.append((ids[x], ids[y]))
-                root[root == root[y]] = root[x]
-    if not found:
+        differ = counts[y] - counts[x]
+        apart = np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1))
+        y, apart = y[apart <= limit], apart[apart <= limit]
+        if nearest_only:
+            order = np.argsort(apart, kind="stable")
+            y = y[order]
+            y = y[np.unique(root[y], return_index=True)[1]]
+        found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+    if not sum(len(f[0]) for f in found):
         return None
-    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)], names=["a", "b"])
 
 
 def edits(n: int, similarity: float) -> int:
@@ -272,107 +318,95 @@ def must_share(m: int, similarity: float) -> tuple[int, int] | None:
     return next(((k, t) for k in range(GRAM, 0, -1) if (t := m - k + 1 - k * d) >= 1), None) if d else None
 
 
+def met(t: int) -> int:
+    """How many of at least ``t`` common k-mers are common to the first ones of both texts."""
+    return min(t, max(MEET, t // 4))
+
+
+def rate(t: int) -> float:
+    """The share of k-mers that is drawn where ``t`` are common."""
+    return min(1.0, DRAWN / met(t))
+
+
+def asked(m: int, similarity: float) -> int:
+    """How many looked-up k-mers a text of ``m`` words and a similar one, not longer, have in common."""
+    share = must_share(m, similarity)
+    if share is None:
+        return m + 1
+    return min(met(share[1]), MEET) if rate(share[1]) == 1.0 else ENOUGH
+
+
 @lru_cache(maxsize=100_000)
-def prefix_lengths(n: int, similarity: float) -> tuple[tuple[int, int], ...]:
-    """``(k, number of first k-mers)`` under which a text of ``n`` words meets all similar ones.
+def prefix_lengths(n: int, similarity: float) -> tuple[tuple[int, int, float], ...]:
+    """``(k, number of first k-mers, share that is drawn)`` by which a text of ``n`` words meets all similar ones.
 
     A pair goes by the k of its longer text, of m words.
     """
-    spare: dict[int, int] = {}
+    spare: dict[int, tuple[int, float]] = {}
     m = n
     while m - edits(m, similarity) <= n:
         share = must_share(m, similarity)
         if share and n >= share[0]:
             k, t = share
-            spare[k] = min(spare.get(k, m), t - min(t, MEET))
+            left, drawn = spare.get(k, (m, 0.0))
+            spare[k] = (min(left, t - met(t)), max(drawn, rate(t)))
         m += 1
-    return tuple((k, n - k + 1 - t) for k, t in spare.items())
+    return tuple((k, n - k + 1 - left, drawn) for k, (left, drawn) in spare.items())
 
 
 def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The k-mers under which a text is looked up in the last step."""
     out = [np.zeros(0, dtype=np.uint64)]
-    for k, most in prefix_lengths(len(hashes), similarity):
+    for k, most, drawn in prefix_lengths(len(hashes), similarity):
         grams = kmers(hashes, k)
         count = np.zeros(len(grams), dtype=np.int64)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
             count = np.where(frequent[at] == grams, counts[at], 0)
-        out.append(grams[np.lexsort((grams, count))[:most]])
+        if most < len(grams):
+            grams = grams[np.lexsort((grams, count))[:most]]
+        out.append(grams if drawn == 1.0 else grams[_mixed(grams * _STEP) < np.uint64(int(drawn * 2.0**64))])
     return np.concatenate(out)
 
 
-def _shared(keys: np.ndarray, digests: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One row (that with the smallest id) of each text under each key."""
-    order = np.lexsort((ids, digests, keys))
-    keys, digests, ids = keys[order], digests[order], ids[order]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])
-    return keys[first], digests[first], ids[first]
-
-
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, id`` of the keys of two or more texts, from rows in order of their key."""
-    held = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
-
-    def out(rows: tuple) -> pa.RecordBatch:
-        keys = rows[0]
-        same = np.zeros(len(keys) + 1, dtype=bool)
-        same[1:-1] = keys[1:] == keys[:-1]
-        several = same[1:] | same[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(keys[several]), pa.array(rows[2][several])], names=["key", "id"])
-
+    """``key, id`` of the keys of two or more texts, from rows in order of their key; a row is held at most."""
+    none = np.zeros(0, dtype=np.int64)
+    last_key, last_id, waiting = none, none, False  # waiting: the last key has come once only
     for batch in batches:
-        if batch.num_rows:
-            held = _shared(*[np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)])
-            end = int(np.searchsorted(held[0], held[0][-1]))
-            yield out(tuple(h[:end] for h in held))
-            held = tuple(h[end:] for h in held)
-    yield out(held)
+        if not batch.num_rows:
+            continue
+        keys, ids = (c.to_numpy() for c in batch.columns)
+        again = bool(len(last_key)) and keys[0] == last_key[0]
+        same = keys[1:] == keys[:-1]
+        several = np.append(again, same) | np.append(same, False)
+        held_back = not several[-1]  # whether it is shared shows in the next batch
+        if again and waiting:
+            keys_out, ids_out = np.append(last_key, keys[several]), np.append(last_id, ids[several])
+        else:
+            keys_out, ids_out = keys[several], ids[several]
+        last_key, last_id, waiting = keys[-1:], ids[-1:], held_back
+        yield pa.RecordBatch.from_arrays([pa.array(keys_out), pa.array(ids_out)], names=["key", "id"])
 
 
-def unmet_pairs(docs: DataFrame, one: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
+def unmet_pairs(sk: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: all pairs of texts in different components that may be similar by their first k-mers.
 
-    ``docs(id, text)``, ``one(id, n)`` of each distinct text, ``component(id, component)``.
+    ``sk`` has ``doc, th, grams, common``, ``one(doc, th, id, n, component)`` a row for each distinct text.
     """
-    spark = docs.sparkSession
-    share = max(1, -(-one.count() // GRAM_DOCS))
-
-    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for t in batch["text"]:
-                h = word_hashes(words(t))
-                yield pd.DataFrame({"gram": np.unique(np.concatenate([kmers(h, k) for k in range(1, GRAM + 1)])).view(np.int64)})
-
-    drawn = docs.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).limit(2 * GRAM_DOCS).mapInPandas(learned, "gram long")
-    top = drawn.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(GRAMS_KEPT).toPandas()
-    grams = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(grams)
-    frequent = spark.sparkContext.broadcast((grams[order], top["count"].to_numpy(dtype=np.int64)[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                hashes = [word_hashes(words(t)) for t in part.column(1).to_pylist()]
-                keys = [prefix(h, similarity, *frequent.value).view(np.int64) for h in hashes]
-                n = [len(k) for k in keys]
-                digests = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in hashes], dtype=np.uint64).view(np.int64)
-                columns = [np.concatenate(keys), np.repeat(digests, n), np.repeat(part.column(0).to_numpy(), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["key", "digest", "id"])
-
+    spark = sk.sparkSession
+    one, _ = counted_side(one, BROADCAST_ROWS)
+    mine = sk.join(one.select("doc", "th", "id"), ["doc", "th"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.mapInArrow(run, "key long, digest long, id long").repartition(parts, "key").sortWithinPartitions("key")
-    met = write_and_reread(dealt.mapInArrow(meetings, "key long, id long"), "order-minhash-met")
-    placed = met.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).join(one.select("id", "n"), "id")
-    placed = write_and_reread(placed.select("key", "id", "component", "n"), "order-minhash-placed")
+    dealt = mine.select(F.explode("grams").alias("key"), "id").repartition(parts, "key").sortWithinPartitions("key")
+    rows = dealt.mapInArrow(meetings, "key long, id long").union(mine.select(F.explode("common").alias("key"), "id"))
+    placed = write_and_reread(rows.join(one.select("id", "component", "n"), "id").select("key", "id", "component", "n"), "order-minhash-placed")
     mixed = placed.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count")
     mixed = cut_lineage(mixed)
 
     def pair(group: list) -> pa.RecordBatch | None:
         side, ids, root, n = (np.array(c) for c in group[3:])
-        need = {m: min(share[1], MEET) if (share := must_share(m, similarity)) else m + 1 for m in set(n.tolist())}
+        need = {m: asked(m, similarity) for m in set(n.tolist())}
         need = np.array([need[m] for m in n.tolist()])
         a, b = (side == 0).nonzero()[0], (side == 1).nonzero()[0]
         alone = len(b) == 0 and not side.any()
@@ -389,31 +423,40 @@ def unmet_pairs(docs: DataFrame, one: DataFrame, component: DataFrame, similarit
     return deal_buckets(members, mixed, PAIR_CHUNK, BROADCAST_ROWS).mapInArrow(each_group(pair), "a long, b long, need long").groupBy("a", "b", "need").count().filter("count >= need").select("a", "b")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """``id, class_id`` of every distinct document id: the smallest id of its group."""
-    sk = write_and_reread(sketched(docs, id_col, text_col), "order-minhash")
-    rep = sk.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = sk.select("id", "digest").join(rep, "digest").select("id", "rep")
-    one = sk.groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("s")).select("s.*")
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, th, text``: the id, by which and by the text's hash a row is found again."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
+    return d.select("doc", F.xxhash64("text").alias("th"), "text")
+
+
+def groups(d: DataFrame, similarity: float) -> DataFrame:
+    """``doc, th, first_doc, first_th`` of every row of ``documents``: the row with the smallest id of its group."""
+    sk = write_and_reread(sketched(d, similarity), "order-minhash")
+    # texts with the same words are one class, with a number of its own
+    one = sk.groupBy("digest").agg(F.min(F.struct("doc", "th", "n", "keys")).alias("s")).select("digest", "s.*")
+    one = write_and_reread(one.withColumn("id", F.monotonically_increasing_id()), "order-minhash-classes")
     keyed = one.select("id", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max_by("id", F.xxhash64("id", "key")).alias("other")).filter("size > 1")
     rows = cut_lineage(keyed.join(shared.drop("size"), "key"))
     fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
 
-    held, _ = counted_side(rows.select("id").distinct(), BROADCAST_ROWS)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # rows that share an id and differ in text are told apart by nothing; one of them stands for the id
-    texts = write_and_reread(d.join(held, "id", "left_semi").dropDuplicates(["id"]), "order-minhash-texts")
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        held, _ = counted_side(one.select("doc", "th", "id").join(ids.distinct(), "id", "left_semi"), BROADCAST_ROWS)
+        return write_and_reread(d.join(held, ["doc", "th"]).dropDuplicates(["id"]).select("id", "text"), name)
+
+    texts = texts_of(rows.select("id"), "order-minhash-texts")
     lengths = rows.select("id", "n").distinct()
 
     def star(found: DataFrame | None, centre: str) -> DataFrame:
         """Links between the members of each bucket and its ``centre``, if not in one component."""
         p = rows.select(F.col(centre).alias("a"), F.col("id").alias("b"), F.col("n").alias("b_n")).filter("a <> b").distinct()
         p = p.join(lengths.select(F.col("id").alias("a"), F.col("n").alias("a_n")), "a").filter(fits(F.col("a_n"), F.col("b_n")))
-        if found is not None:
-            p = apart(p, found)
-        links = verified(p, texts, similarity)
-        return cut_lineage(links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        return joined(p if found is None else apart(p, found), found)
+
+    def joined(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
+        """``found`` with the links of those ``pairs`` that are similar."""
+        links = verified(pairs, texts, similarity)
+        return connected_components(links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
 
     def apart(p: DataFrame, found: DataFrame) -> DataFrame:
         a = found.select(F.col("node").alias("a"), F.col("component").alias("a_comp"))
@@ -421,33 +464,55 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         p = p.join(a, "a", "left").join(b, "b", "left")
         return p.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b"))
 
-    found = connected_components(star(None, "first"), "a", "b")
-    links = star(found, "other")
-    found = connected_components(links, "a", "b")
-
-    # what is left: pairs of one bucket in different components
-    comp = found.select(F.col("node").alias("id"), "component")
-    placed = cut_lineage(rows.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count")
-    members = placed.join(mixed.select("key"), "key", "left_semi").join(one.select("id", "keys"), "id").join(texts, "id").select("key", "id", "component", "keys", "text")
-    dealt = deal_buckets(members, mixed, CHUNK, BROADCAST_ROWS)
-    rest = dealt.mapInArrow(each_group(lambda group: compared(group, similarity)), "a long, b long")
-    links = cut_lineage(rest.union(links))
+    def placed(ids: DataFrame, found: DataFrame) -> DataFrame:
+        """``ids`` with the component of each id."""
+        return ids.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    found = star(star(None, "first"), "other")
+
+    # what is left: pairs of one bucket in different components, the nearest first
+    for nearest_only in (True, False):
+        inside = cut_lineage(placed(rows.select("key", "id", "n"), found))
+        mixed = inside.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count")
+        mixed = cut_lineage(mixed)
+        members = inside.join(mixed.select("key"), "key", "left_semi")
+        held, _ = counted_side(one.select("doc", "th", "id", "keys").join(members.select("id").distinct(), "id", "left_semi"), BROADCAST_ROWS // SKETCHES)
+        bins = sk.select("doc", "th", "bins").join(held, ["doc", "th"]).dropDuplicates(["id"]).select("id", "keys", "bins")
+        dealt = deal_buckets(members.join(bins, "id").select("key", "id", "component", "n", "keys", "bins"), mixed, PAIR_CHUNK, BROADCAST_ROWS)
+        pairs = dealt.mapInArrow(each_group(lambda group, only=nearest_only: candidates(group, similarity, only)), "a long, b long").distinct()
+        pairs, n_pairs = counted_side(pairs, 0)
+        if n_pairs:
+            found = joined(pairs, found)
 
     # what no sketch has brought together
-    found = connected_components(links, "a", "b")
-    unmet, n_unmet = counted_side(unmet_pairs(d.filter("id is not null"), one.select("id", "n"), found.select(F.col("node").alias("id"), "component"), similarity), 0)
+    unmet, n_unmet = counted_side(unmet_pairs(sk.select("doc", "th", "grams", "common"), placed(one.select("doc", "th", "id", "n"), found), similarity), 0)
     if n_unmet:
-        held, _ = counted_side(unmet.select(F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_ROWS)
-        texts = write_and_reread(d.join(held, "id", "left_semi").dropDuplicates(["id"]), "order-minhash-unmet")
-        links = cut_lineage(verified(unmet, texts, similarity).union(links))
-        found = connected_components(links, "a", "b")
-    found = found.select(F.col("node").alias("rep"), "component")
-    return member.join(found, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
-
-
-def keep_one(docs: DataFrame, columns: Sequence[str], *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest id; rows without an id stay."""
-    kept = classes(docs, id_col=id_col, **options).filter("id = class_id").select(F.col("id").alias("__id"))
-    held = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return held.select(*columns).unionByName(docs.filter(F.col(id_col).isNull()).select(*columns))
+        texts = texts_of(unmet.select(F.explode(F.array("a", "b")).alias("id")), "order-minhash-unmet")
+        found = joined(unmet, found)
+
+    whole = cut_lineage(placed(one.select("digest", "id", "doc", "th"), found))
+    first = whole.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("first"))
+    first = whole.join(first, "component").select("digest", F.col("first.doc").alias("first_doc"), F.col("first.th").alias("first_th"))
+    first, _ = counted_side(first, BROADCAST_ROWS)
+    return sk.select("doc", "th", "digest").join(first, "digest").select("doc", "th", "first_doc", "first_th")
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``id, class_id`` of every distinct document id: the smallest id of its group."""
+    found = groups(documents(docs, id_col, text_col), similarity)
+    return found.groupBy(F.col("doc").alias("id")).agg(F.min("first_doc").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, columns: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group, that with the smallest id; rows without an id stay.
+
+    Rows with the same id and text are one document.
+    """
+    found = groups(documents(docs, id_col, text_col), similarity)
+    kept = found.filter("doc = first_doc and th = first_th").groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg((F.count("*") > 1).alias("__again"))
+    kept, _ = counted_side(kept, BROADCAST_ROWS)
+    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(text_col))
+    held = rows.filter("__id is not null").join(kept, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__th")))
+    once = held.filter("not __again").select(*columns)
+    again = held.filter("__again").dropDuplicates(["__id", "__hash"]).select(*columns)
+    return once.unionByName(again).unionByName(rows.filter("__id is null").select(*columns))
