@@ -6,8 +6,8 @@ of the edges only; the number of rounds grows with the logarithm of the size of
 Every round is checkpointed, so plans stay short and a lost executor costs no earlier round.
 
 A star's centre has as many edges as its component has nodes. Its smallest neighbour comes from
-partial minima; it meets the edges again by broadcast while the nodes' counted number allows it,
-and else by a join of two plain shuffles, whose skewed partitions Spark can split.
+partial minima; it meets the edges again by broadcast while the counted edges bound the nodes, and
+else by a join of two plain shuffles, whose skewed partitions Spark can split.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.session import counted_side, cut_lineage
+from pathweave.session import cut_lineage
 
 #: Up to this number of nodes (16 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -34,10 +34,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = cut_lineage(e.distinct())
     known = _signature(e)
     for _ in range(max_rounds):
+        # edges have two nodes at most
+        met = F.broadcast if 2 * known[0] <= BROADCAST_ROWS else cut_lineage
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        smallest, _ = counted_side(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), BROADCAST_ROWS)
+        smallest = met(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
         large = both.filter("v > u").join(smallest, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        lowest, _ = counted_side(large.groupBy("a").agg(F.min("b").alias("m")), BROADCAST_ROWS)
+        lowest = met(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut_lineage(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())
         now = _signature(e)
