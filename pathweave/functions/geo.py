@@ -64,7 +64,7 @@ def bearing(a: Column, b: Column) -> Column:
 
 def angle_between(a: Column, b: Column) -> Column:
     """Smallest difference of two bearings, 0 to 180."""
-    return F.abs((b - a + 540) % 360 - 180)
+    return F.abs(F.pmod(b - a + 540, F.lit(360.0)) - 180)
 
 
 def compass(deg: Column) -> Column:

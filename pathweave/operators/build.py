@@ -27,10 +27,12 @@ ID_CELL_M = 0.5
 
 def clip(ways: DataFrame, ring: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ways that have a vertex in the service area or cross its border, and the rest with a reason."""
-    d = ways.crossJoin(F.broadcast(ring.limit(1).select("ring")))
-    inside = F.exists("line", lambda p: geo.inside(p, F.col("ring")))
-    cross = F.exists(geo.pairs(F.col("line"), lambda a, b: F.exists(geo.pairs(F.col("ring"), lambda c, e: geo.intersection(a, b, c, e).isNotNull()), lambda x: x)), lambda x: x)
-    d = d.withColumn("reject_reason", F.when(~(inside | cross), "outside the service area")).drop("ring")
+    # an area is a row per ring, of which there are few; they go along as one row
+    d = ways.crossJoin(F.broadcast(ring.agg(F.collect_list("ring").alias("rings"))))
+    meets = lambda a, b, r: F.exists(geo.pairs(r, lambda c, e: geo.intersection(a, b, c, e).isNotNull()), lambda x: x)
+    inside = F.exists("rings", lambda r: F.exists("line", lambda p: geo.inside(p, r)))
+    cross = F.exists("rings", lambda r: F.exists(geo.pairs(F.col("line"), lambda a, b: meets(a, b, r)), lambda x: x))
+    d = d.withColumn("reject_reason", F.when(~(inside | cross), "outside the service area")).drop("rings")
     return d.filter("reject_reason is null").drop("reject_reason"), d.filter("reject_reason is not null")
 
 
@@ -102,6 +104,13 @@ def degrees_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+def near_points(lines: DataFrame, points: DataFrame, metres: float = DOOR_M) -> DataFrame:
+    """``node``: the ends ``u, v`` of lines that are within ``metres`` of one of ``points(p)``."""
+    ends = lines.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    met = box_join(ends, points.select(F.col("p").alias("kp")), point_box(F.col("node")), point_box(F.col("kp")), 1e-3, degrees_for(metres))
+    return met.filter(geo.haversine(F.col("node"), F.col("kp")) <= metres).select("node").distinct()
+
+
 def drop_stubs(edges: DataFrame, keep: DataFrame, metres: float = STUB_M) -> DataFrame:
     """Edges(id, u, v, m) without those shorter than ``metres`` with a free end that isn't in ``keep(node)``."""
     free = degrees_of(edges).filter("degree = 1").join(keep.select("node"), "node", "left_anti").select("node")
@@ -171,7 +180,8 @@ def largest_component(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = comp.groupBy("component").agg(F.count("*").alias("nodes"))
     top = size.agg(F.max(F.struct("nodes", F.negative("component").alias("c"))).alias("t")).select(F.negative("t.c").alias("top"))
     placed = e.join(comp.withColumnRenamed("node", "nu"), "nu").crossJoin(F.broadcast(top))
-    box = geo.bounds(F.flatten(F.collect_list("line")))
+    own = geo.bounds(F.col("line"))
+    box = F.struct(*[f(own[c]).alias(c) for f, c in ((F.min, "min_lon"), (F.min, "min_lat"), (F.max, "max_lon"), (F.max, "max_lat"))])
     others = placed.filter("component <> top").groupBy("component").agg(F.sum("m").alias("metres"), box.alias("box")).join(size, "component")
     others = others.select("component", "nodes", "metres", geo.point((F.col("box.min_lon") + F.col("box.max_lon")) / 2, (F.col("box.min_lat") + F.col("box.max_lat")) / 2).alias("centre"), (F.col("metres") > 100).alias("warn"))
     return placed.filter("component = top").drop("component", "top", "nu", "nv"), others

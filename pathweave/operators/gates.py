@@ -122,8 +122,9 @@ def footprint_piercing(edges: DataFrame, footprints: DataFrame, allowed: DataFra
 
 
 def in_service_area(points: DataFrame, area: DataFrame) -> DataFrame:
-    """G1: points outside the one ring of ``area``."""
-    return _out(points.crossJoin(F.broadcast(area.limit(1).select("ring"))).filter(~geo.inside(F.col("p"), F.col("ring"))), "id", F.lit("outside"))
+    """G1: ``points(id, p)`` outside all rings of ``area(ring)``, which has a row per ring, of which there are few."""
+    rings = area.agg(F.collect_list("ring").alias("rings"))
+    return _out(points.crossJoin(F.broadcast(rings)).filter(~F.exists("rings", lambda r: geo.inside(F.col("p"), r))), "id", F.lit("outside"))
 
 
 def long_straight(edges: DataFrame, metres: float = 400.0) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.functions import geo
-from pathweave.operators.spatial import box_join, degrees_for, point_box
+from pathweave.operators.spatial import around, box_join, point_box
+from pathweave.session import cut_lineage
 
 GEO_REF = r"^geo:(-?[0-9.]+),(-?[0-9.]+),r=([0-9.]+)$"
 
 
-def resolve(refs: DataFrame, known: DataFrame, places: DataFrame, most_m: float = 100.0) -> DataFrame:
+def resolve(refs: DataFrame, known: DataFrame, places: DataFrame) -> DataFrame:
     """``refs(overlay_id, ref_primary, ref_fallback)`` with ``resolved_to, resolution``.
 
     ``known(ref, id)`` are all spellings that name an entity (its id, ``osm:way/1``, ``osm:node/2``),
@@ -23,10 +24,10 @@ def resolve(refs: DataFrame, known: DataFrame, places: DataFrame, most_m: float
     d = refs.join(k1, "ref_primary", "left").join(k2, "ref_fallback", "left")
     ref = F.when(F.col("ref_primary").startswith("geo:"), F.col("ref_primary")).otherwise(F.col("ref_fallback"))
     part = lambda i: F.nullif(F.regexp_extract("geo", GEO_REF, i), F.lit("")).cast("double")
-    d = d.withColumn("geo", ref).withColumns({"gp": F.when(F.col("geo").rlike(GEO_REF), geo.point(part(1), part(2))), "r": F.least(part(3), F.lit(most_m))})
-    open_ = d.filter(F.col("first").isNull() & F.col("second").isNull() & F.col("gp").isNotNull()).select("overlay_id", "gp", "r")
-    margin = degrees_for(most_m)
-    near = box_join(open_, places.select(F.col("id").alias("place_id"), F.col("p").alias("pp")), point_box(F.col("gp")), point_box(F.col("pp")), max(margin, 1e-3), margin)
+    d = d.withColumn("geo", ref).withColumns({"gp": F.when(F.col("geo").rlike(GEO_REF), geo.point(part(1), part(2))), "r": part(3)})
+    open_ = cut_lineage(d.filter(F.col("first").isNull() & F.col("second").isNull() & F.col("gp").isNotNull()).select("overlay_id", "gp", "r"))
+    # each reference has a box of its own radius; cells of the ordinary size hold most of them
+    near = box_join(open_, places.select(F.col("id").alias("place_id"), F.col("p").alias("pp")), around(F.col("gp"), F.col("r")), point_box(F.col("pp")), 2e-3)
     near = near.filter(geo.haversine(F.col("gp"), F.col("pp")) <= F.col("r")).groupBy("overlay_id").agg(F.count("*").alias("n"), F.min("place_id").alias("place_id"))
     d = d.join(near, "overlay_id", "left")
     exact = F.coalesce("first", "second")

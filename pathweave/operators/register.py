@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from pathweave.functions import geo
 from pathweave.operators.components import connected_components
 from pathweave.operators.spatial import close_pairs
+from pathweave.session import cut_lineage
 
 WING_M = 150.0
 NULL_ISLAND, NO_GEOMETRY = "null-island coordinates (0, 0)", "missing point geometry"
@@ -23,6 +24,25 @@ def shape_reason(in_set: Column, name: Column) -> Column:
     return F.when(~F.coalesce(in_set, F.lit(False)), NOT_IN_SET).when(F.coalesce(name, F.lit("")).rlike(r"(?i)\b(SOLAR|CANOPY|INFRASTRUCTURE)\b"), NOT_ENCLOSED)
 
 
+def shapes_of_buildings(shapes: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``shapes(code, name, ...)`` of buildings, by ``codes(code)`` of the register, and the others with their ``reject_reason``."""
+    known = codes.filter("code is not null").select("code").distinct()
+    inside = shapes.join(known, "code", "left_semi").withColumn("reject_reason", shape_reason(F.lit(True), F.col("name")))
+    outside = shapes.join(known, "code", "left_anti").withColumn("reject_reason", F.lit(NOT_IN_SET))
+    return inside.filter("reject_reason is null").drop("reject_reason"), inside.filter("reject_reason is not null").unionByName(outside)
+
+
+def with_entrance(nodes: DataFrame, entrances: DataFrame) -> DataFrame:
+    """``nodes(node_id, ...)`` with what ``entrances(node_id, ...)`` says about those that are doors."""
+    return nodes.join(entrances.drop("building_id"), "node_id", "left")
+
+
+def with_building(footprints: DataFrame, buildings: DataFrame) -> DataFrame:
+    """``footprints(footprint_id, ...)`` with the building that stands on each, if any."""
+    b = buildings.filter("footprint_id is not null").select("footprint_id", "building_id", "display_name", "category", "routable")
+    return footprints.join(b, "footprint_id", "left")
+
+
 def clusters(points: DataFrame, metres: float = WING_M, *, key: str | None = "code") -> DataFrame:
     """``points(id, position[, key])`` with ``cluster``: the smallest id of those linked, one to the
     next, by at most ``metres``, within the same ``key`` if there is one."""
@@ -53,11 +73,22 @@ def records(points: DataFrame, metres: float = WING_M) -> DataFrame:
 
 
 def freshness(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``field, min, max, p50, n`` of millisecond columns; p50 is the upper median, not interpolated."""
+    """``field, min, max, p50, n`` of millisecond columns; p50 is the upper median, not interpolated.
+
+    Values are counted and dealt by ranges; the median is looked for in the one range that holds it.
+    """
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("long").alias("v")) for c in columns])).alias("x")).select("x.*").filter("v is not null")
-    place = W.partitionBy("field").orderBy("v")
-    ranked = long.withColumn("r", F.row_number().over(place) - 1).withColumn("n", F.count("*").over(W.partitionBy("field")))
-    found = ranked.groupBy("field").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2), F.col("v"))).alias("mid"), F.max("n").alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = long.groupBy("field", "v").agg(F.count("*").alias("c")).repartitionByRange(parts, "field", "v")
+    counted = cut_lineage(counted.withColumn("part", F.spark_partition_id()))
+    ranges = counted.groupBy("field", "part").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))  # a row per range
+    before = F.sum("c").over(W.partitionBy("field").orderBy("part")) - F.col("c")
+    ranges = ranges.select("field", "part", "lo", "hi", "c", before.alias("before"), F.sum("c").over(W.partitionBy("field")).alias("n"))
+    middle = F.floor(F.col("n") / 2)
+    holds = ranges.filter((F.col("before") <= middle) & (middle < F.col("before") + F.col("c"))).select("field", "part", (middle - F.col("before")).alias("left"))
+    up_to = F.sum("c").over(W.partitionBy("field").orderBy("v"))
+    mid = counted.join(F.broadcast(holds), ["field", "part"]).withColumn("up_to", up_to).filter("up_to > left").groupBy("field").agg(F.min("v").alias("mid"))
+    found = ranges.groupBy("field").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n")).join(mid, "field")
     fields = rows.sparkSession.createDataFrame([(c,) for c in columns], "field string")
     d = fields.join(found, "field", "left")
     return d.select("field", *[F.timestamp_millis(c).alias(a) for c, a in (("lo", "min"), ("hi", "max"), ("mid", "p50"))], F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import random
+from math import ceil, log
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pathweave.functions import geo
+from pathweave.session import cut_lineage
 
 SEED, PAIRS, LEAST_M = 20260827, 500, 50.0
 
 
 def sampled_pairs(spark: SparkSession, places: list[tuple[str, float, float]], n: int = PAIRS, seed: int = SEED, least_m: float = LEAST_M) -> DataFrame:
     """``from_bldg, to_bldg, straight_m``: pairs drawn by a seeded generator, so that they are the same
-    everywhere. ``places`` are the ids and centres of the routable buildings, a list that a driver holds."""
+    everywhere, the smaller id first. ``places`` are the ids and centres of the routable buildings, a list that a driver holds."""
     from math import asin, cos, radians, sin, sqrt
 
     def metres(a: tuple, b: tuple) -> float:
@@ -32,7 +34,7 @@ def sampled_pairs(spark: SparkSession, places: list[tuple[str, float, float]], n
         if key in seen or (m := metres(a, b)) < least_m:
             continue
         seen.add(key)
-        out.append((a[0], b[0], m))
+        out.append((*key, m))
     return spark.createDataFrame(out, "from_bldg string, to_bldg string, straight_m double")
 
 
@@ -59,10 +61,12 @@ def ratchet(limit: float, value: float) -> float:
 
 def graph_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SHA-256 over the ordered node ids and ``id|from|to|length`` of the ordered edges. The digests of
-    ranges are taken first, so no task holds the whole graph as text."""
+    ranges are taken first, so no task holds the whole graph as text; it is not the digest of the whole
+    listing in one go. Ranges get smaller as the graph grows, so that one has some 50 000 lines at most."""
+    parts = max(2, ceil(log(max(nodes.count() + edges.count(), 1) / 50_000, 16)))
     n = nodes.select(F.lit(0).alias("part"), F.col("id").cast("string").alias("k"), F.col("id").cast("string").alias("line"))
     e = edges.select(F.lit(1).alias("part"), F.col("id").cast("string").alias("k"), F.concat_ws("|", F.col("id").cast("string"), F.col("u").cast("string"), F.col("v").cast("string"), F.format_string("%.3f", "m")).alias("line"))
-    lines = n.unionByName(e).withColumn("range", F.substring(F.sha2("k", 256), 1, 2))
+    lines = n.unionByName(e).withColumn("range", F.substring(F.sha2("k", 256), 1, parts))
     each = lines.groupBy("part", "range").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n"), 256).alias("h"))
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "range", "h"))), lambda x: F.concat_ws(":", x["part"].cast("string"), x["range"], x["h"])), ""), 256).alias("graph_hash"))
 
@@ -86,9 +90,19 @@ def manifest_counts(buildings: DataFrame, nodes: DataFrame, edges: DataFrame, co
 
 
 def entrance_queue(buildings: DataFrame, entrances: DataFrame) -> DataFrame:
-    """Buildings whose doors are all provisional or missing, the largest first."""
+    """Buildings whose doors are all provisional or missing, with their ``place``, the largest first."""
     sure = entrances.filter(~F.coalesce("provisional", F.lit(True))).select(F.col("buildingId").alias("id")).distinct()
-    return buildings.join(sure, "id", "left_anti").orderBy(F.desc_nulls_last("gsf"), "id")
+    return numbered(buildings.join(sure, "id", "left_anti"), "place", F.desc_nulls_last("gsf"), F.asc("id"))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``rows`` numbered from 1 in a total order: dealt by ranges, numbered in each, and moved on by the ranges before."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    d = cut_lineage(d.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = d.groupBy("__part").agg(F.count("*").alias("n"))  # a row per range
+    before = sizes.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))
+    return d.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
 
 
 def latest_by_key(changes: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -18,13 +18,16 @@ POINTS = f"array<{geo.POINT}>"
 @dataclass
 class State:
     """What the stages pass on. ``ways(way, line, layer, bridged, type, name, surface, plaza)``,
-    ``buildings(id, ring)``, ``entrances(p)``, ``area(ring)``, ``trees(id, line)``."""
+    ``buildings(id, ring)``, ``entrances(p)``, ``area(ring)``, ``trees(id, line)``, and if there are
+    any ``barriers(p)`` and ``crossings(p, signalized)``."""
 
     ways: DataFrame
     buildings: DataFrame
     entrances: DataFrame
     area: DataFrame
     trees: DataFrame
+    barriers: DataFrame | None = None
+    crossings: DataFrame | None = None
     lines: DataFrame | None = None
     edges: DataFrame | None = None
     doors: DataFrame | None = None
@@ -58,11 +61,14 @@ def plaza(s: State) -> None:
 
 def cleanup(s: State) -> None:
     e = s.lines.withColumn("id", F.xxhash64(F.to_json("line"), "way", "part")).withColumn("m", geo.length(F.col("line")))
-    none = e.select(F.col("u").alias("node")).limit(0)
-    e = build.drop_stubs(e.select("id", "u", "v", "m", "line", "synthetic", *ATTRIBUTES), none)
+    # stubs stay that end at an entrance or barrier; chains end at entrances and crossings
+    near = lambda points: e.select(F.col("u").alias("node")).limit(0) if points is None else build.near_points(e, points)
+    doors = write_and_reread(near(s.entrances), "build-kept")
+    e = build.drop_stubs(e.select("id", "u", "v", "m", "line", "synthetic", *ATTRIBUTES), doors.union(near(s.barriers)).distinct())
+    apart = write_and_reread(doors.union(near(s.crossings)).distinct(), "build-apart")
     e = write_and_reread(build.drop_duplicates(e.withColumn("tags", F.size(F.array_compact(F.array("name", "surface"))))).drop("tags"), "build-unique")
     e, s.dropped = build.largest_component(e)
-    s.edges = build.collapse_chains(e, none, [*ATTRIBUTES, "synthetic"])
+    s.edges = build.collapse_chains(e, apart, [*ATTRIBUTES, "synthetic"])
 
 
 def clip_footprints(s: State) -> None:
@@ -113,11 +119,17 @@ def run(state: State, *, only: str | None = None, begin: str | None = None) -> S
 
 
 def nodes(state: State) -> DataFrame:
-    """``id, position, type`` of the built edges' ends; doors are entrances."""
+    """``id, position, type`` of the built edges' ends; doors are entrances, ends at a mapped crossing crossings."""
     ends = state.edges.select(F.explode(F.array(F.struct(F.col("from_node_id").alias("id"), F.col("line")[0].alias("position")), F.struct(F.col("to_node_id").alias("id"), F.element_at("line", -1).alias("position")))).alias("x")).select("x.*")
     doors = state.doors.filter("position is not null").select(build.node_id(F.col("position")).alias("id"), F.lit(True).alias("door")).distinct()
     each = ends.groupBy("id").agg(F.min("position").alias("position"))
-    return each.join(doors, "id", "left").select("id", "position", F.when(F.col("door"), "entrance").otherwise("walkway").alias("type"))
+    each = each.join(doors, "id", "left").withColumn("at", F.lit(False))
+    if state.crossings is not None:
+        ends = each.select(F.col("position").alias("u"), F.col("position").alias("v"))
+        met = build.near_points(ends, state.crossings).select(F.col("node").alias("position"), F.lit(True).alias("met"))
+        each = each.join(met, "position", "left").withColumn("at", F.coalesce("met", F.lit(False)))
+    kind = F.when(F.col("door"), "entrance").when(F.col("at"), "crossing").otherwise("walkway")
+    return each.select("id", "position", kind.alias("type"))
 
 
 def deterministic(make: Callable[[], State]) -> list[str]:

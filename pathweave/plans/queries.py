@@ -12,8 +12,10 @@ from pathweave import schema
 from pathweave.functions import cost, geo
 from pathweave.operators import build, gates, legs, overlays, register, report, route, shortest, spatial
 from pathweave.operators.components import connected_components
+from pathweave.operators import ways as ways_
 from pathweave.plans import projection as p
 from pathweave.session import cut_lineage
+from pathweave.sources import readers, writers
 
 SHADED = ("walk-shade", 1.35, True, False, 0.8, 20.0)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,7 +108,7 @@ def footprint_coverage(spark, d):
 @query
 def merge_priority_sources(spark, d):
     f = p.footprints(spark, d).select("footprint_id", "code", "size")
-    merged = register.merge_by_priority([f.filter("size > 25 and footprint_id % 50 < 30"), f.filter("size <= 25")])
+    merged = register.merge_by_priority([f.filter("size > 49"), f.filter("size <= 49")])
     return merged.groupBy("code", "priority").agg(F.count("*").alias("rows"))
 
 
@@ -175,8 +177,13 @@ def near_duplicates_g7(spark, d):
 
 @query
 def edge_in_footprint_g3(spark, d):
-    e = p.edges(spark, d).select("id", F.col("geometry").alias("line")).filter("id % 11 <> 0")
-    return spatial.piercing(e, p.footprints(spark, d).filter("size <= 45 and size % 5 <> 0")).select("edge_id", "footprint_id", F.round("inside_m", 2).alias("inside_m"))
+    """The gate with its rules: indoor edges and tunnels pass, stand-in footprints don't count, some edges are allowed."""
+    e = p.edges(spark, d).withColumns({"indoor": F.col("id") % 11 == 0, "tunnel": F.col("id") % 89 == 5})
+    f = p.footprints(spark, d).withColumn("source", F.when((F.col("size") > 45) | (F.col("size") % 5 == 0), "proxy").otherwise("register"))
+    allowed = e.filter("id % 97 = 1").select("id")
+    bad = gates.footprint_piercing(e, f, allowed)
+    part = F.split("measurement", " m in ")
+    return bad.select(F.col("entity").cast("long").alias("edge_id"), part[1].cast("long").alias("footprint_id"), part[0].cast("double").alias("inside_m"))
 
 
 @query
@@ -208,12 +215,17 @@ def components_s8(spark, d):
 
 @query
 def largest_component(spark, d):
-    return gates.component_sizes(*_cut_lattice(spark, d)).orderBy(F.desc("nodes"), "component").limit(1).select("component", "nodes")
+    """What the build keeps and drops of the lattice with a hole."""
+    at = {c: p.place(F.col(c)) for c in ("u", "v")}
+    kept, others = build.largest_component(_cut_lattice(spark, d)[1].select(F.monotonically_increasing_id().alias("id"), *[c.alias(n) for n, c in at.items()], "m", F.array(at["u"], at["v"]).alias("line")))
+    k = kept.agg(F.count("*").alias("edges"), F.round(F.sum("m"), 2).alias("metres"))
+    o = others.agg(F.count("*").alias("others"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("other_nodes"), F.count_if("warn").alias("warned"))
+    return k.crossJoin(F.broadcast(o))
 
 
 @query
 def trade_components(spark, d):
-    l = p.table(spark, d, "lineitem").filter("l_quantity > 49")
+    l = p.table(spark, d, "lineitem")
     e = l.select((F.col("l_suppkey") * 2).alias("u"), ((F.col("l_partkey") % 40 + F.floor(F.col("l_suppkey") / 10) * 40) * 2 + 1).alias("v"))
     return connected_components(e, "u", "v").groupBy("component").agg(F.count("*").alias("nodes"))
 
@@ -229,7 +241,7 @@ def coverage_c1_c5(spark, d):
 def work_queue_c6(spark, d):
     b = p.buildings(spark, d).select("id", "gsf")
     e = b.select(F.col("id").alias("buildingId"), (F.col("id") % 4 != 1).alias("provisional"))
-    return report.entrance_queue(b, e).withColumn("place", F.row_number().over(W.orderBy(F.desc("gsf"), "id")))
+    return report.entrance_queue(b, e)
 
 
 def _plain_arcs(spark, d):
@@ -245,9 +257,9 @@ def sssp_length(spark, d):
 
 @query
 def isochrone_300m(spark, d):
-    """What lies within 100 m of the doors of every fifth building, by the distributed search."""
-    seeds = p.buildings(spark, d).filter("id % 5 = 0").select(F.col("id").alias("source"), F.explode("doors").alias("node"))
-    near = shortest.isochrone(_plain_arcs(spark, d), seeds, 100.0)
+    """What lies within 300 m of the doors of each building."""
+    seeds = p.buildings(spark, d).select(F.col("id").alias("source"), F.explode("doors").alias("node"))
+    near = shortest.isochrone(_plain_arcs(spark, d), seeds, 300.0)
     return near.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("nodes"), F.round(F.max("cost"), 2).alias("farthest_m"))
 
 
@@ -309,8 +321,11 @@ def detour_percentiles(spark, d):
 
 @query
 def leg_islands(spark, d):
-    e = p.edges(spark, d).filter("id % 2 = 0")
-    steps = e.select(F.floor(F.col("u") / 40).alias("route"), (F.col("u") % 40).alias("pos"), F.col("id").alias("edge_id"), "type", "name", "stairs", "lengthM", geo.leading_bearing(F.col("geometry")).alias("lead"), geo.trailing_bearing(F.col("geometry")).alias("trail"))
+    """Legs of a route along each row of the lattice, and of one along each column."""
+    e = p.edges(spark, d)
+    row = F.col("id") % 2 == 0
+    line, place = F.floor(F.col("u") / 40), F.col("u") % 40
+    steps = e.select(F.when(row, line).otherwise(-1 - place).alias("route"), F.when(row, place).otherwise(line).alias("pos"), F.col("id").alias("edge_id"), "type", "name", "stairs", "lengthM", geo.leading_bearing(F.col("geometry")).alias("lead"), geo.trailing_bearing(F.col("geometry")).alias("trail"))
     none = steps.limit(0).select("route", F.lit("").alias("building_name"), F.lit("").alias("entrance_name"))
     return legs.legs(steps, none).select("route", "leg", F.size("edgeIds").cast("long").alias("edges"), F.col("distanceM").alias("distance_m"), "instruction")
 
@@ -334,10 +349,13 @@ def heat_factor(spark, d):
 
 @query
 def parallel_edge_ord(spark, d):
+    """Parallel edges between two places, the more bent the longer, numbered by the build."""
     l = p.table(spark, d, "lineitem").withColumn("w", F.col("l_partkey") % 100)
-    u, v = F.least("l_suppkey", "w"), F.greatest("l_suppkey", "w")
-    order = W.partitionBy("u", "v").orderBy("l_quantity", "l_orderkey", "l_linenumber")
-    return l.select("l_orderkey", "l_linenumber", u.alias("u"), v.alias("v"), "l_quantity").withColumn("ord", F.row_number().over(order) - 1).drop("l_quantity")
+    l = l.select(F.least("l_suppkey", "w").alias("a"), F.greatest("l_suppkey", "w").alias("b"), F.col("l_quantity").alias("q"))
+    u, v = p.place(F.col("a")), p.place(F.col("b"))
+    off, upright = F.col("q") * 0.00001, F.col("a") % p.WIDTH == F.col("b") % p.WIDTH
+    bend = geo.point((u["lon"] + v["lon"]) / 2 + F.when(upright, off).otherwise(0.0), (u["lat"] + v["lat"]) / 2 + F.when(upright, 0.0).otherwise(off))
+    return build.with_ids(l.select("a", "b", "q", u.alias("u"), v.alias("v"), F.array(u, bend, v).alias("line"))).select("a", "b", F.col("q").cast("long").alias("q"), F.col("ord").cast("long").alias("ord"))
 
 
 @query
@@ -399,22 +417,41 @@ def check_constraints(spark, d):
 
 @query
 def reference_integrity(spark, d):
-    o = p.table(spark, d, "orders").select((F.col("o_custkey") % 1700).alias("k"))
-    bad = o.withColumn("id", F.col("k") + 40).join(p.nodes(spark, d).select("id"), "id", "left_anti")
-    return bad.groupBy(F.col("k").alias("node_id")).agg(F.count("*").alias("rows"))
+    """References between the authoring tables that lead nowhere, by reference and value."""
+    text = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    k = F.col("o_custkey") % 1700
+    tables = readers.tables(spark)
+    tables["node"] = p.nodes(spark, d).select(text(F.col("id")).alias("node_id"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("b"), (F.col("id") % 130).cast("string"))).alias("building_id"))
+    tables["building"] = p.buildings(spark, d).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("building_id"), F.when(F.col("id") % 2 == 0, F.col("id") * 30).cast("long").alias("footprint_id"))
+    tables["footprint"] = p.footprints(spark, d).select(F.col("footprint_id").cast("long").alias("footprint_id"))
+    tables["edge"] = p.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("edge_id"), text(k).alias("from_node_id"), text(k + 40).alias("to_node_id"))
+    bad = gates.reference_violations(tables)
+    return bad.groupBy(F.col("entity").alias("value"), F.split("measurement", " ")[0].alias("reference")).agg(F.count("*").alias("rows"))
 
 
 @query
 def route_documents(spark, d):
-    """Whole routes with legs and instructions for one in twenty buildings' requests to all others."""
-    asked = _asked(spark, d).filter("from_id % 20 = 1")
+    """Whole routes with legs and instructions, or typed failures, for all requests."""
+    out = _routes(spark, d)
+    return out.select("request", "ok", "reason", F.col("route.lengthM").alias("length_m"), F.col("route.estimatedSec").alias("seconds"), F.size("route.legs").alias("legs"))
+
+
+@query
+def route_results(spark, d):
+    """The outcome of all requests; what ways of equal cost may differ in is left out."""
+    out = _routes(spark, d)
+    ends = F.regexp_extract("route.id", r"^route:([0-9]+)>([0-9]+)@walk-default:12$", 2)
+    return out.select("request", "ok", "reason", "detail", F.col("route.estimatedSec").alias("seconds"), (ends == F.col("route.toNodeId").cast("string")).alias("named"))
+
+
+def _routes(spark, d):
+    asked = _asked(spark, d)
     e = p.edges(spark, d)
     solved = cut_lineage(route.solve(asked, _arc_columns(spark, d), p.crossing_nodes(spark, d), cost.DEFAULT_PROFILE))
     n = p.nodes(spark, d).select("id", F.lit(None).cast("string").alias("entranceName"))
     b = p.buildings(spark, d).select("id", F.concat(F.lit("Building "), F.col("id").cast("string")).alias("displayName"))
     text = solved.withColumns({"from_id": F.col("from_id").cast("string"), "to_id": F.col("to_id").cast("string")})
-    out = route.routes(text, e.withColumn("fromNodeId", F.col("u")), n, b.withColumn("id", F.col("id").cast("string")), "walk-default", 12, "lattice")
-    return out.select("request", "ok", "reason", F.col("route.lengthM").alias("length_m"), F.col("route.estimatedSec").alias("seconds"), F.size("route.legs").alias("legs"))
+    return route.routes(text, e.withColumn("fromNodeId", F.col("u")), n, b.withColumn("id", F.col("id").cast("string")), "walk-default", 12, "lattice")
 
 
 @query
@@ -436,3 +473,270 @@ def content_ids(spark, d):
     """Node and edge ids by content of the lattice."""
     e = p.edges(spark, d).select(p.place(F.col("u")).alias("u"), p.place(F.col("v")).alias("v"), F.col("geometry").alias("line"))
     return build.with_ids(e).select("id", "from_node_id", "to_node_id", "ord", F.round("m", 3).alias("m"))
+
+
+# --- stages of the build
+
+
+@query
+def drop_stubs(spark, d):
+    """The lattice with a stub of 1 to 13 m at every fifth node; every third free end is kept."""
+    k = F.col("c_custkey")
+    stub = p.table(spark, d, "customer").filter(k % 5 == 0).select((k + 10_000_000).alias("id"), k.alias("u"), (k + 10_000_000).alias("v"), (1 + k % 13).cast("double").alias("m"))
+    e = p.edges(spark, d).select("id", "u", "v", F.col("lengthM").alias("m")).unionByName(stub)
+    keep = stub.filter("u % 3 = 0").select(F.col("v").alias("node"))
+    return build.drop_stubs(e, keep).select("id")
+
+
+@query
+def collapse_chains(spark, d):
+    """Rows of the lattice as chains, which end where the name changes and at every 16th node."""
+    e = p.edges(spark, d).filter("v = u + 1").select("id", "u", "v", F.col("geometry").alias("line"), "name")
+    keep = p.nodes(spark, d).filter("id % 16 = 7").select(F.col("id").alias("node"))
+    out = build.collapse_chains(e, keep, ["name"])
+    return out.select("id", "name", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), (F.size("line") - 1).cast("long").alias("edges"))
+
+
+@query
+def dedupe_edges(spark, d):
+    """Each edge of the lattice twice: every third copy bent by 22 m, the others by a few centimetres."""
+    e = p.edges(spark, d).select("id", "u", "v", F.col("geometry").alias("line"), F.lit(2).alias("tags"))
+    a, b = F.col("line")[0], F.col("line")[1]
+    off = F.when(F.col("id") % 3 == 0, 0.0002).otherwise(0.0000003)
+    bent = e.select((F.col("id") + 10_000_000).alias("id"), F.col("v").alias("u"), F.col("u").alias("v"), F.array(b, geo.point((a["lon"] + b["lon"]) / 2 + off, (a["lat"] + b["lat"]) / 2 + off), a).alias("line"), (1 + F.col("id") % 3).cast("int").alias("tags"))
+    return build.drop_duplicates(e.unionByName(bent)).select("id")
+
+
+@query
+def split_lines(spark, d):
+    """The lattice's rows and columns as ways, split where they share a vertex."""
+    n = p.nodes(spark, d).select("id", "position")
+    way = lambda key, order: n.select(key.alias("way"), F.struct(order.alias("o"), "position").alias("x")).groupBy("way").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["position"]).alias("line"))
+    line, place = F.floor(F.col("id") / 40), F.col("id") % 40
+    w = way(line, place).unionByName(way(-1 - place, line)).filter(F.size("line") > 1)
+    w = w.withColumns({"layer": F.lit(None).cast("string"), "bridged": F.lit(False)})
+    return build.node_lines(w).groupBy("way").agg(F.count("*").alias("parts"), F.max(F.size("line")).cast("long").alias("points"))
+
+
+@query
+def door_ordinals(spark, d):
+    k = F.col("s_suppkey")
+    s = p.table(spark, d, "supplier").select(k.alias("building_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    k, i = F.col("building_id"), F.col("i")
+    doors = s.select("building_id", "i", ((k + i) % 2 == 0).alias("provisional"), ((k * i) % 3 == 1).alias("weak"), F.when((k + 2 * i) % 4 == 0, "main").otherwise("side").alias("side"), F.when((k + i) % 7 != 0, p.place(k * 4 + i)).alias("position"))
+    return build.door_ordinals(doors).select("building_id", F.col("i").cast("long").alias("i"), F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query
+def content_id_counts(spark, d):
+    """Ids by content: as many as places and edges, of the right form, and the same either way round."""
+    e = p.edges(spark, d).select(p.place(F.col("u")).alias("u"), p.place(F.col("v")).alias("v"), F.col("geometry").alias("line"))
+    both = [build.with_ids(x) for x in (e, e.select(F.col("v").alias("u"), F.col("u").alias("v"), F.reverse("line").alias("line")))]
+    good = (F.col("id").rlike(schema.ID_PATTERNS["edge"]) & F.col("from_node_id").rlike(schema.ID_PATTERNS["node"])).cast("int")
+    one = both[0].select("id", "from_node_id", "to_node_id", "ord", good.alias("good")).unionByName(both[1].select("id", "from_node_id", "to_node_id", "ord", good.alias("good")))
+    nodes = one.select(F.explode(F.array("from_node_id", "to_node_id")).alias("n")).agg(F.count_distinct("n").alias("nodes"))
+    return one.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("edges"), F.sum("ord").cast("long").alias("ords"), F.sum("good").alias("good")).crossJoin(F.broadcast(nodes))
+
+
+# --- gates
+
+
+@query
+def one_component_s8(spark, d):
+    """Components besides the largest; the lattice's block that is cut out is allowed but for every 60th node."""
+    n, e = _cut_lattice(spark, d)
+    allowed = n.filter("floor(id / 40) = 10 and id % 60 <> 0").select("id", F.lit("being rebuilt").alias("reason"))
+    bad = gates.one_component(n, e.filter("not (u % 40 in (11, 12) and v % 40 in (11, 12) and v = u + 1) and not (floor(u / 40) in (9, 10) and v = u + 40)"), allowed)
+    return bad.select(F.col("entity").cast("long").alias("component"), F.split("measurement", " ")[0].cast("long").alias("nodes"))
+
+
+@query
+def service_area_g1(spark, d):
+    """Nodes outside an area of two rings."""
+    ring = lambda x0, y0, x1, y1: F.array(*[geo.point(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    area = spark.range(1).select(F.explode(F.array(ring(-111.95005, 33.39995, -111.94765, 33.4011), ring(-111.94705, 33.40055, -111.94, 33.5))).alias("ring"))
+    bad = gates.in_service_area(p.nodes(spark, d).select("id", F.col("position").alias("p")), area)
+    return bad.select(F.col("entity").cast("long").alias("id"))
+
+
+@query
+def long_straight_g5(spark, d):
+    k = F.col("c_custkey")
+    e = p.table(spark, d, "customer").select(k.alias("id"), F.array(p.place(k), p.place(k + 1 + (k % 50) * 40), p.place(k + 2 + (k % 50) * 40)).alias("geometry"))
+    bad = gates.long_straight(e)
+    return bad.select(F.col("entity").cast("long").alias("id"), F.split("measurement", " ")[0].cast("double").alias("m"))
+
+
+@query
+def far_buildings_c2(spark, d):
+    """Buildings moved off the lattice to the west by up to 80 m; the nearest edges are those of its border."""
+    k = F.col("s_suppkey")
+    b = _with_count(p.table(spark, d, "supplier"), spark, d).select(k.alias("id"), "n")
+    row = F.floor((F.col("id") * 15 % F.col("n")) / 40)
+    b = b.select("id", geo.point(F.lit(p.LON0) - (F.col("id") % 9) * 0.0001, F.lit(p.LAT0) + row * p.STEP).alias("centroid"))
+    return gates.far_buildings(b, p.edges(spark, d)).select(F.col("entity").cast("long").alias("id"))
+
+
+def _referring(spark, d):
+    b = p.buildings(spark, d)
+    return b.select("id", F.col("in_area").alias("inServiceArea"), F.col("doors").alias("entranceIds"), F.when(F.col("id") % 46 == 0, "under construction").alias("unroutableReason"), (F.size("doors") > 0).alias("routable"))
+
+
+@query
+def without_entrance_c3(spark, d):
+    return gates.without_entrance(_referring(spark, d)).select(F.col("entity").cast("long").alias("id"))
+
+
+@query
+def unreachable_c4(spark, d):
+    """Buildings that the lattice doesn't connect with building 1 once every fifth row is cut off."""
+    e = p.edges(spark, d).filter("not (v = u + 40 and floor(v / 40) % 5 = 0)").select(F.col("u").alias("fromNodeId"), F.col("v").alias("toNodeId"))
+    bad = gates.unreachable(_referring(spark, d).withColumn("id", F.col("id").cast("string")), e, "1")
+    return bad.select(F.col("entity").cast("long").alias("id"))
+
+
+@query
+def key_violations(spark, d):
+    """Rows of the edge table that repeat one of its keys."""
+    o = p.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    t = o.select(F.concat(F.lit("e"), (k % 9973).cast("string")).alias("edge_id"), F.when(k % 3 != 0, k).cast("long").alias("idx"), (F.col("o_custkey") % 50).cast("string").alias("from_node_id"), F.lit("z").alias("to_node_id"), (k % 400).cast("int").alias("ord"))
+    bad = gates.key_violations(t, "edge")
+    return bad.groupBy(F.col("measurement").alias("key")).agg(F.count("*").alias("values"))
+
+
+@query
+def reconciliation_gate_s7(spark, d):
+    l = p.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("source")).agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "O").alias("kept"))
+    counts = l.select("source", (F.col("n") + F.when(F.col("source") == "R", 1).otherwise(0)).alias("fetched"), "kept", F.when(F.col("source") != "A", F.col("n") - F.col("kept")).alias("rejected"))
+    return gates.reconciliation(counts).select(F.col("entity").alias("source"), "measurement")
+
+
+# --- registers, overlays, map elements
+
+
+@query
+def shape_reject_reason(spark, d):
+    """Footprints by their code in the set of buildings' codes, and by name."""
+    codes = p.table(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.concat(F.lit("S"), (F.col("s_suppkey") % 40).cast("string")).alias("code"))
+    name = F.concat(F.col("type"), F.when(F.col("footprint_id") % 7 == 0, F.lit(" Solar")).when(F.col("footprint_id") % 11 == 0, F.lit(" canopyshade")).otherwise(F.lit("")))
+    kept, rejected = register.shapes_of_buildings(p.footprints(spark, d).withColumn("name", name), codes)
+    rows = kept.withColumn("reason", F.lit("kept")).unionByName(rejected.withColumnRenamed("reject_reason", "reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("rows"), F.sum("footprint_id").cast("long").alias("ids"))
+
+
+@query
+def shape_faults(spark, d):
+    f = p.footprints(spark, d)
+    k = F.col("footprint_id")
+    ring = F.when(k % 13 == 0, F.slice("ring", 1, 3)).when(k % 17 == 0, F.slice("ring", 1, 4)).when(k % 19 == 0, F.concat(F.array(geo.point(0.0, 0.0)), F.slice("ring", 2, 3), F.array(geo.point(0.0, 0.0)))).otherwise(F.col("ring"))
+    s = f.select(k.alias("ordinal"), F.when(k % 23 == 0, "Point").when(k % 29 != 0, "Polygon").alias("geometry_type"), F.when(k % 31 == 0, "x y").otherwise(F.col("code")).alias("code"), ring.alias("ring"))
+    bad = register.shape_errors(s, schema.LON_BOUNDS, schema.LAT_BOUNDS)
+    return bad.groupBy(F.regexp_replace("fault", ":.*", "").alias("fault")).agg(F.count("*").alias("rows"), F.sum("ordinal").cast("long").alias("ordinals"))
+
+
+@query
+def gained_codes(spark, d):
+    code = lambda t, c, m: p.table(spark, d, t).select(F.concat(F.lit("C"), (F.col(c) % m).cast("string")).alias("code"))
+    b = p.table(spark, d, "customer").select(F.concat(F.lit("C"), (F.col("c_custkey") % 211).cast("string")).alias("code"))
+    kinds = ("gained", "lost", "uncovered")
+    parts = register.gained(b, code("supplier", "s_suppkey", 61), code("part", "p_partkey", 173))
+    out = None
+    for kind, df in zip(kinds, parts, strict=True):
+        df = df.distinct().select(F.lit(kind).alias("kind"), "code")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query
+def overrides(spark, d):
+    """Edges with overlaid surface and shade, without blocked ones."""
+    e = p.edges(spark, d).select("id", "surface", "shadeIndex")
+    k = F.col("id")
+    changes = e.filter(k % 7 == 0).select("id", F.when(k % 2 == 0, "sand").alias("surface"), F.when(k % 3 == 0, 0.9).alias("shadeIndex"))
+    done = overlays.without_blocked(overlays.override(e, changes, ["surface", "shadeIndex"]), e.filter(k % 41 == 0).select("id"))
+    return done.groupBy("surface").agg(F.count("*").alias("rows"), F.round(F.sum("shadeIndex"), 6).alias("shade"))
+
+
+@query
+def entrance_actions(spark, d):
+    k = F.col("s_suppkey")
+    e = p.table(spark, d, "supplier").select(k.alias("id"), (k % 50).alias("buildingId"), p.place(k).alias("position"), (k % 2 == 0).alias("provisional"))
+    none = F.lit(None).cast(geo.POINT)
+    act = lambda kind, where, id_, at: e.filter(where).select(F.lit(kind).alias("action"), id_.alias("id"), "buildingId", at.alias("position"))
+    i = F.col("id")
+    actions = act("delete", i % 9 == 0, i, none).unionByName(act("promote", i % 6 == 1, i, none)).unionByName(act("promote", i % 4 == 0, i, none)).unionByName(act("move", i % 5 == 0, i, p.place(i + 40))).unionByName(act("add", i % 8 == 3, i + 1_000_000, p.place(i)))
+    return overlays.apply_entrances(e, actions).select("id", "buildingId", "provisional", F.round("position.lat", 6).alias("lat"))
+
+
+@query
+def way_filter(spark, d):
+    """Ways by their tags: which are kept, and which are areas."""
+    part = p.table(spark, d, "part").select("p_partkey", "p_size")
+    k = F.col("p_partkey")
+    highway = F.element_at(F.array(*[F.lit(x) for x in ("footway", "service", "residential", "motorway", "pedestrian", "tertiary")]), (k % 6 + 1).cast("int"))
+    some = lambda when, key, value: F.when(when, F.struct(F.lit(key).alias("key"), F.lit(value).alias("value")))
+    tags = F.map_from_entries(F.array_compact(F.array(F.struct(F.lit("highway").alias("key"), highway.alias("value")), some(k % 5 == 0, "foot", "no"), some(k % 5 == 1, "foot", "yes"), some(k % 7 == 0, "sidewalk", "both"), some(k % 4 == 0, "area", "yes"), some(k % 11 == 0, "area:highway", "footway"))))
+    t = part.select("p_partkey", tags.alias("tags"))
+    return t.groupBy(ways_.keep_way(F.col("tags")).alias("kept"), ways_.plaza(F.col("tags")).alias("plaza")).agg(F.count("*").alias("rows"), F.sum("p_partkey").cast("long").alias("ids"))
+
+
+@query
+def same_grade(spark, d):
+    k = F.col("p_partkey")
+    a, b = F.when(k % 3 != 0, (k % 3).cast("string")), F.when(k % 4 != 0, (k % 4 - 1).cast("string"))
+    meets = ways_.same_grade(a, b, k % 5 == 0, F.when(k % 7 == 0, True))
+    return p.table(spark, d, "part").groupBy(meets.alias("meets")).agg(F.count("*").alias("rows"), F.sum("p_partkey").cast("long").alias("ids"))
+
+
+@query
+def manifest_upsert(spark, d):
+    c = p.table(spark, d, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file"), F.col("c_custkey").alias("bytes"))
+    s = p.table(spark, d, "supplier").select(F.concat(F.lit("f"), (F.col("s_suppkey") * 20).cast("string")).alias("file"), F.lit(-1).cast("long").alias("bytes"))
+    return writers.upsert_manifest(c, s)
+
+
+@query
+def field_status(spark, d):
+    b = p.buildings(spark, d).select("id")
+    q = b.filter("id % 3 <> 0").select("id", F.when(F.col("id") % 3 == 1, "todo").otherwise("done").alias("status"))
+    layer, counts = writers.field_layer(b, q, {"todo": "to visit", "none": "not queued"})
+    return layer.groupBy("status", "label").agg(F.sum("id").cast("long").alias("ids")).join(counts, "status")
+
+
+@query
+def latest_changes(spark, d):
+    e = p.table(spark, d, "events").select((F.col("event_id") % 997).alias("k"), F.col("event_id").alias("at"), (F.col("event_id") % 5 == 0).alias("deleted"))
+    return report.latest_by_key(e, ["k"], "at").select("k", "at")
+
+
+# --- geometry
+
+
+@query
+def point_along_line(spark, d):
+    k = F.col("c_custkey")
+    line = F.array(p.place(k), p.place(k + 1), p.place(k + 41))
+    at = geo.along(line, (k % 30).cast("double"))
+    return p.table(spark, d, "customer").filter("c_custkey % 40 < 38").select(k.alias("id"), F.round(at["lon"], 8).alias("lon"), F.round(at["lat"], 8).alias("lat"))
+
+
+@query
+def turn_angle(spark, d):
+    k = F.col("c_custkey")
+    return p.table(spark, d, "customer").select(k.alias("id"), F.round(geo.angle_between((k * 37 % 360).cast("double"), (k * 101 % 720 - 360).cast("double")), 6).alias("angle"))
+
+
+@query
+def ring_area_and_mean(spark, d):
+    f = p.footprints(spark, d)
+    at = geo.vertex_mean(F.col("ring"), 7)
+    return f.select("footprint_id", F.round(geo.square_metres(F.col("ring")), 2).alias("area_m2"), F.round(at["lon"], 7).alias("lon"), F.round(at["lat"], 7).alias("lat"))
+
+
+@query
+def wkt_points(spark, d):
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit("POINT Z ("), k.cast("string"), F.lit(" 1)"))).when(k % 7 == 0, F.lit("POINT()")).otherwise(F.concat(F.lit(" POINT ("), (k % 180).cast("string"), F.lit(".25  -"), (k % 90).cast("string"), F.lit(" ) ")))
+    at = geo.from_wkt_point(text)
+    return p.table(spark, d, "part").select(k.alias("id"), at["lon"].alias("lon"), at["lat"].alias("lat"))

@@ -149,7 +149,7 @@ d AS (SELECT b.*, c.code IS NOT NULL AS has FROM b LEFT JOIN c USING (code))
 SELECT count(*)::bigint AS records, count(*) FILTER (has)::bigint AS with_footprint, count(*) FILTER (NOT has)::bigint AS without_footprint, round(100 * count(*) FILTER (has) / count(*), 1) AS coverage_pct,
   count(DISTINCT code)::bigint AS distinct_codes, count(DISTINCT code) FILTER (has)::bigint AS distinct_covered, count(*) FILTER (NOT has AND gsf = 0)::bigint AS without_zero_gsf, count(*) FILTER (NOT has AND gsf >= 50000)::bigint AS without_over_50k FROM d""",
     "merge_priority_sources": f"""
-WITH {COUNTS}, {FOOTPRINT}, s AS (SELECT footprint_id, code, 0 AS priority FROM fp WHERE p_size > 25 AND footprint_id % 50 < 30 UNION ALL SELECT footprint_id, code, 1 FROM fp WHERE p_size <= 25)
+WITH {COUNTS}, {FOOTPRINT}, s AS (SELECT footprint_id, code, 0 AS priority FROM fp WHERE p_size > 49 UNION ALL SELECT footprint_id, code, 1 FROM fp WHERE p_size <= 49)
 SELECT code, priority, count(*)::bigint AS rows FROM (SELECT *, min(priority) OVER (PARTITION BY code) AS best FROM s) WHERE priority = best GROUP BY 1, 2""",
     "freshness_stats": """
 WITH l AS (SELECT 'EditDate' AS field, epoch_us(ts) // 1000 AS v FROM events UNION ALL SELECT 'ExtractDateTime', CASE WHEN event_id % 3 <> 0 THEN event_id * 1000 END FROM events),
@@ -175,7 +175,7 @@ SELECT id, round({hav(lon('u') + ' + off', lat('u'), lon('u'), lat('u'))}, 2) AS
 WITH p AS (SELECT c_custkey * 2 + j AS id, {lon('c_custkey')} + {_jit} AS lon, {lat('c_custkey')} + {_jit} AS lat FROM customer, (SELECT unnest([0, 1]) AS j) WHERE j = 0 OR c_custkey % 31 = 0)
 SELECT a.id AS a, b.id AS b, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS dist_m FROM p a JOIN p b ON a.id < b.id AND abs(a.lat - b.lat) < 0.00001 AND {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} < 0.5""",
     "edge_in_footprint_g3": f"""
-WITH {EDGE}, {COUNTS}, {FOOTPRINT}, l AS (SELECT id, {_x0} AS ax, {_y0} AS ay, {_x1} AS bx, {_y1} AS ey FROM e WHERE NOT (id % 11 = 0)),
+WITH {EDGE}, {COUNTS}, {FOOTPRINT}, l AS (SELECT id, {_x0} AS ax, {_y0} AS ay, {_x1} AS bx, {_y1} AS ey FROM e WHERE id % 11 <> 0 AND id % 89 <> 5 AND id % 97 <> 1),
 c AS (SELECT id, footprint_id, greatest(least(ax, bx), x0) AS cx0, least(greatest(ax, bx), x1) AS cx1, greatest(least(ay, ey), y0) AS cy0, least(greatest(ay, ey), y1) AS cy1 FROM l JOIN fp ON p_size <= 45 AND p_size % 5 <> 0 AND ax <= x1 AND bx >= x0 AND ay <= y1 AND ey >= y0)
 SELECT id AS edge_id, footprint_id, round({hav('cx0', 'cy0', 'cx1', 'cy1')}, 2) AS inside_m FROM c WHERE {hav('cx0', 'cy0', 'cx1', 'cy1')} > 2""",
     "entrance_far_g8": "SELECT s_suppkey::varchar AS entity, CASE WHEN snap > 40 THEN 'FAIL' ELSE 'WARN' END AS level, snap AS snap_m FROM (SELECT s_suppkey, (s_suppkey * 37 % 60)::double AS snap FROM supplier) WHERE snap > 25",
@@ -187,23 +187,29 @@ t AS (SELECT *, greatest(0.0, least(1.0, ((px - ax) * c * dx + (py - ay) * dy) /
 m AS (SELECT id, min({hav('px', 'py', '(ax + t * (bx - ax))', '(ay + t * (ey - ay))')}) AS m FROM t GROUP BY 1)
 SELECT id, round(m, 3) AS dist_m FROM m WHERE m <= 125""",
     "components_s8": components(CUT, "SELECT id FROM n", "SELECT c AS component, count(*)::bigint AS nodes FROM t GROUP BY 1"),
-    "largest_component": components(CUT, "SELECT id FROM n", "SELECT c AS component, count(*)::bigint AS nodes FROM t GROUP BY 1 ORDER BY nodes DESC, component LIMIT 1"),
+    "largest_component": components(
+        CUT, "SELECT DISTINCT u AS id FROM ce UNION SELECT v FROM ce",
+        """, s AS (SELECT c, count(*) AS nodes FROM t GROUP BY 1), top AS (SELECT c FROM s ORDER BY nodes DESC, c LIMIT 1), g AS (SELECT t.c, count(*) AS edges, sum(m) AS metres FROM ce JOIN t ON t.k = ce.u GROUP BY 1)
+SELECT (SELECT edges::bigint FROM g JOIN top USING (c)) AS edges, (SELECT round(metres, 2) FROM g JOIN top USING (c)) AS metres,
+  (SELECT count(*)::bigint FROM s WHERE c NOT IN (SELECT c FROM top)) AS others, (SELECT coalesce(sum(nodes), 0)::bigint FROM s WHERE c NOT IN (SELECT c FROM top)) AS other_nodes,
+  (SELECT count(*)::bigint FROM g WHERE c NOT IN (SELECT c FROM top) AND metres > 100) AS warned""",
+    ),
     "trade_components": """
-WITH RECURSIVE ce AS MATERIALIZED (SELECT DISTINCT l_suppkey * 2 AS u, (l_partkey % 40 + l_suppkey // 10 * 40) * 2 + 1 AS v FROM lineitem WHERE l_quantity > 49),
+WITH RECURSIVE ce AS MATERIALIZED (SELECT DISTINCT l_suppkey * 2 AS u, (l_partkey % 40 + l_suppkey // 10 * 40) * 2 + 1 AS v FROM lineitem),
 ca AS MATERIALIZED (SELECT u, v FROM ce UNION ALL SELECT v, u FROM ce),
 t(k, c) USING KEY (k) AS (SELECT DISTINCT u, u FROM ca UNION ALL SELECT a.v, min(t.c) FROM t JOIN ca a ON a.u = t.k JOIN recurring.t p ON p.k = a.v WHERE t.c < p.c GROUP BY a.v)
 SELECT c AS component, count(*)::bigint AS nodes FROM t GROUP BY 1""",
     "coverage_c1_c5": f"""
 WITH {EDGE}, {BUILDING} SELECT 'C1' AS metric, round(avg((len(doors) > 0)::int), 6) AS value, avg((len(doors) > 0)::int) >= 0.95 AS ok FROM b WHERE in_area
 UNION ALL SELECT 'C5', round(sum(m), 2), sum(m) >= 25000 FROM e WHERE type <> 'link'""",
-    "work_queue_c6": f"WITH {BUILDING} SELECT id, gsf, row_number() OVER (ORDER BY gsf DESC, id)::int AS place FROM b WHERE id % 4 <> 1",
+    "work_queue_c6": f"WITH {BUILDING} SELECT id, gsf, row_number() OVER (ORDER BY gsf DESC, id) AS place FROM b WHERE id % 4 <> 1",
     "sssp_length": f"""
 WITH RECURSIVE {EDGE}, arcs AS MATERIALIZED (SELECT u, v, m FROM e UNION ALL SELECT v, u, m FROM e),
 t(k, d) USING KEY (k) AS (SELECT 0::bigint, 0.0::double UNION ALL SELECT a.v, min(t.d + a.m) FROM t JOIN arcs a ON a.u = t.k LEFT JOIN recurring.t p ON p.k = a.v WHERE p.k IS NULL OR t.d + a.m < p.d - 1e-9 GROUP BY a.v)
 SELECT k AS id, round(d, 2) AS length_m FROM t""",
     "isochrone_300m": f"""
 WITH RECURSIVE {EDGE}, {BUILDING}, arcs AS MATERIALIZED (SELECT u, v, m FROM e UNION ALL SELECT v, u, m FROM e), {searches()}
-SELECT b AS id, count(*)::bigint AS nodes, round(max(d), 2) AS farthest_m FROM t WHERE d <= 100 AND b % 5 = 0 GROUP BY 1""",
+SELECT b AS id, count(*)::bigint AS nodes, round(max(d), 2) AS farthest_m FROM t WHERE d <= 300 GROUP BY 1""",
     "od_route_cost_default": od(arcs()),
     "od_route_cost_accessible": od(arcs(True, avoid=True)),
     "od_route_shade": od(arcs(False, 0.8, 1.0, True)),
@@ -211,7 +217,7 @@ SELECT b AS id, count(*)::bigint AS nodes, round(max(d), 2) AS farthest_m FROM t
     "detour_ratio": SAMPLES + "SELECT request, straight_m, graph_m, round(ratio, 6) AS detour_ratio, failure FROM r",
     "detour_percentiles": SAMPLES + "SELECT round(quantile_cont(ratio, 0.5), 3) AS r1, round(quantile_cont(ratio, 0.9), 3) AS r2, round(max(ratio), 3) AS r3, count(failure)::bigint AS r4 FROM r",
     "leg_islands": f"""
-WITH {EDGE}, s AS (SELECT u // 40 AS route, u % 40 AS pos, * FROM e WHERE id % 2 = 0),
+WITH {EDGE}, s AS (SELECT CASE WHEN id % 2 = 0 THEN u // 40 ELSE -1 - u % 40 END AS route, CASE WHEN id % 2 = 0 THEN u % 40 ELSE u // 40 END AS pos, * FROM e),
 f AS (SELECT *, CASE WHEN pos = 0 OR type IN ('crossing', 'steps') OR lag(type) OVER w IN ('crossing', 'steps') OR name <> lag(name) OVER w THEN 1 ELSE 0 END AS starts FROM s WINDOW w AS (PARTITION BY route ORDER BY pos)),
 g AS (SELECT *, sum(starts) OVER (PARTITION BY route ORDER BY pos) - 1 AS leg FROM f)
 SELECT route, leg::int AS leg, count(*)::bigint AS edges, floor(sum(m) * 100 + 0.5) / 100 AS distance_m,
@@ -223,7 +229,8 @@ SELECT event_type, count(*)::bigint AS closures, sum(event_id)::bigint AS ids FR
 WITH l AS (SELECT event_id, ts + to_days((event_id % 365)::int) - INTERVAL 7 HOUR AS t FROM events), h AS (SELECT event_id, month(t) AS mo, hour(t) + minute(t) / 60.0::double AS h FROM l)
 SELECT event_id, round(CASE WHEN mo BETWEEN 5 AND 9 THEN 1 WHEN mo IN (4, 10) THEN 0.5 WHEN mo IN (3, 11) THEN 0.2 ELSE 0 END::double * CASE WHEN h < 8 OR h >= 20 THEN 0 WHEN h < 13 THEN (h - 8) / 5 WHEN h <= 17 THEN 1 ELSE (20 - h) / 3 END, 4) AS heat FROM h""",
     "parallel_edge_ord": """
-SELECT l_orderkey, l_linenumber, least(l_suppkey, l_partkey % 100) AS u, greatest(l_suppkey, l_partkey % 100) AS v, (row_number() OVER (PARTITION BY least(l_suppkey, l_partkey % 100), greatest(l_suppkey, l_partkey % 100) ORDER BY l_quantity, l_orderkey, l_linenumber) - 1)::int AS ord FROM lineitem""",
+WITH l AS (SELECT least(l_suppkey, l_partkey % 100) AS a, greatest(l_suppkey, l_partkey % 100) AS b, l_quantity::bigint AS q FROM lineitem)
+SELECT a, b, q, row_number() OVER (PARTITION BY a, b ORDER BY q) - 1 AS ord FROM l WHERE a <> b""",
     "degree_histogram": f"WITH {EDGE} SELECT degree, count(*)::bigint AS nodes FROM (SELECT k, count(*)::bigint AS degree FROM (SELECT u AS k FROM e UNION ALL SELECT v FROM e) GROUP BY 1) GROUP BY 1",
     "json_reference_walk": """
 SELECT 'node:' || k AS id, count(*)::bigint AS events FROM (SELECT json_extract_string(props, '$.k')::bigint AS k FROM events) WHERE k % 10 <> 0 GROUP BY 1""",
@@ -240,9 +247,111 @@ h AS (SELECT r.id, exact_node, count(n.id) AS hits, min(n.id) AS hit FROM r LEFT
 SELECT id, CASE WHEN exact_node IS NOT NULL THEN 'exact' WHEN hits = 1 THEN 'spatial' WHEN hits > 1 THEN 'ambiguous' ELSE 'failed' END AS resolution, coalesce(exact_node, CASE WHEN hits = 1 THEN hit END) AS resolved_to FROM h""",
     "check_constraints": """
 SELECT c_custkey::varchar AS entity, m AS measurement FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_acctbal <= 0 OR c_acctbal >= 2000 THEN 'length' END, CASE WHEN c_custkey % 90 = 4 THEN 'order' END], lambda x: x IS NOT NULL)) AS m FROM customer)""",
-    "reference_integrity": "SELECT o_custkey % 1700 AS node_id, count(*)::bigint AS rows FROM orders WHERE o_custkey % 1700 + 40 NOT IN (SELECT c_custkey FROM customer) GROUP BY 1",
+    "reference_integrity": f"""
+WITH {COUNTS}, k AS (SELECT o_custkey % 1700 AS k FROM orders), r AS (
+  SELECT 'n' || k AS value, 'edge.from_node_id' AS reference FROM k WHERE k NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'n' || (k + 40), 'edge.to_node_id' FROM k WHERE k + 40 NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'b' || (c_custkey % 130), 'node.building_id' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 130 NOT IN (SELECT s_suppkey FROM supplier)
+  UNION ALL SELECT (s_suppkey * 30)::varchar, 'building.footprint_id' FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey * 30 NOT IN (SELECT p_partkey FROM part))
+SELECT value, reference, count(*)::bigint AS rows FROM r GROUP BY 1, 2""",
     "build_hash": f"""
 WITH {EDGE}, {NODE}, l AS (SELECT 0 AS part, id::varchar AS k, id::varchar AS line FROM n UNION ALL SELECT 1, id::varchar, id || '|' || u || '|' || v || '|' || printf('%.3f', m) FROM e),
 g AS (SELECT part, substr(sha256(k), 1, 2) AS pre, sha256(string_agg(line, chr(10) ORDER BY k, line)) AS h FROM l GROUP BY 1, 2)
 SELECT sha256(string_agg(part || ':' || pre || ':' || h, '' ORDER BY part, pre)) AS graph_hash FROM g""",
+    "route_results": f"""
+WITH RECURSIVE {EDGE}, {BUILDING}, {REQUEST}, {arcs()}, {searches()}, ends AS (SELECT id, unnest(doors) AS k FROM b),
+c AS (SELECT rq.request, min(t.d) AS d FROM rq JOIN ends x ON x.id = rq.to_id JOIN t ON t.b = rq.from_id AND t.k = x.k GROUP BY 1),
+r AS (SELECT rq.*, c.d, CASE WHEN f.id IS NULL OR g.id IS NULL THEN 'unknown_building' WHEN f.id = g.id THEN 'same_building' WHEN NOT f.in_area OR NOT g.in_area THEN 'out_of_service_area'
+    WHEN len(f.doors) = 0 OR len(g.doors) = 0 THEN 'no_entrance' WHEN c.d IS NULL THEN 'disconnected' END AS reason,
+    CASE WHEN f.id IS NULL OR (g.id IS NOT NULL AND NOT f.in_area) OR (g.id IS NOT NULL AND g.in_area AND len(f.doors) = 0) THEN rq.from_id ELSE rq.to_id END AS blamed
+  FROM rq LEFT JOIN b f ON f.id = rq.from_id LEFT JOIN b g ON g.id = rq.to_id LEFT JOIN c USING (request))
+SELECT request, reason IS NULL AS ok, reason, CASE WHEN reason = 'disconnected' THEN from_id || ' -> ' || to_id WHEN reason IN ('unknown_building', 'out_of_service_area', 'no_entrance') THEN blamed::varchar END AS detail,
+  CASE WHEN reason IS NULL THEN floor(d + 0.5)::bigint END AS seconds, CASE WHEN reason IS NULL THEN true END AS named FROM r""",
+    "drop_stubs": f"""
+WITH {EDGE}, s AS (SELECT c_custkey + 10000000 AS id, c_custkey AS u, c_custkey + 10000000 AS v, 1 + c_custkey % 13 AS m, c_custkey % 3 = 0 AS held FROM customer WHERE c_custkey % 5 = 0),
+x AS (SELECT id, u, v, m, false AS held FROM e UNION ALL SELECT * FROM s), g AS (SELECT k, count(*) AS n FROM (SELECT u AS k FROM x UNION ALL SELECT v FROM x) GROUP BY 1)
+SELECT id FROM x JOIN g a ON a.k = u JOIN g b ON b.k = v WHERE NOT (m < 8 AND (a.n = 1 OR (b.n = 1 AND NOT held)))""",
+    "collapse_chains": f"""
+WITH {EDGE}, s AS (SELECT id, u, v, name FROM e WHERE v = u + 1),
+f AS (SELECT *, CASE WHEN lag(name) OVER w IS NULL OR lag(name) OVER w <> name OR u % 16 = 7 THEN 1 ELSE 0 END AS starts FROM s WINDOW w AS (PARTITION BY u // 40 ORDER BY u)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY u // 40 ORDER BY u) AS chain FROM f)
+SELECT min(id) AS id, name, min(u) AS a, max(v) AS b, count(*)::bigint AS edges FROM g GROUP BY u // 40, chain, name""",
+    "dedupe_edges": f"WITH {EDGE} SELECT id FROM e WHERE id % 3 <> 2 UNION ALL SELECT id + 10000000 FROM e WHERE id % 3 = 0 UNION ALL SELECT id + 10000000 FROM e WHERE id % 3 = 2",
+    "split_lines": """
+WITH g AS (SELECT c_custkey // 40 AS way, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT -1 - c_custkey % 40, count(*) FROM customer GROUP BY 1)
+SELECT way, (n - 1)::bigint AS parts, 2::bigint AS points FROM g WHERE n > 1""",
+    "door_ordinals": """
+WITH d AS (SELECT s_suppkey AS k, i, (s_suppkey + i) % 2 = 0 AS provisional, (s_suppkey * i) % 3 = 1 AS weak, CASE WHEN (s_suppkey + 2 * i) % 4 = 0 THEN 0 ELSE 1 END AS side, (s_suppkey * 4 + i) AS spot FROM supplier, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE (s_suppkey + i) % 7 <> 0)
+SELECT k AS building_id, i::bigint AS i, row_number() OVER (PARTITION BY k ORDER BY provisional, weak, side, spot % 40, spot // 40) - 1 AS ordinal FROM d""",
+    "content_id_counts": f"""
+WITH {EDGE} SELECT (2 * count(*))::bigint AS rows, count(*)::bigint AS edges, 0::bigint AS ords, (2 * count(*))::bigint AS good, (SELECT count(DISTINCT k) FROM (SELECT u AS k FROM e UNION ALL SELECT v FROM e))::bigint AS nodes FROM e""",
+    "one_component_s8": components(
+        CUT + " AND NOT (u % 40 IN (11, 12) AND v % 40 IN (11, 12) AND v = u + 1) AND NOT (u // 40 IN (9, 10) AND v = u + 40)", "SELECT id FROM n",
+        """, s AS (SELECT c, count(*) AS nodes, bool_and(k // 40 = 10 AND k % 60 <> 0) AS held FROM t GROUP BY 1)
+SELECT c AS component, nodes::bigint AS nodes FROM s WHERE NOT held AND c <> (SELECT arg_max(c, nodes * 1000000000 + c) FROM s)""",
+    ),
+    "service_area_g1": f"""
+WITH {NODE} SELECT id FROM n WHERE NOT (lon >= -111.95005 AND lon < -111.94765 AND lat >= 33.39995 AND lat < 33.4011) AND NOT (lon >= -111.94705 AND lon < -111.94 AND lat >= 33.40055 AND lat < 33.5)""",
+    "long_straight_g5": f"""
+WITH k AS (SELECT c_custkey AS k, c_custkey + 1 + (c_custkey % 50) * 40 AS j FROM customer),
+m AS (SELECT k, greatest({hav(lon('k'), lat('k'), lon('j'), lat('j'))}, {hav(lon('j'), lat('j'), lon('(j + 1)'), lat('(j + 1)'))}) AS m FROM k)
+SELECT k AS id, round(m, 1) AS m FROM m WHERE m > 400""",
+    "far_buildings_c2": f"""
+WITH {EDGE}, {COUNTS}, b AS (SELECT s_suppkey AS id, -111.95 - (s_suppkey % 9) * 0.0001 AS x, 33.40 + ((s_suppkey * 15 % n) // 40) * 0.00012::double AS y FROM supplier, cnt)
+SELECT id FROM b WHERE {hav('x', 'y', '-111.95', 'y')} > 50""",
+    "without_entrance_c3": f"WITH {BUILDING} SELECT id FROM b WHERE in_area AND len(doors) = 0 AND id % 46 <> 0",
+    "unreachable_c4": f"""
+WITH {BUILDING}, r AS (SELECT id, unnest(doors) AS k FROM b), h AS (SELECT DISTINCT k // 200 AS strip FROM r WHERE id = 1),
+ok AS (SELECT DISTINCT id FROM r JOIN customer ON c_custkey = k WHERE k // 200 IN (SELECT strip FROM h))
+SELECT id FROM b WHERE len(doors) > 0 AND id NOT IN (SELECT id FROM ok)""",
+    "key_violations": """
+WITH t AS (SELECT o_orderkey % 9973 AS edge_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS idx, o_custkey % 50 AS f, o_orderkey % 400 AS ord FROM orders),
+v AS (SELECT 'repeats in (edge_id)' AS key FROM t GROUP BY edge_id HAVING count(*) > 1 UNION ALL SELECT 'repeats in (idx)' FROM t WHERE idx IS NOT NULL GROUP BY idx HAVING count(*) > 1
+  UNION ALL SELECT 'repeats in (from_node_id, to_node_id, ord)' FROM t GROUP BY f, ord HAVING count(*) > 1)
+SELECT key, count(*)::bigint AS values FROM v GROUP BY 1""",
+    "reconciliation_gate_s7": """
+WITH g AS (SELECT l_returnflag AS source, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS kept FROM lineitem GROUP BY 1),
+c AS (SELECT source, n + CASE WHEN source = 'R' THEN 1 ELSE 0 END AS fetched, kept, CASE WHEN source <> 'A' THEN n - kept END AS rejected FROM g)
+SELECT source, fetched || ' <> ' || kept || ' + ' || coalesce(rejected::varchar, 'null') AS measurement FROM c WHERE rejected IS NULL OR fetched <> kept + rejected""",
+    "shape_reject_reason": f"""
+WITH {COUNTS}, {FOOTPRINT}, c AS (SELECT DISTINCT 'S' || (s_suppkey % 40) AS code FROM supplier WHERE s_suppkey % 3 <> 0),
+r AS (SELECT footprint_id, CASE WHEN c.code IS NULL THEN 'code not in the building set' WHEN footprint_id % 7 = 0 OR regexp_matches(p_type, '(?i)\\b(SOLAR|CANOPY|INFRASTRUCTURE)\\b') THEN 'open-air canopy or infrastructure' ELSE 'kept' END AS reason FROM fp LEFT JOIN c USING (code))
+SELECT reason, count(*)::bigint AS rows, sum(footprint_id)::bigint AS ids FROM r GROUP BY 1""",
+    "shape_faults": """
+WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 23 = 0 THEN 'Point' WHEN p_partkey % 29 <> 0 THEN 'Polygon' END AS t, p_partkey % 13 = 0 AS short, p_partkey % 13 <> 0 AND p_partkey % 17 = 0 AS open_, p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 19 = 0 AS far FROM part),
+f AS (SELECT k, unnest(list_filter([CASE WHEN t IS NULL THEN 'geometry is missing' WHEN t <> 'Polygon' THEN 'geometry is Point' END, CASE WHEN k % 31 = 0 THEN 'code is not a building code' END, CASE WHEN short THEN 'ring has fewer than 4 positions' END,
+  CASE WHEN short OR open_ THEN 'ring is not closed' END, CASE WHEN far THEN 'vertex out of bounds' END], lambda x: x IS NOT NULL)) AS fault FROM p)
+SELECT fault, count(*)::bigint AS rows, sum(k)::bigint AS ordinals FROM f GROUP BY 1""",
+    "gained_codes": """
+WITH b AS (SELECT DISTINCT 'C' || (c_custkey % 211) AS code FROM customer), x AS (SELECT DISTINCT 'C' || (s_suppkey % 61) AS code FROM supplier), y AS (SELECT DISTINCT 'C' || (p_partkey % 173) AS code FROM part)
+SELECT 'gained' AS kind, code FROM b WHERE code IN (FROM y) AND code NOT IN (FROM x) UNION ALL SELECT 'lost', code FROM x WHERE code NOT IN (FROM y) UNION ALL SELECT 'uncovered', code FROM b WHERE code NOT IN (FROM x) AND code NOT IN (FROM y)""",
+    "overrides": f"""
+WITH {EDGE} SELECT CASE WHEN id % 14 = 0 THEN 'sand' ELSE surface END AS surface, count(*)::bigint AS rows, round(sum(CASE WHEN id % 21 = 0 THEN 0.9 ELSE shade END), 6) AS shade FROM e WHERE id % 41 <> 0 GROUP BY 1""",
+    "entrance_actions": f"""
+SELECT s_suppkey AS id, s_suppkey % 50 AS buildingId, s_suppkey % 2 = 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 6 <> 1 AS provisional, round({lat('(s_suppkey + CASE WHEN s_suppkey % 5 = 0 THEN 40 ELSE 0 END)')}, 6) AS lat FROM supplier WHERE s_suppkey % 9 <> 0
+UNION ALL SELECT s_suppkey + 1000000, s_suppkey % 50, false, round({lat('s_suppkey')}, 6) FROM supplier WHERE s_suppkey % 8 = 3""",
+    "way_filter": """
+WITH t AS (SELECT p_partkey AS k, ['footway', 'service', 'residential', 'motorway', 'pedestrian', 'tertiary'][(p_partkey % 6 + 1)::int] AS h, CASE p_partkey % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' END AS foot, p_partkey % 7 = 0 AS sidewalk, p_partkey % 4 = 0 AS area, p_partkey % 11 = 0 AS af FROM part),
+p AS (SELECT *, af OR (h = 'pedestrian' AND area) AS plaza FROM t),
+r AS (SELECT k, plaza, CASE WHEN h IN ('footway', 'pedestrian') THEN true WHEN h = 'service' AND coalesce(foot, '') <> 'no' THEN true WHEN h IN ('residential', 'tertiary') THEN NOT sidewalk AND coalesce(foot, '') = 'yes' ELSE plaza END AS kept FROM p)
+SELECT kept, plaza, count(*)::bigint AS rows, sum(k)::bigint AS ids FROM r GROUP BY 1, 2""",
+    "same_grade": """
+SELECT p_partkey % 3 = (CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 4 - 1 ELSE 0 END) AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AS meets, count(*)::bigint AS rows, sum(p_partkey)::bigint AS ids FROM part GROUP BY 1""",
+    "manifest_upsert": """
+WITH s AS (SELECT 'f' || (s_suppkey * 20) AS file, -1::bigint AS bytes FROM supplier)
+SELECT 'f' || c_custkey AS file, c_custkey AS bytes FROM customer WHERE 'f' || c_custkey NOT IN (SELECT file FROM s) UNION ALL SELECT file, bytes FROM s""",
+    "field_status": """
+WITH b AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'todo' ELSE 'done' END AS status FROM supplier)
+SELECT status, CASE status WHEN 'todo' THEN 'to visit' WHEN 'none' THEN 'not queued' ELSE status END AS label, sum(id)::bigint AS ids, count(*)::bigint AS count FROM b GROUP BY 1""",
+    "latest_changes": "SELECT event_id % 997 AS k, max(event_id) AS at FROM events GROUP BY 1 HAVING max(event_id) % 5 <> 0",
+    "point_along_line": f"""
+WITH k AS (SELECT c_custkey AS k, (c_custkey % 30)::double AS goal, {hav(lon('c_custkey'), lat('c_custkey'), lon('c_custkey + 1'), lat('c_custkey + 1'))} AS m1, {hav(lon('c_custkey + 1'), lat('c_custkey + 1'), lon('c_custkey + 41'), lat('c_custkey + 41'))} AS m2 FROM customer WHERE c_custkey % 40 < 38)
+SELECT k AS id, round({lon('k')} + least(1.0, goal / m1) * 0.00012, 8) AS lon, round({lat('k')} + greatest(0.0, least(1.0, (goal - m1) / m2)) * 0.00012, 8) AS lat FROM k""",
+    "turn_angle": """
+WITH a AS (SELECT c_custkey AS id, (c_custkey * 37 % 360) AS a, (c_custkey * 101 % 720 - 360) AS b FROM customer), d AS (SELECT id, ((a - b) % 360 + 360) % 360 AS d FROM a)
+SELECT id, round(least(d, 360 - d)::double, 6) AS angle FROM d""",
+    "ring_area_and_mean": f"""
+WITH {COUNTS}, {FOOTPRINT} SELECT footprint_id, round(4 * h * h * cos(radians(y)) * pow({R} * pi() / 180, 2), 2) AS area_m2, round((5 * x - h) / 5, 7) AS lon, round((5 * y - h) / 5, 7) AS lat FROM fp""",
+    "wkt_points": """
+SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN p_partkey % 180 + 0.25::double END AS lon, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN -(p_partkey % 90)::double END AS lat FROM part""",
 }

@@ -50,10 +50,10 @@ def register_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def register_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """Footprints of a register's polygon layer: attributes and ``ring``, the outer one."""
+    """Footprints of a register's polygon layer: attributes, ``part`` and ``ring``, a row for each ring of a shape."""
     doc = spark.read.schema(schema.REGISTER_SHAPES).option("multiLine", True).json(path)
     f = doc.select(F.posexplode("features").alias("ordinal", "f"))
-    return f.select("ordinal", "f.attributes.*", geo.points(F.get(F.col("f.geometry.rings"), F.lit(0))).alias("ring"))
+    return f.select("ordinal", "f.attributes.*", F.posexplode_outer("f.geometry.rings").alias("part", "__ring")).withColumn("ring", geo.points(F.col("__ring"))).drop("__ring")
 
 
 def features(spark: SparkSession, path: str, properties: str, coordinates: str = "array<double>") -> DataFrame:
@@ -74,7 +74,7 @@ def features_after_prefix(spark: SparkSession, path: str, properties: str, coord
 
 
 def service_area(spark: SparkSession, path: str) -> DataFrame:
-    """``ring, box``: the outer ring of a polygon collection's features and its bounds."""
+    """``ring, box``: the outer rings of a polygon collection's features and their bounds."""
     f = features(spark, path, "name:string", "array<array<array<double>>>")
     return f.select(geo.points(F.col("coordinates")[0]).alias("ring")).withColumn("box", geo.bounds(F.col("ring")))
 
