@@ -16,8 +16,15 @@ the edit distance: each member first goes with the nearest one of every other co
 with all that are left. So no link between components is lost, and no group is expanded into
 all its pairs.
 
-Sketches alone miss pairs with many scattered edits. So a last step compares what they can't
-have seen: texts of m words at most d edits apart have at least ``t = m - k + 1 - k d`` labelled
+Two texts whose share of common labelled five-word shingles is J meet in at least one of the 24
+buckets with probability ``1 - (1 - J^3)^24``: over 0.9999999 at J = 0.8, 0.99 at J = 0.56. So pairs
+with a similarity of 0.8 or more in five-word shingles are found; pairs below that are linked
+by their edit similarity where they meet. Single edits far from each other break the most
+shingles: of pairs with nothing but such edits, 0.999, 0.84, 0.43 and 0.17 meet at an edit
+similarity of 0.95, 0.90, 0.85 and 0.80.
+
+With ``scattered=True`` a last step, which costs several times the rest and pairs the members of
+k-mers one by one, compares those too: texts of m words at most d edits apart have at least ``t = m - k + 1 - k d`` labelled
 k-mers in common, so in one order of all k-mers they share some (a quarter, at least ``MEET``)
 among the first of each (a prefix filter). The order puts k-mers that are frequent in a sample last
 and decides cost only; ``k`` is 3, or less where a short text would have nothing in common by this
@@ -26,9 +33,6 @@ looked up, such that ``DRAWN`` shared ones are to be expected; pairs with ``ENOU
 aligned. That fewer come up has a chance of 1e-7 for a pair right at the threshold, and none
 for texts below some 250 words.
 
-Two texts whose shares of common labelled 5-word shingles is J meet in at least one of the 24
-buckets with probability ``1 - (1 - J^3)^24``: over 0.9999999 at J = 0.8, 0.99 at J = 0.56.
-
 Cases: null text is empty, and empty texts are one class; texts of fewer than five words have
 one k-mer, all their words; a document without an id is in no class; rows with the same id are
 compared by their own texts, and the id is in the smallest of their groups; an empty table gives an
@@ -45,6 +49,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,35 +216,24 @@ def counts_of(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def sketched(docs: DataFrame, similarity: float) -> DataFrame:
+def sketched(docs: DataFrame, similarity: float, scattered: bool) -> DataFrame:
     """``doc, th, digest, n, keys, bins, grams, common`` of every row of ``docs(doc, th, text)``.
 
-    ``grams`` are the k-mers of the last step, ``common`` those of them that many texts have.
+    ``grams`` are the k-mers of the last step, ``common`` those of them that many texts have; both are
+    empty unless ``scattered``.
     """
-    spark = docs.sparkSession
-    share = max(1, -(-docs.count() // GRAM_DOCS))
-
-    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for t in batch["text"]:
-                h = word_hashes(words(t))
-                yield pd.DataFrame({"gram": np.unique(np.concatenate([kmers(h, k) for k in range(1, GRAM + 1)])).view(np.int64)})
-
-    drawn = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).limit(2 * GRAM_DOCS).mapInPandas(learned, "gram long")
-    top = drawn.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(GRAMS_KEPT).toPandas()
-    grams = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(grams)
-    frequent = spark.sparkContext.broadcast((grams[order], top["count"].to_numpy(dtype=np.int64)[order]))
+    frequent = _frequent(docs) if scattered else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = frequent.value
-        hot = known[counts > max(2, GRAM_DOCS // COMMON)]
+        known, counts = frequent.value if frequent else (None, None)
+        hot = known[counts > max(2, GRAM_DOCS // COMMON)] if frequent else None
+        nothing = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             for a in range(0, len(batch), 500):
                 part = batch.iloc[a : a + 500]
                 rows = [word_hashes(words(t)) for t in part["text"]]
-                first = [prefix(r, similarity, known, counts) for r in rows]
-                shared = [np.isin(f, hot) for f in first]
+                first = [prefix(r, similarity, known, counts) if frequent else nothing for r in rows]
+                shared = [np.isin(f, hot) if frequent else np.zeros(0, dtype=bool) for f in first]
                 yield pd.DataFrame(
                     {
                         "doc": part["doc"].to_numpy(),
@@ -256,6 +250,24 @@ def sketched(docs: DataFrame, similarity: float) -> DataFrame:
     return docs.mapInPandas(run, "doc long, th long, digest binary, n int, keys array<long>, bins binary, grams array<long>, common array<long>")
 
 
+def _frequent(docs: DataFrame) -> Broadcast:
+    """Frequent k-mers of a sample and their counts, by k-mer."""
+    spark = docs.sparkSession
+    share = max(1, -(-docs.count() // GRAM_DOCS))
+
+    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t in batch["text"]:
+                h = word_hashes(words(t))
+                yield pd.DataFrame({"gram": np.unique(np.concatenate([kmers(h, k) for k in range(1, GRAM + 1)])).view(np.int64)})
+
+    drawn = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).limit(2 * GRAM_DOCS).mapInPandas(learned, "gram long")
+    top = drawn.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(GRAMS_KEPT).toPandas()
+    grams = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return spark.sparkContext.broadcast((grams[order], top["count"].to_numpy(dtype=np.int64)[order]))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``pairs(a, b)`` whose texts are similar. ``b`` is joined last: one ``a`` may have many."""
 
@@ -429,9 +441,9 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("doc", F.xxhash64("text").alias("th"), "text")
 
 
-def groups(d: DataFrame, similarity: float) -> DataFrame:
+def groups(d: DataFrame, similarity: float, scattered: bool) -> DataFrame:
     """``doc, th, first_doc, first_th`` of every row of ``documents``: the row with the smallest id of its group."""
-    sk = write_and_reread(sketched(d, similarity), "order-minhash")
+    sk = write_and_reread(sketched(d, similarity, scattered), "order-minhash")
     # texts with the same words are one class, with a number of its own
     one = sk.groupBy("digest").agg(F.min(F.struct("doc", "th", "n", "keys")).alias("s")).select("digest", "s.*")
     one = write_and_reread(one.withColumn("id", F.monotonically_increasing_id()), "order-minhash-classes")
@@ -484,11 +496,11 @@ def groups(d: DataFrame, similarity: float) -> DataFrame:
         if n_pairs:
             found = joined(pairs, found)
 
-    # what no sketch has brought together
-    unmet, n_unmet = counted_side(unmet_pairs(sk.select("doc", "th", "grams", "common"), placed(one.select("doc", "th", "id", "n"), found), similarity), 0)
-    if n_unmet:
-        texts = texts_of(unmet.select(F.explode(F.array("a", "b")).alias("id")), "order-minhash-unmet")
-        found = joined(unmet, found)
+    if scattered:  # what no sketch has brought together
+        unmet, n_unmet = counted_side(unmet_pairs(sk.select("doc", "th", "grams", "common"), placed(one.select("doc", "th", "id", "n"), found), similarity), 0)
+        if n_unmet:
+            texts = texts_of(unmet.select(F.explode(F.array("a", "b")).alias("id")), "order-minhash-unmet")
+            found = joined(unmet, found)
 
     whole = cut_lineage(placed(one.select("digest", "id", "doc", "th"), found))
     first = whole.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("first"))
@@ -497,18 +509,18 @@ def groups(d: DataFrame, similarity: float) -> DataFrame:
     return sk.select("doc", "th", "digest").join(first, "digest").select("doc", "th", "first_doc", "first_th")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, scattered: bool = False) -> DataFrame:
     """``id, class_id`` of every distinct document id: the smallest id of its group."""
-    found = groups(documents(docs, id_col, text_col), similarity)
+    found = groups(documents(docs, id_col, text_col), similarity, scattered)
     return found.groupBy(F.col("doc").alias("id")).agg(F.min("first_doc").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, columns: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, columns: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, scattered: bool = False) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest id; rows without an id stay.
 
     Rows with the same id and text are one document.
     """
-    found = groups(documents(docs, id_col, text_col), similarity)
+    found = groups(documents(docs, id_col, text_col), similarity, scattered)
     kept = found.filter("doc = first_doc and th = first_th").groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg((F.count("*") > 1).alias("__again"))
     kept, _ = counted_side(kept, BROADCAST_ROWS)
     rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(text_col))

@@ -8,14 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.session import cut_lineage
-
-
-def counted_side(df: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """``df`` written out and counted, marked for broadcast if it has at most ``most`` rows."""
-    df = cut_lineage(df)
-    n = df.count()
-    return (F.broadcast(df) if n <= most else df), n
+from pathweave.session import counted_side as counted_side
 
 
 def deal_buckets(rows: DataFrame, sizes: DataFrame, chunk: int, most: int) -> DataFrame:

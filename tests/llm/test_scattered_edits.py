@@ -17,7 +17,7 @@ def test_every_pair_up_to_the_threshold_is_found(spark):
             other[i * n // d + n // d // 2] = word()
         rows += [(2 * len(rows), " ".join(text)), (2 * len(rows) + 1, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.id: r.class_id for r in om.classes(docs).collect()}
+    got = {r.id: r.class_id for r in om.classes(docs, scattered=True).collect()}
     assert all(got[b] == a for (a, _), (b, _) in zip(rows[::2], rows[1::2], strict=True))
     assert len(set(got.values())) == len(rows) // 2
 
