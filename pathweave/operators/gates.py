@@ -133,6 +133,16 @@ def long_straight(edges: DataFrame, metres: float = 400.0) -> DataFrame:
     return _out(d.filter(F.col("m") > metres), "id", F.concat(F.round("m", 1), F.lit(" m")))
 
 
+def entrance_distances(nodes: DataFrame, buildings: DataFrame, footprints: DataFrame) -> DataFrame:
+    """``id, building_id, gsf, provisional, snap_m`` of entrances, from the nodes, their buildings and the buildings'
+    footprints, as the authoring tables have them: how far a door is from the footprint, 0 on it or inside."""
+    n = nodes.filter("type = 'entrance'").select(F.col("node_id").alias("id"), "building_id", "provisional", F.col("geom").alias("p"))
+    b = buildings.select("building_id", "footprint_id", "gsf")
+    d = n.join(b, "building_id").join(footprints.select("footprint_id", F.col("geom").alias("ring")), "footprint_id")
+    away = F.when(geo.inside(F.col("p"), F.col("ring")), 0.0).otherwise(geo.distance_to_line(F.col("p"), F.col("ring")))
+    return d.select("id", "building_id", "gsf", "provisional", away.alias("snap_m"))
+
+
 def far_entrances(entrances: DataFrame, fail: float = 40.0, warn: float = 25.0) -> DataFrame:
     """``entrances(id, snap_m)`` far from the network."""
     return _out(entrances.filter(F.col("snap_m") > warn), "id", F.concat(F.when(F.col("snap_m") > fail, "FAIL ").otherwise("WARN "), F.round("snap_m", 2)))
@@ -211,7 +221,8 @@ def schema_errors(doc: dict[str, DataFrame]) -> DataFrame:
     pos = lambda c: {f"{c} is out of bounds": ~(F.col(c)["lon"].between(*schema.LON_BOUNDS) & F.col(c)["lat"].between(*schema.LAT_BOUNDS))}
     rules = {
         "buildings": required("id", "code", "officialName", "displayName", "category", "centroid", "footprintSource", "entranceIds", "inServiceArea", "routable") | pattern("id", schema.ID_PATTERNS["building"], "building") | one_of("category", schema.CATEGORIES) | one_of("footprintSource", schema.FOOTPRINT_SOURCES) | pos("centroid") | {"gsf is negative": F.col("gsf") < 0},
-        "nodes": required("id", "type", "position") | pattern("id", schema.ID_PATTERNS["node"], "node") | one_of("type", schema.NODE_TYPES) | one_of("crossingKind", schema.CROSSING_KINDS) | pos("position"),
+        "nodes": required("id", "type", "position") | pattern("id", schema.ID_PATTERNS["node"], "node") | one_of("type", schema.NODE_TYPES) | one_of("crossingKind", schema.CROSSING_KINDS) | pos("position")
+        | {f"an entrance has no {c}": (F.col("type") == "entrance") & F.col(c).isNull() for c in ("buildingId", "provisional")} | {"a crossing has no signalized": (F.col("type") == "crossing") & F.col("signalized").isNull()},
         "edges": required("id", "type", "fromNodeId", "toNodeId", "geometry", "lengthM", "surface", "shadeIndex", "shadeSource") | pattern("id", schema.ID_PATTERNS["edge"], "edge") | one_of("type", schema.EDGE_TYPES) | one_of("surface", schema.SURFACES) | one_of("shadeSource", schema.SHADE_SOURCES) | {"shadeIndex is out of range": ~F.col("shadeIndex").between(0, 1), "lengthM isn't positive": F.col("lengthM") <= 0, "geometry has fewer than 2 positions": F.size("geometry") < 2},
     }
     out = None

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,46 @@ def repin(entries: DataFrame, refs: DataFrame) -> DataFrame:
     return d.withColumn("repinned", F.col("resolved_to").isNotNull()).withColumn("ref", F.coalesce("resolved_to", "ref")).drop("resolved_to")
 
 
+def repin_files(texts: DataFrame, refs: DataFrame) -> DataFrame:
+    """``texts(file, body)`` of overlay files after ``refs(file, overlay_id, resolution, resolved_to)``: ``file, body,
+    changed, repinned, skipped``, the last two as lists of ``overlay_id, what``. Spatially resolved references
+    take the content id as their primary; a reference that was a bare ``geo:`` text keeps no place. A
+    row without a body stands for a file that isn't there. Each file is edited in a task."""
+    spatial = refs.filter("resolution = 'spatial'").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("overlay_id", "resolved_to"))).alias("wanted"))
+    d = spatial.join(texts, "file", "left").select("file", "body", F.to_json("wanted").alias("wanted"))
+    rows = "array<struct<overlay_id:string,what:string>>"
+    out = d.mapInPandas(_edited, "file string, body string, changed boolean, repinned string, skipped string")
+    return out.withColumns({c: F.from_json(c, rows) for c in ("repinned", "skipped")})
+
+
+def _edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([_edit(*r) for r in batch.itertuples(index=False)], columns=["file", "body", "changed", "repinned", "skipped"])
+
+
+def _edit(file: str, body: str | None, wanted: str) -> tuple:
+    done, left = [], []
+    doc = None if body is None else json.loads(body)
+    entries = {} if doc is None else {e.get("id"): e for e in doc.get("entries", []) if isinstance(e, dict)}
+    for w in json.loads(wanted):
+        id_, to = w["overlay_id"], w.get("resolved_to")
+        ref = entries.get(id_, {}).get("ref")
+        if doc is None:
+            left.append((id_, "file not found"))
+        elif not (to or "").startswith(("node:", "edge:")):
+            left.append((id_, f"{to} is no content id"))
+        elif isinstance(ref, str):
+            entries[id_]["ref"] = {"primary": to, "fallback": None} if ref.startswith("geo:") else to
+            done.append((id_, to))
+        elif isinstance(ref, dict) and "primary" in ref:
+            ref["primary"] = to
+            done.append((id_, to))
+        else:
+            left.append((id_, "no such entry or reference"))
+    listed = lambda rows: json.dumps([{"overlay_id": a, "what": b} for a, b in rows])
+    return file, json.dumps(doc, indent=2) + "\n" if done else body, bool(done), listed(done), listed(left)
+
+
 def override(base: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
     """``base`` with the non-null values that ``changes`` has for a key."""
     c = changes.select(key, *[F.col(x).alias(f"new_{x}") for x in columns])

@@ -39,7 +39,7 @@ def with_entrance(nodes: DataFrame, entrances: DataFrame) -> DataFrame:
 
 def with_building(footprints: DataFrame, buildings: DataFrame) -> DataFrame:
     """``footprints(footprint_id, ...)`` with the building that stands on each, if any."""
-    b = buildings.filter("footprint_id is not null").select("footprint_id", "building_id", "display_name", "category", "routable")
+    b = buildings.filter("footprint_id is not null").select("footprint_id", "building_id", "display_name", "category", "routable", "footprint_src", "unroutable_why")
     return footprints.join(b, "footprint_id", "left")
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from urllib.parse import urlencode
+from urllib.request import Request, urlopen
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -10,19 +16,44 @@ from pathweave import schema
 from pathweave.functions import geo
 
 
-def graph_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``manifest``, ``buildings``, ``nodes`` and ``edges`` of graph files, geometries as points."""
-    doc = spark.read.schema(schema.GRAPH).option("multiLine", True).json(path)
+def graph_document(spark: SparkSession, path: str, *, lines: bool = False) -> dict[str, DataFrame]:
+    """``manifest``, ``buildings``, ``nodes`` and ``edges`` of graph files, geometries as points.
+
+    A file is one document, or with ``lines`` a part of one on each line, as ``emit_document`` writes them.
+    """
+    doc = spark.read.schema(schema.GRAPH).option("multiLine", not lines).json(path)
     each = lambda name: doc.select(F.explode(name).alias("x")).select("x.*")
     pos = lambda c: F.when(F.col(c).isNotNull(), geo.point(F.col(c)[0], F.col(c)[1]))
     return {
-        "manifest": doc.select("manifest.*"),
+        "manifest": doc.filter("manifest is not null").select("manifest.*"),
         "buildings": each("buildings").withColumn("centroid", pos("centroid")),
         "nodes": each("nodes").withColumn("position", pos("position")),
         "edges": each("edges").withColumn("geometry", geo.points(F.col("geometry"))),
     }
 
 
+def document_faults(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """``kind, entity, fault`` of graph files by their text: parts that are missing, properties that the
+    format doesn't have, and values that aren't of their property's type (text that holds a number
+    passes as a number does as text)."""
+    kinds = {"buildings": schema.BUILDING, "nodes": schema.NODE, "edges": schema.EDGE}
+    raw = ", ".join(f"{k} array<string>" for k in kinds)
+    doc = spark.read.schema(f"manifest string, {raw}").option("multiLine", not lines).json(path)
+    held = doc.agg(*[F.count(c).alias(c) for c in ("manifest", *kinds)])
+    missing = F.array_compact(F.array(*[F.when(F.col(c) == 0, F.lit(c)) for c in ("manifest", *kinds)]))
+    out = held.select(F.explode(missing).alias("kind")).select("kind", F.lit("document").alias("entity"), F.lit("missing").alias("fault"))
+    parts = [(k, ddl, doc.select(F.explode(k).alias("text"))) for k, ddl in kinds.items()]
+    parts.append(("manifest", schema.MANIFEST, doc.filter("manifest is not null").select(F.col("manifest").alias("text"))))
+    for kind, ddl, entities in parts:
+        names = spark.createDataFrame([], f"x {ddl}").schema["x"].dataType.names
+        d = entities.withColumns({"x": F.from_json("text", ddl), "keys": F.json_object_keys("text")})
+        extra = F.transform(F.array_except("keys", F.array(*map(F.lit, names))), lambda k: F.concat(F.lit("unexpected property "), k))
+        wrong = F.array_compact(F.array(*[F.when(F.get_json_object("text", f"$.{n}").isNotNull() & F.col(f"x.{n}").isNull(), F.lit(f"{n} is of another type")) for n in names]))
+        entity = F.coalesce(F.get_json_object("text", "$.id"), F.lit(kind))
+        out = out.unionByName(d.select(F.lit(kind).alias("kind"), entity.alias("entity"), F.explode(F.concat(F.coalesce(extra, F.array().cast("array<string>")), wrong)).alias("fault")))
+    return out
+
+
 def overpass(spark: SparkSession, path: str) -> DataFrame:
     """The elements of a map extract: ``type, id, lat, lon, geometry, tags``."""
     doc = spark.read.schema(schema.OVERPASS).option("multiLine", True).json(path)
@@ -37,12 +68,39 @@ def extract_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def overpass_query(min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> str:
-    """The request for all ways and nodes that the filters may keep; the box is south, west, north, east."""
+    """The request for all ways and nodes that the filters keep; the box is south, west, north, east."""
     box = f"({min_lat},{min_lon},{max_lat},{max_lon})"
-    wanted = ['way["highway"]', 'way["area:highway"]', 'node["highway"~"^(crossing|elevator)$"]', 'node["entrance"]', 'node["barrier"~"^(gate|bollard|kerb)$"]']
+    # The conditions of the filters in the service's language.
+    wanted = [
+        'way["highway"~"^(footway|path|steps|pedestrian|corridor|living_street)$"]', 'way["highway"="service"]["foot"!="no"]', 'way["highway"~"^(residential|tertiary)$"]["foot"="yes"][!"sidewalk"]',
+        'way["area:highway"="footway"]', 'way["highway"="pedestrian"]["area"="yes"]', 'node["highway"~"^(crossing|elevator)$"]', 'node["entrance"]', 'node["barrier"~"^(gate|bollard|kerb)$"]',
+    ]
     return "[out:json][timeout:180];\n(\n" + "".join(f"  {w}{box};\n" for w in wanted) + ");\nout geom;\n"
 
 
+def posted(spark: SparkSession, url: str, query: str, *, timeout: int = 200) -> DataFrame:
+    """``answer``: what a service says to a query that is posted to it, asked for by a task. An answer that
+    isn't JSON fails the task."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q in batch["query"]:
+                request = Request(url, data=urlencode({"data": q}).encode(), headers={"User-Agent": "pathweave"})
+                with urlopen(request, timeout=timeout) as answer:
+                    text = answer.read().decode()
+                json.loads(text)
+                yield pd.DataFrame({"answer": [text]})
+
+    return spark.createDataFrame([(query,)], "query string").coalesce(1).mapInPandas(ask, "answer string")
+
+
+def answered_elements(answers: DataFrame) -> DataFrame:
+    """The elements of ``posted`` map queries, as ``overpass`` gives them."""
+    doc = answers.select(F.from_json("answer", f"struct<{schema.OVERPASS.replace(' ', ':', 1)}>").alias("d"))
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return doc.select(F.explode("d.elements").alias("x")).select("x.*").withColumn("tags", F.coalesce("tags", nothing))
+
+
 def register_points(spark: SparkSession, path: str) -> DataFrame:
     """Building records of a register's point layer, with ``x, y`` and their place in the file."""
     doc = spark.read.schema(schema.REGISTER_POINTS).option("multiLine", True).json(path)
@@ -92,15 +150,17 @@ def register_views(tables_: dict[str, DataFrame]) -> None:
 
 
 class _Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+    def __init__(self, offset: int, last: bool = False):
+        self.offset, self.last = offset, last
 
 
 class PagedFeatures(DataSource):
-    """Features of a REST layer, a partition per page: ``spark.read.format("paged_features")``.
+    """Features of a REST layer: ``spark.read.format("paged_features")``.
 
     Options: ``url`` of the layer's query, ``where``, ``pageSize``, and ``count``, the number of
-    features to expect. An error in an answer fails the task with the service's words.
+    features to expect, by which the pages are asked for side by side. The last page, or the only one
+    where no count is given, is followed by others as long as they are full or the answer says that
+    it was cut off. An error in an answer fails the task with the service's words.
     """
 
     @classmethod
@@ -117,23 +177,26 @@ class PagedFeatures(DataSource):
 class _PagedReader(DataSourceReader):
     def __init__(self, options):
         self.url, self.where = options["url"], options.get("where", "1=1")
-        self.size, self.count = int(options.get("pageSize", 1000)), int(options["count"])
+        self.size, self.count = int(options.get("pageSize", 1000)), int(options.get("count", 1))
 
     def partitions(self):
-        return [_Page(o) for o in range(0, max(self.count, 1), self.size)]
+        pages = [_Page(o) for o in range(0, max(self.count, 1), self.size)]
+        pages[-1].last = True
+        return pages
 
     def read(self, partition):
-        import json
-        from urllib.parse import urlencode
-        from urllib.request import urlopen
-
-        asked = {"where": self.where, "outFields": "*", "outSR": 4326, "f": "json", "resultOffset": partition.offset, "resultRecordCount": self.size}
-        with urlopen(f"{self.url}?{urlencode(asked)}", timeout=120) as answer:
-            body = json.load(answer)
-        if "error" in body:
-            raise RuntimeError(f"the service answered with an error: {body['error']}")
-        for f in body.get("features", []):
-            yield partition.offset, json.dumps(f)
+        offset, more = partition.offset, True
+        while more:
+            asked = {"where": self.where, "outFields": "*", "outSR": 4326, "f": "json", "resultOffset": offset, "resultRecordCount": self.size}
+            with urlopen(f"{self.url}?{urlencode(asked)}", timeout=120) as answer:
+                body = json.load(answer)
+            if "error" in body:
+                raise RuntimeError(f"the service answered with an error: {body['error']}")
+            found = body.get("features", [])
+            for f in found:
+                yield offset, json.dumps(f)
+            more = partition.last and bool(found) and (bool(body.get("exceededTransferLimit")) or len(found) == self.size)
+            offset += self.size
 
 
 def epoch_millis(c: Column) -> Column:

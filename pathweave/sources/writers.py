@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.functions import geo
+from pathweave.operators import register
+
 
 class WriteRefused(RuntimeError):
     """A write was asked for without ``allow_write``."""
@@ -64,13 +67,56 @@ def replace_section(text: str, marker: str, body: str) -> str:
     return (text.rstrip() + "\n\n" if text.strip() else "") + block + "\n"
 
 
-def emit_document(buildings: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, *, allow_write: bool = False) -> None:
-    """The graph as text lines ``kind, entity``, sorted by kind and id: written side by side, unlike
-    one document, and equal for equal input."""
+def emit_document(buildings: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, *, manifest: DataFrame | None = None, allow_write: bool = False) -> None:
+    """The graph as lines, each a part of the document with one entity, sorted by kind and id: written
+    side by side, unlike one document, equal for equal input, and read by ``graph_document(lines=True)``."""
     _guard(allow_write, path)
-    part = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("id"), F.to_json(F.struct(*df.columns)).alias("entity"))
-    every = part("building", buildings).unionByName(part("node", nodes)).unionByName(part("edge", edges))
-    every.orderBy("kind", "id").select(F.to_json(F.struct("kind", "entity")).alias("value")).write.mode("overwrite").text(path)
+    every = None
+    for order, (name, df) in enumerate((("manifest", manifest), ("buildings", buildings), ("nodes", nodes), ("edges", edges))):
+        if df is None:
+            continue
+        place = {"centroid": lambda c: _place(F.col(c)), "position": lambda c: _place(F.col(c)), "geometry": lambda c: F.transform(c, _place)}
+        entity = F.struct(*[(place[c](c) if c in place else F.col(c)).alias(c) for c in df.columns])
+        line = F.to_json(F.struct((entity if name == "manifest" else F.array(entity)).alias(name)))
+        key = F.col("id") if "id" in df.columns else F.lit("")
+        one = df.select(F.lit(order).alias("kind"), key.alias("key"), line.alias("value"))
+        every = one if every is None else every.unionByName(one)
+    every.orderBy("kind", "key", "value").select("value").write.mode("overwrite").text(path)
+
+
+def _place(p: Column) -> Column:
+    return F.when(p.isNotNull(), F.array(p["lon"], p["lat"]))
+
+
+#: Where nothing is known of a graph's extent: west, south, east, north.
+DEFAULT_BOX = (-111.9365, 33.4155, -111.928, 33.4248)
+
+
+def extent(edges: DataFrame, line: str = "geom") -> DataFrame:
+    """One row ``min_lon, min_lat, max_lon, max_lat`` around all lines, the default box without any."""
+    own = geo.bounds(F.col(line))
+    ends = ((F.min, "min_lon"), (F.min, "min_lat"), (F.max, "max_lon"), (F.max, "max_lat"))
+    return edges.agg(*[F.coalesce(f(own[c]), F.lit(d)).alias(c) for (f, c), d in zip(ends, DEFAULT_BOX, strict=True)])
+
+
+def layers(tables: dict[str, DataFrame], dropped: DataFrame) -> dict[str, DataFrame]:
+    """The five layers of an export, ``key, feature`` each: edges, nodes with what is known of doors,
+    footprints with the building on each, buildings, and the centres of dropped components."""
+    line, at = lambda c: coordinates(F.col(c), 7), lambda c: F.array(F.round(F.col(c)["lon"], 7), F.round(F.col(c)["lat"], 7))
+    nodes = register.with_entrance(tables["node"], tables["entrance"].withColumnRenamed("ordinal", "entrance_ordinal"))
+    footprints = register.with_building(tables["footprint"], tables["building"])
+    # The properties of each layer.
+    parts = {
+        "edges": (tables["edge"], "edge_id", "LineString", line("geom"), "edge_id type name length_m surface stairs step_count covered tunnel bridge layer accessible shade_index shade_source synthetic osm_way_id"),
+        "nodes": (nodes, "node_id", "Point", at("geom"), "node_id type osm_node_id building_id provisional weak signalized cross_kind entrance_ordinal snap_m side"),
+        "footprints": (footprints, "footprint_id", "Polygon", F.array(line("geom")), "footprint_id code area_m2 building_id display_name category routable footprint_src unroutable_why"),
+        "buildings": (tables["building"], "building_id", "Point", at("centroid"), "building_id code display_name category routable unroutable_why gsf footprint_src in_service_area"),
+        "dropped": (dropped, "component", "Point", at("centre"), "component nodes metres"),
+    }
+    out = {}
+    for name, (df, key, shape, where, wanted) in parts.items():
+        out[name] = df.select(F.col(key).cast("string").alias("key"), as_feature(shape, where, [c for c in wanted.split() if c in df.columns]).alias("feature"))
+    return out
 
 
 def field_layer(buildings: DataFrame, queue: DataFrame, labels: dict[str, str]) -> tuple[DataFrame, DataFrame]:

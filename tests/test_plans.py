@@ -17,7 +17,7 @@ from pathweave.plans.graph import Graph, batch
 
 @pytest.fixture
 def graph(spark, tmp_path):
-    document(spark, tmp_path, lambda d: (d["buildings"].append({**d["buildings"][0], "id": "bldg:LAB", "code": "LAB", "displayName": "Lab", "entranceIds": ["node:cccccccc"]}), d["nodes"][2].update(type="entrance")))
+    document(spark, tmp_path, lambda d: (d["buildings"].append({**d["buildings"][0], "id": "bldg:LAB", "code": "LAB", "displayName": "Lab", "entranceIds": ["node:cccccccc"]}), d["nodes"][2].update(type="entrance", buildingId="bldg:LAB", provisional=False)))
     return Graph.load(spark, str(tmp_path / "graph.json"))
 
 
@@ -80,3 +80,17 @@ def test_build(spark):
     with pytest.raises(ValueError, match="no stage"):
         build_graph.run(town(spark), only="roof")
     assert build_graph.run(town(spark), only="load").log == ["load"]
+
+
+def test_build_keeps_barriers_and_crossings(spark):
+    """Stubs stay that end at a barrier; chains are cut at crossings, whose nodes get their type."""
+    s = town(spark)
+    more = [(50, line((100, 160), (100, 165)), None, False, "path", "gate", "paved", False), (51, line((150, 160), (150, 165)), None, False, "path", "noise", "paved", False), (53, line((260, 160), (320, 160)), None, False, "path", "east", "gravel", False)]
+    s.ways = s.ways.unionByName(spark.createDataFrame(more, s.ways.schema))
+    s.barriers = spark.createDataFrame([(P(100, 165),)], f"p {geo.POINT}")
+    s.crossings = spark.createDataFrame([(P(260, 160),)], f"p {geo.POINT}")
+    s = build_graph.run(s)
+    n = build_graph.nodes(s).cache()
+    near = lambda x, y: n.filter(geo.haversine(F.col("position"), geo.point(P(x, y)["lon"], P(x, y)["lat"])) < 1)
+    assert near(100, 165).count() == 1 and near(150, 165).count() == 0
+    assert near(260, 160).first().type == "crossing" and n.filter("type = 'crossing'").count() == 1

@@ -152,7 +152,7 @@ def document(spark, tmp_path, edit=lambda d: None):
     d = {
         "manifest": {"generatedUtc": "x", "builderGitRev": "y", "inputs": {}, "graphHash": "z", "counts": {"nodes": 3}},
         "buildings": [{"kind": "building", "id": "bldg:HALL", "code": "HALL", "officialName": "HALL", "displayName": "Hall", "category": "academic", "centroid": pos("a"), "footprintId": None, "footprintSource": "none", "entranceIds": [ids["a"]], "gsf": None, "address": None, "imageUrl": None, "inServiceArea": True, "routable": True, "unroutableReason": None}],
-        "nodes": [{"kind": "node", "id": ids[k], "type": "entrance" if k == "a" else "walkway", "position": pos(k)} for k in at],
+        "nodes": [{"kind": "node", "id": ids[k], "type": "entrance" if k == "a" else "walkway", "position": pos(k), **({"buildingId": "bldg:HALL", "provisional": False} if k == "a" else {})} for k in at],
         "edges": [edge("x", "a", "b", 60.0), edge("y", "b", "c", 80.0)],
     }
     edit(d)
