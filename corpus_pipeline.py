@@ -5,7 +5,7 @@ tables. ``run`` applies them to ``documents``, each result written as Parquet in
 folder and read again by the next.
 
 1. language: documents without letters, or with less likeness to any learned language than two
-   random texts have (a cosine below 0.03), go;
+   random texts have (a cosine below 0.03), go; where no document is labelled, only the former;
 2. near_dedup: of each group of near-duplicates the one with the smallest id stays;
 3. secrets: secrets are replaced by their kind in brackets, all documents stay;
 4. mix: documents are repeated or left out so that the sources meet their target weights;
@@ -29,7 +29,10 @@ MIN_LIKENESS = 0.03
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs.select(*COLUMNS))
+    profiles = language.fit(docs)
+    if not profiles[0]:
+        return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
+    found = docs.select(*COLUMNS).withColumn("prediction", language.predictor(*profiles)(F.col("text")))
     return found.filter((F.col("prediction.lang") != "und") & (F.col("prediction.score") >= MIN_LIKENESS)).select(*COLUMNS)
 
 

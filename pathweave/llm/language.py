@@ -9,14 +9,15 @@ with the largest cosine.
 Texts are lower-cased; a run of other characters than letters is one blank, and so are both
 ends. As n-grams repeat, they are counted first and their vectors are weighed by the counts.
 
-The prototypes are fitted on a bounded sample of labelled rows (``per_language`` rows of each
-of the ``max_languages`` most frequent languages, chosen by a hash of the id): a few thousand
-numbers per language, which are sent to all tasks. Prediction reads every text whole.
+The prototypes are fitted on a bounded sample of labelled rows (about ``per_language`` rows of each
+language, chosen by a hash of the id): a thousand numbers per language, which are sent to all
+tasks. More than ``max_languages`` languages aren't learned, but those with the most rows. Prediction reads every text whole.
 
 Cases: null text or text without letters is ``und`` with score 0; ties go to the language
 first by code point; without labelled rows everything is ``und``; rows are predicted one by
-one, so repeated rows and empty tables need no care; only the named columns are read. The
-score is the cosine, at least 0.
+one, so repeated rows and empty tables need no care; only the named columns are read, and a
+column ``prediction`` that is there already gives way to the result. The score is the cosine,
+at least 0.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def in_training(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5 != 0
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 3000, max_languages: int = 1000, seed: int = 11) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 3000, max_languages: int = 10_000, seed: int = 11) -> tuple[list[str], np.ndarray]:
     """The languages by code point, and a row of unit length for each."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training(F.col("id")))

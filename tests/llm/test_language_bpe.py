@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -43,7 +44,7 @@ def test_language_edge_cases(spark):
     rows = [(i, "the and that with this from", "en", 1) for i in range(30)] + [(100 + i, "der die das und nicht ein", "de", 1) for i in range(30)]
     rows += [(200, None, "en", 1), (201, "", "en", 1), (202, "123 ;;", None, 1), (203, "the and that " * 200_000, None, 1), (None, "der die das", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, prediction int")
-    got = {r.doc_id: r for r in language.identify(docs.drop("prediction")).select("doc_id", "prediction.*").collect()}
+    got = {r.doc_id: r for r in language.identify(docs).select("doc_id", "prediction.*").collect()}
     assert [got[i].lang for i in (200, 201, 202)] == ["und"] * 3 and got[200].score == 0
     assert got[203].lang == "en" and got[None].lang == "de"
     unlabelled = docs.drop("prediction").withColumn("lang", F.lit(None).cast("string"))
@@ -51,6 +52,42 @@ def test_language_edge_cases(spark):
     assert language.identify(docs.drop("prediction").limit(0)).count() == 0
 
 
+def plain_profile(text, seed=11):
+    """A unit bundle letter by letter."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    letters = " " + " ".join(runs) + " " if runs else ""
+    v = lambda c: language.letter_vector(0 if c == " " else ord(c), seed).astype(int)
+    total = np.zeros(language.DIMENSIONS)
+    for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+        total += np.roll(v(a), 2) * np.roll(v(b), 1) * v(c)
+    norm = np.linalg.norm(total)
+    return total / norm if norm else total
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    words = {"xx": "kala mora tuli sena".split(), "yy": "strum blick zwang pfad".split(), "zz": "oui aeio uoa eau".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) + rng.choice(["", "n", ", "]) for _ in range(rng.randrange(1, 25))), k if rng.random() < 0.8 else None, "s") for i, k in enumerate(rng.choice("xx yy zz".split()) for _ in range(120))]
+    rows += [(500, None, "xx", "s"), (501, "12 !", "yy", "s"), (502, "kala strum", None, "s"), (502, "kala strum", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    sums = {}
+    for i, text, lang, _ in rows:
+        if lang and text is not None and zlib.crc32(str(i).encode()) % 5:
+            sums[lang] = sums.get(lang, 0) + plain_profile(text)
+    langs = sorted(sums)
+    prototypes = np.array([sums[k] / np.linalg.norm(sums[k]) for k in langs])
+    got = queries.op1_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, _, _ in rows}
+    for r in got:
+        cosine = prototypes @ plain_profile(texts[r.doc_id])
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not any(c.isalpha() for c in texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert abs(r.score - max(cosine.max(), 0)) < 1e-4 and cosine[langs.index(r.lang_pred)] > cosine.max() - 1e-4
+
+
 def test_every_code_point_is_split_as_the_library_does():
     # all planes with characters, and some of each block of the others
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x34000 or c % 61 == 0)]
