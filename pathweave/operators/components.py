@@ -19,6 +19,8 @@ from pathweave.session import cut_lineage
 
 #: Up to this number of nodes (16 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Edges to a file of a round's checkpoint, and the least number of files: a round of few edges leaves few files.
+FILE_ROWS, LEAST_FILES = 50_000, 16
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -41,7 +43,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.filter("v > u").join(smallest, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         lowest = met(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut_lineage(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())
+        # a round never has more edges than the one before
+        e = cut_lineage(small.union(lowest.select("a", F.col("m").alias("b"))).distinct().coalesce(max(LEAST_FILES, -(-known[0] // FILE_ROWS))))
         now = _signature(e)
         if now == known:
             break
