@@ -10,11 +10,11 @@ that ``similarity`` (1 - distance / longer length) leaves.
 Texts with the same words are one class, found by a digest. Classes are looked up by their
 sketches. Each bucket's members are first compared with one of them, then with another, which
 joins groups of near copies, however large, by as many comparisons as they have members. Only
-pairs of a bucket that are still in different components are left then. A bucket's members come
-without their texts, as lengths and ``BINS`` counts of hashed words, whose difference is at most
-the edit distance: each member first goes with the nearest one of every other component, then
-with all that are left. So no link between components is lost, and no group is expanded into
-all its pairs.
+pairs of a bucket that are still in different components are left then. They are sorted out by
+their lengths and by ``BINS`` counts of hashed words, whose difference is at most the edit
+distance, and the others are aligned inside the bucket's task, the nearest first, until its
+members have come together or all their pairs have been looked at. So no link between components
+is lost, and no pairs are written out.
 
 Two texts whose share of common labelled five-word shingles is J meet in at least one of the 24
 buckets with probability ``1 - (1 - J^3)^24``: over 0.9999999 at J = 0.8, 0.99 at J = 0.56. So pairs
@@ -67,7 +67,7 @@ GRAM, GRAM_DOCS, GRAMS_KEPT = 3, 4096, 100_000
 MEET = 8
 #: Shared k-mers to be expected of those that are drawn, and how many are asked for then.
 DRAWN, ENOUGH = 24, 4
-#: Members of a bucket, without their texts, that one task pairs; larger buckets are dealt out.
+#: Members of a bucket that one task compares; larger buckets are dealt out.
 PAIR_CHUNK = 2048
 #: Counts of hashed words by which pairs are sorted out before their texts are read.
 BINS = 256
@@ -281,41 +281,41 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(run, "a long, b long")
 
 
-def candidates(group: list, similarity: float, nearest_only: bool) -> pa.RecordBatch | None:
-    """``a, b``: pairs of one bucket that are in different components and may be similar by their
-    lengths and counts, but for those that have met in a bucket of an earlier function. With
-    ``nearest_only`` a member goes with one of each other component."""
-    key, _, _, side, ids, component, n, keys, bins = group
+def compared(group: list, similarity: float) -> pa.RecordBatch | None:
+    """Links that join the components within one bucket. Every pair of its members in different
+    components is looked at, the nearest by their counts first, unless the two have met in a bucket of an
+    earlier function; those that lengths and counts allow are aligned, and members that come together
+    on the way aren't compared again."""
+    key, _, _, side, ids, component, n, keys, bins, texts = group
     # texts of at most ELL k-mers have one key only
     sketches = np.array([list(k) + [0] * (SKETCHES - len(k)) for k in keys], dtype=np.int64)
     table = int(np.argmax(sketches[0] == key[0]))
-    ids, n, side = np.array(ids), np.array(n), np.array(side)
+    n, side = np.array(n), np.array(side)
     counts = np.frombuffer(b"".join(bins), dtype=np.uint8).reshape(len(ids), BINS).astype(np.int16)
     _, root = np.unique(component, return_inverse=True)
     alone = not side.any()
     b = np.flatnonzero(side == 1)
-    found = []
+    tokens = lru_cache(maxsize=256)(lambda i: words(texts[i]))
+    found: list[tuple[int, int]] = []
     for x in np.flatnonzero(side == 0).tolist():
         y = np.arange(x + 1, len(ids)) if alone else b
         y = y[root[y] != root[x]]
-        limit = np.floor(np.maximum(n[y], n[x]) * (1 - similarity) + 1e-9)
-        near = np.abs(n[y] - n[x]) <= limit
-        y, limit = y[near], limit[near]
-        new = ~(sketches[y, :table] == sketches[x, :table]).any(axis=1)
-        y, limit = y[new], limit[new]
+        limit = np.floor(np.maximum(n[y], n[x]) * (1 - similarity) + 1e-9).astype(np.int64)
+        fits = (np.abs(n[y] - n[x]) <= limit) & ~(sketches[y, :table] == sketches[x, :table]).any(axis=1)
+        y, limit = y[fits], limit[fits]
         if not len(y):
             continue
         differ = counts[y] - counts[x]
         apart = np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1))
-        y, apart = y[apart <= limit], apart[apart <= limit]
-        if nearest_only:
-            order = np.argsort(apart, kind="stable")
-            y = y[order]
-            y = y[np.unique(root[y], return_index=True)[1]]
-        found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
-    if not sum(len(f[0]) for f in found):
+        may = np.flatnonzero(apart <= limit)
+        for i in may[np.argsort(apart[may], kind="stable")].tolist():
+            other = int(y[i])
+            if root[other] != root[x] and distance_within(tokens(x), tokens(other), int(limit[i])) is not None:
+                found.append((ids[x], ids[other]))
+                root[root == root[other]] = root[x]
+    if not found:
         return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
 def edits(n: int, similarity: float) -> int:
@@ -482,19 +482,17 @@ def groups(d: DataFrame, similarity: float, scattered: bool) -> DataFrame:
 
     found = star(star(None, "first"), "other")
 
-    # what is left: pairs of one bucket in different components, the nearest first
-    for nearest_only in (True, False):
-        inside = cut_lineage(placed(rows.select("key", "id", "n"), found))
-        mixed = inside.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count")
-        mixed = cut_lineage(mixed)
-        members = inside.join(mixed.select("key"), "key", "left_semi")
-        held, _ = counted_side(one.select("doc", "th", "id", "keys").join(members.select("id").distinct(), "id", "left_semi"), BROADCAST_ROWS // SKETCHES)
-        bins = sk.select("doc", "th", "bins").join(held, ["doc", "th"]).dropDuplicates(["id"]).select("id", "keys", "bins")
-        dealt = deal_buckets(members.join(bins, "id").select("key", "id", "component", "n", "keys", "bins"), mixed, PAIR_CHUNK, BROADCAST_ROWS)
-        pairs = dealt.mapInArrow(each_group(lambda group, only=nearest_only: candidates(group, similarity, only)), "a long, b long").distinct()
-        pairs, n_pairs = counted_side(pairs, 0)
-        if n_pairs:
-            found = joined(pairs, found)
+    # what is left: pairs of one bucket in different components
+    inside = cut_lineage(placed(rows.select("key", "id", "n"), found))
+    mixed = inside.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count")
+    mixed = cut_lineage(mixed)
+    members = inside.join(mixed.select("key"), "key", "left_semi")
+    held, _ = counted_side(one.select("doc", "th", "id", "keys").join(members.select("id").distinct(), "id", "left_semi"), BROADCAST_ROWS // SKETCHES)
+    bins = sk.select("doc", "th", "bins").join(held, ["doc", "th"]).dropDuplicates(["id"]).select("id", "keys", "bins")
+    members = members.join(bins.join(texts, "id"), "id").select("key", "id", "component", "n", "keys", "bins", "text")
+    dealt = deal_buckets(members, mixed, PAIR_CHUNK, BROADCAST_ROWS)
+    more = dealt.mapInArrow(each_group(lambda group: compared(group, similarity)), "a long, b long")
+    found = connected_components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
 
     if scattered:  # what no sketch has brought together
         unmet, n_unmet = counted_side(unmet_pairs(sk.select("doc", "th", "grams", "common"), placed(one.select("doc", "th", "id", "n"), found), similarity), 0)
