@@ -110,7 +110,7 @@ def test_routes_and_failures(spark, campus):
     assert got[5].detail == "A -> I" and got[1].route is None
     r = got[0].route
     assert r.nodeIds == ["a", "b", "c", "d", "door"] and r.edgeIds == ["e1", "e2", "e3", "e4"]
-    assert r.id == "route:A>D@walk-default:12" and abs(r.lengthM - 212) < 0.1
+    assert r.id == "route:a>door@walk-default:12" and got[1].detail == "zz" and got[3].detail == "X" and abs(r.lengthM - 212) < 0.1
     assert [g.instruction for g in r.legs] == ["Walk along Palm", "Cross the street", "Head north for 100 m", "Arrive at Delta (north entrance)"]
     assert abs(sum(g.distanceM for g in r.legs) - r.lengthM) < 0.05 and all(0 <= g.bearing < 360 for g in r.legs)
     want = 100 / 1.35 + 10 / 1.35 + 20 + 100 / 1.35 / 0.9 + 2 / 1.35
