@@ -120,4 +120,21 @@ SELECT doc_id, {", ".join(f"{_count('base', q)} AS n_{q}" for q in ("email", "ip
 FROM u
 """
 
-ORACLES = {"op3_secret_scan": OP3, "op6_warc": OP6, "op8_source_mixing": OP8, "op10_pii_sanitisation": OP10}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS words FROM documents),
+n AS (SELECT r, doc_id, len(words)::bigint AS n, words FROM d WHERE len(words) > 0),
+g AS (SELECT count(*)::bigint AS docs, sum(n)::bigint AS total FROM n),
+q AS (SELECT row_number() OVER () AS i, item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+t AS (SELECT r, unnest(words) AS term FROM n),
+p AS (SELECT r, term, count(*)::bigint AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM p, g GROUP BY term),
+m AS (SELECT r, doc_id, 10 + (90 * n * docs) // total AS m FROM n, g),
+s AS (SELECT i, item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint AS score, any_value(doc_id) AS doc_id
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, item_id, r),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::int AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+ORACLES = {"op3_secret_scan": OP3, "op6_warc": OP6, "op8_source_mixing": OP8, "op10_pii_sanitisation": OP10, "op13_block_max_search": OP13}
