@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import alignment, bpe, hnsw, idfiles, language, mixing, orderminhash, pii, quantisation, search, secrets, warc
+from pathweave.llm import alignment, bpe, chat, hnsw, idfiles, language, mixing, orderminhash, pii, quantisation, search, secrets, warc
 from pathweave.llm.spans import count_of, listed
 from pathweave.llm.sql import ORACLES as ORACLES
 
@@ -97,6 +97,14 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit(r"\### Assistant: </turn> ok")
+    turns = F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", "assistant"))])
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(turns)).withColumn("text", said)
+    nodes = chat.chain(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    return chat.digests(chat.formatted(nodes, chat.paths(nodes))).withColumnRenamed("tag", "conv_id")
+
+
 ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -109,4 +117,4 @@ def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_itq_near_dedup, op3_secret_scan, op4_byte_bpe, op5_order_minhash, op6_warc, op7_id_files, op8_source_mixing, op9_hnsw, op10_pii_sanitisation, op12_token_alignment, op13_block_max_search)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_itq_near_dedup, op3_secret_scan, op4_byte_bpe, op5_order_minhash, op6_warc, op7_id_files, op8_source_mixing, op9_hnsw, op10_pii_sanitisation, op11_chat_format, op12_token_alignment, op13_block_max_search)}

@@ -120,6 +120,24 @@ SELECT doc_id, {", ".join(f"{_count('base', q)} AS n_{q}" for q in ("email", "ip
 FROM u
 """
 
+_ESCAPED = r"regexp_replace(regexp_replace({0}, '#(\\*)## ', '#\\\1## ', 'g'), '<(\\*)/turn>', '<\\\1/turn>', 'g')"
+_SAID = r"'\### Assistant: </turn> ok'"
+
+OP11 = rf"""
+WITH a AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID}),
+b AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM a),
+c AS (SELECT *, md5(role || chr(10) || t) AS tie, {_ESCAPED.format("t")} AS body, regexp_replace({_ESCAPED.format("role")}, ':(\\*) ', ':\\\1 ', 'g') AS head FROM b),
+d AS (
+  SELECT conv_id, count(*)::bigint AS n_turns,
+         string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, tie) AS listing,
+         coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, tie) FILTER (WHERE role = 'assistant'), '') AS learned,
+         sum(4 + length(head) + 2 + length(body) + 8)::bigint AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(listing) AS turns_sha256, length(learned)::bigint AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM d
+"""
+
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP13 = f"""
@@ -137,4 +155,4 @@ k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) A
 SELECT item_id, rank::int AS rank, doc_id, score FROM k WHERE rank <= 10
 """
 
-ORACLES = {"op3_secret_scan": OP3, "op6_warc": OP6, "op8_source_mixing": OP8, "op10_pii_sanitisation": OP10, "op13_block_max_search": OP13}
+ORACLES = {"op3_secret_scan": OP3, "op6_warc": OP6, "op8_source_mixing": OP8, "op10_pii_sanitisation": OP10, "op11_chat_format": OP11, "op13_block_max_search": OP13}
