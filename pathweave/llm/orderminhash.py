@@ -16,12 +16,12 @@ distance, and the others are aligned inside the bucket's task, the nearest first
 members have come together or all their pairs have been looked at. So no link between components
 is lost, and no pairs are written out.
 
-Two texts whose share of common labelled five-word shingles is J meet in at least one of the 24
-buckets with probability ``1 - (1 - J^3)^24``: over 0.9999999 at J = 0.8, 0.99 at J = 0.56. So pairs
-with a similarity of 0.8 or more in five-word shingles are found; pairs below that are linked
-by their edit similarity where they meet. Single edits far from each other break the most
-shingles: of pairs with nothing but such edits, 0.999, 0.84, 0.43 and 0.17 meet at an edit
-similarity of 0.95, 0.90, 0.85 and 0.80.
+Sketches are of two-word k-mers, as edits that lie apart leave no longer ones: a text of words all
+different with every fifth one changed keeps 0.43 of the labelled k-mers of both, and two texts that have a share J
+meet with probability ``1 - (1 - J^3)^48``, which is 0.98 there and more wherever edits are fewer or closer together
+(over 0.9999999 at a similarity of 0.8 in five-word shingles). Pairs of up to ``SHORT`` words are found without
+chance: of the pieces into which d edits cut the longer text one is whole and has ``(m - d) // (d + 1)`` words or more, so both
+are looked up by all their k-mers of that length. Blocks that have changed places count as edits.
 
 With ``scattered=True`` a last step, which costs several times the rest and pairs the members of
 k-mers one by one, compares those too: texts of m words at most d edits apart have at least ``t = m - k + 1 - k d`` labelled
@@ -33,8 +33,8 @@ looked up, such that ``DRAWN`` shared ones are to be expected; pairs with ``ENOU
 aligned. That fewer come up has a chance of 1e-7 for a pair right at the threshold, and none
 for texts below some 250 words.
 
-Cases: null text is empty, and empty texts are one class; texts of fewer than five words have
-one k-mer, all their words; a document without an id is in no class; rows with the same id are
+Cases: null text is empty, and empty texts are one class; texts of a single word have
+one k-mer, that word; a document without an id is in no class; rows with the same id are
 compared by their own texts, and the id is in the smallest of their groups; an empty table gives an
 empty result; texts are read whole whatever their length; only the named columns are read.
 """
@@ -57,7 +57,9 @@ from pathweave.llm.tables import counted_side, deal_buckets, each_group
 from pathweave.operators.components import connected_components
 from pathweave.session import cut_lineage, write_and_reread
 
-K, ELL, SKETCHES = 5, 3, 24
+K, ELL, SKETCHES = 2, 3, 48
+#: Pairs whose longer text has so many words at most share a k-mer for certain.
+SHORT = 29
 WORDS_KEPT = 150_000
 #: Up to this number of ids (8 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -69,6 +71,8 @@ MEET = 8
 DRAWN, ENOUGH = 24, 4
 #: Members of a bucket that one task compares; larger buckets are dealt out.
 PAIR_CHUNK = 2048
+#: Words of a bucket's texts that one task holds, or those of two texts.
+WORDS_CHUNK = 2_000_000
 #: Counts of hashed words by which pairs are sorted out before their texts are read.
 BINS = 256
 #: A k-mer in one of so many texts of the sample is known to be shared.
@@ -143,6 +147,24 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+@lru_cache(maxsize=1000)
+def whole_pieces(n: int, similarity: float) -> tuple[int, ...]:
+    """The lengths of k-mers by which a short text of ``n`` words meets all similar ones."""
+    longer = [(m, d) for m in range(n, SHORT + 1) if (d := edits(m, similarity)) and m - d <= n]
+    return tuple(sorted({k for m, d in longer if (k := (m - d) // (d + 1))}))
+
+
+def looked_up(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The keys of a text: its sketches, then those that short texts are certain to share."""
+    keys = sketch(hashes)
+    for k in whole_pieces(len(hashes), similarity) if len(hashes) <= SHORT else ():
+        out = np.full(len(hashes) - k + 1, k, dtype=np.uint64)
+        for i in range(k):
+            out = out * _STEP + hashes[i : i + len(out)]
+        keys = np.append(keys, np.unique(_mixed(out)).view(np.int64))
+    return keys
+
+
 def distance_within(a: Sequence[str], b: Sequence[str], limit: int) -> int | None:
     """The edit distance of two word lists, or None if it is above ``limit``.
 
@@ -240,7 +262,7 @@ def sketched(docs: DataFrame, similarity: float, scattered: bool) -> DataFrame:
                         "th": part["th"].to_numpy(),
                         "digest": [xxhash.xxh128_digest(r.tobytes()) for r in rows],
                         "n": [len(r) for r in rows],
-                        "keys": [sketch(r) for r in rows],
+                        "keys": [looked_up(r, similarity) for r in rows],
                         "bins": [counts_of(r) for r in rows],
                         "grams": [f[~s].view(np.int64) for f, s in zip(first, shared, strict=True)],
                         "common": [f[s].view(np.int64) for f, s in zip(first, shared, strict=True)],
@@ -287,8 +309,9 @@ def compared(group: list, similarity: float) -> pa.RecordBatch | None:
     earlier function; those that lengths and counts allow are aligned, and members that come together
     on the way aren't compared again."""
     key, _, _, side, ids, component, n, keys, bins, texts = group
-    # texts of at most ELL k-mers have one key only
-    sketches = np.array([list(k) + [0] * (SKETCHES - len(k)) for k in keys], dtype=np.int64)
+    # texts of at most ELL k-mers have one sketch only; what short texts have behind their sketches isn't in order
+    own = [k[: SKETCHES if m - K + 1 > ELL else 1] for k, m in zip(keys, n, strict=True)]
+    sketches = np.array([list(k) + [0] * (SKETCHES - len(k)) for k in own], dtype=np.int64)
     table = int(np.argmax(sketches[0] == key[0]))
     n, side = np.array(n), np.array(side)
     counts = np.frombuffer(b"".join(bins), dtype=np.uint8).reshape(len(ids), BINS).astype(np.int16)
@@ -447,9 +470,12 @@ def groups(d: DataFrame, similarity: float, scattered: bool) -> DataFrame:
     # texts with the same words are one class, with a number of its own
     one = sk.groupBy("digest").agg(F.min(F.struct("doc", "th", "n", "keys")).alias("s")).select("digest", "s.*")
     one = write_and_reread(one.withColumn("id", F.monotonically_increasing_id()), "order-minhash-classes")
-    keyed = one.select("id", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max_by("id", F.xxhash64("id", "key")).alias("other")).filter("size > 1")
-    rows = cut_lineage(keyed.join(shared.drop("size"), "key"))
+    # most keys are of one text only: they go by one shuffle of keys and ids
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = one.select(F.explode("keys").alias("key"), "id").repartition(parts, "key").sortWithinPartitions("key")
+    several = cut_lineage(keyed.mapInArrow(meetings, "key long, id long"))
+    centres = several.groupBy("key").agg(F.min("id").alias("first"), F.max_by("id", F.xxhash64("id", "key")).alias("other"))
+    rows = cut_lineage(several.join(centres, "key").join(one.select("id", "n"), "id"))
     fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
@@ -484,13 +510,13 @@ def groups(d: DataFrame, similarity: float, scattered: bool) -> DataFrame:
 
     # what is left: pairs of one bucket in different components
     inside = cut_lineage(placed(rows.select("key", "id", "n"), found))
-    mixed = inside.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count")
+    mixed = inside.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "count", "weight")
     mixed = cut_lineage(mixed)
     members = inside.join(mixed.select("key"), "key", "left_semi")
     held, _ = counted_side(one.select("doc", "th", "id", "keys").join(members.select("id").distinct(), "id", "left_semi"), BROADCAST_ROWS // SKETCHES)
     bins = sk.select("doc", "th", "bins").join(held, ["doc", "th"]).dropDuplicates(["id"]).select("id", "keys", "bins")
     members = members.join(bins.join(texts, "id"), "id").select("key", "id", "component", "n", "keys", "bins", "text")
-    dealt = deal_buckets(members, mixed, PAIR_CHUNK, BROADCAST_ROWS)
+    dealt = deal_buckets(members, mixed, PAIR_CHUNK, BROADCAST_ROWS, WORDS_CHUNK)
     more = dealt.mapInArrow(each_group(lambda group: compared(group, similarity)), "a long, b long")
     found = connected_components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
 
@@ -519,10 +545,10 @@ def keep_one(docs: DataFrame, columns: Sequence[str], *, id_col: str = "doc_id",
     Rows with the same id and text are one document.
     """
     found = groups(documents(docs, id_col, text_col), similarity, scattered)
-    kept = found.filter("doc = first_doc and th = first_th").groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg((F.count("*") > 1).alias("__again"))
+    kept = found.filter("doc = first_doc and th = first_th").groupBy("doc", "th").agg((F.count("*") > 1).alias("again"))
     kept, _ = counted_side(kept, BROADCAST_ROWS)
-    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(text_col))
-    held = rows.filter("__id is not null").join(kept, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__th")))
-    once = held.filter("not __again").select(*columns)
-    again = held.filter("__again").dropDuplicates(["__id", "__hash"]).select(*columns)
-    return once.unionByName(again).unionByName(rows.filter("__id is null").select(*columns))
+    # the caller's columns stay in a struct, so that no name can clash
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"))
+    held = rows.filter("doc is not null").join(kept, ["doc", "th"])
+    once, again = held.filter("not again"), held.filter("again").groupBy("doc", "th").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionByName(again.select("row.*")).unionByName(rows.filter("doc is null").select("row.*"))

@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from pathweave.session import counted_side as counted_side
 
 
-def deal_buckets(rows: DataFrame, sizes: DataFrame, chunk: int, most: int) -> DataFrame:
+def deal_buckets(rows: DataFrame, sizes: DataFrame, chunk: int, most: int, weight: int | None = None) -> DataFrame:
     """``rows(key, id, ...)`` with ``i, j, side``, dealt and sorted by (key, i, j): the members of each
     bucket, so that every two of them are together in one group.
 
     ``sizes(key, count)`` has the buckets' sizes. One of more than ``chunk`` members is cut into
     chunks of about that size, and each pair of chunks is a group of its own, whose members have
-    side 0 or 1; a chunk with itself and a small bucket have side 0 alone.
+    side 0 or 1; a chunk with itself and a small bucket have side 0 alone. With ``weight``, so are those of
+    more than that by their column ``weight``, the sum over their members.
     """
-    crowded, n = counted_side(sizes.filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), most)
+    chunks = F.ceil(F.col("count") / chunk)
+    if weight is not None:
+        chunks = F.least("count", F.greatest(chunks, F.ceil(F.col("weight") / weight)))
+    crowded, n = counted_side(sizes.select("key", chunks.cast("int").alias("chunks")).filter("chunks > 1"), most)
     if n:
         own = F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int")
         d = rows.join(crowded, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", own)
