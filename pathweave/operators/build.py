@@ -92,7 +92,7 @@ def plaza_lines(plazas: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame
     """Straight synthetic lines between the places where ways end on a plaza's border, at most ``most``
     of them (the first by place), for ``plazas(way, line)``."""
     ends = lines.select(F.explode(F.array(F.col("line")[0], F.element_at("line", -1))).alias("p")).distinct()
-    near = box_join(plazas.select("way", F.col("line").alias("ring")), ends, geo.bounds(F.col("ring")), point_box(F.col("p")), 1e-3, degrees_for(1.0))
+    near = box_join(plazas.select("way", F.col("line").alias("ring")), ends, geo.bounds(F.col("ring")), point_box(F.col("p")), degrees_for(1.0))
     near = near.filter(geo.distance_to_line(F.col("p"), F.col("ring")) <= 1.0)
     ranked = near.withColumn("r", F.row_number().over(W.partitionBy("way").orderBy("p"))).filter(F.col("r") <= most)
     a, b = ranked.select("way", F.col("p").alias("a"), F.col("r").alias("i")), ranked.select("way", F.col("p").alias("b"), F.col("r").alias("j"))
@@ -107,7 +107,7 @@ def degrees_of(edges: DataFrame) -> DataFrame:
 def near_points(lines: DataFrame, points: DataFrame, metres: float = DOOR_M) -> DataFrame:
     """``node``: the ends ``u, v`` of lines that are within ``metres`` of one of ``points(p)``."""
     ends = lines.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    met = box_join(ends, points.select(F.col("p").alias("kp")), point_box(F.col("node")), point_box(F.col("kp")), 1e-3, degrees_for(metres))
+    met = box_join(ends, points.select(F.col("p").alias("kp")), point_box(F.col("node")), point_box(F.col("kp")), degrees_for(metres))
     return met.filter(geo.haversine(F.col("node"), F.col("kp")) <= metres).select("node").distinct()
 
 
@@ -118,48 +118,66 @@ def drop_stubs(edges: DataFrame, keep: DataFrame, metres: float = STUB_M) -> Dat
     return edges.join(stub, "id", "left_anti")
 
 
+def ranked_arcs(arcs: DataFrame, inner: DataFrame) -> DataFrame:
+    """``id, dir, rank, end_id, end_dir`` of ``arcs(id, dir, a, b)``: which arc ends the chain that an arc goes on in
+    through ``inner(node)`` nodes, and how many arcs it is from there, itself included.
+
+    Every inner node has one arc leaving it that isn't the arriving one turned back. Lists are ranked by
+    doubling: a round joins each arc's jump with the jump at its end, so a chain of a million arcs takes 20
+    rounds, whatever the tasks' memory. A ring, in which no jump ever ends, is cut at its smallest node.
+    """
+    leaving = arcs.join(inner, F.col("a") == F.col("node")).select("node", F.col("id").alias("next_id"), F.col("dir").alias("next_dir"))
+    first = arcs.join(leaving, (F.col("b") == F.col("node")) & (F.col("id") != F.col("next_id")), "left")
+    state = cut_lineage(first.select("id", "dir", "next_id", "next_dir", F.lit(1).cast("long").alias("rank"), F.col("id").alias("end_id"), F.col("dir").alias("end_dir"), F.col("b").alias("low")))
+    most, rounds = state.count(), 0
+    while True:
+        open_ = state.filter("next_id is not null")
+        if open_.isEmpty():
+            return state.select("id", "dir", "rank", "end_id", "end_dir")
+        if 1 << rounds > most:
+            whole = state.filter("next_id is null").select("id", "dir", "rank", "end_id", "end_dir")
+            cut = inner.join(open_.select(F.col("low").alias("node")).distinct(), "node", "left_anti")
+            return whole.unionByName(ranked_arcs(cut_lineage(arcs.join(open_.select("id", "dir"), ["id", "dir"])), cut))
+        end = state.select(F.col("id").alias("next_id"), F.col("dir").alias("next_dir"), *[F.col(c).alias(f"{c}_2") for c in ("next_id", "next_dir", "rank", "end_id", "end_dir", "low")])
+        far = open_.join(end, ["next_id", "next_dir"])
+        far = far.select("id", "dir", F.col("next_id_2").alias("next_id"), F.col("next_dir_2").alias("next_dir"), (F.col("rank") + F.col("rank_2")).alias("rank"), F.col("end_id_2").alias("end_id"), F.col("end_dir_2").alias("end_dir"), F.least("low", "low_2").alias("low"))
+        state = cut_lineage(state.filter("next_id is null").unionByName(far))
+        rounds += 1
+
+
+#: Edges of a chain whose points are put together first, before the chain's.
+CHAIN_PART = 1024
+
+
 def collapse_chains(edges: DataFrame, keep: DataFrame, attributes: list[str]) -> DataFrame:
     """Edges joined through nodes of degree 2 whose two edges agree in ``attributes`` and that aren't in ``keep``.
 
-    ``edges(id, u, v, line, ...)`` -> ``id`` (the smallest of the chain), ``u, v, line`` and attributes.
-    Which edges belong together comes from components of the shared nodes; a chain is ordered by a
-    small helper per chain, whose length is bounded by the way network, not by the table.
+    ``edges(id, u, v, line, ...)`` -> ``id`` (the smallest of the chain), ``u, v, line`` and attributes. A chain runs
+    from its smaller end; a ring from the node that other edges or ``keep`` hold, or its smallest, along the
+    smaller of the two edges there. The order comes from ranked lists; no task holds a chain but for the
+    line that it becomes.
     """
     ends = edges.select("id", F.explode(F.array("u", "v")).alias("node"), F.to_json(F.struct(*attributes)).alias("attr"))
-    inner = ends.groupBy("node").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("attr").alias("attrs"), F.min("id").alias("x"), F.max("id").alias("y")).filter("n = 2 and ids = 2 and attrs = 1")
-    inner = inner.join(keep.select("node"), "node", "left_anti")
-    groups = connected_components(inner.select("x", "y"), "x", "y")
-    placed = edges.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("chain", F.coalesce("component", "id")).drop("component")
-    size = F.count("*").over(W.partitionBy("chain"))
-    placed = placed.withColumn("size", size)
-    single = placed.filter("size = 1").select("id", "u", "v", "line", *attributes)
-    schema = edges.select("id", "u", "v", "line", *attributes).schema
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        as_key = lambda p: (p["lon"], p["lat"]) if isinstance(p, dict) else p
-        at: dict = {}
-        for r in rows.itertuples():
-            at.setdefault(as_key(r.u), []).append(r)
-            at.setdefault(as_key(r.v), []).append(r)
-        loose = sorted(k for k, rs in at.items() if len(rs) == 1)
-        start = loose[0] if loose else min(at)
-        line, here, used, first = [], start, set(), None
-        while True:
-            nxt = next((r for r in sorted(at[here], key=lambda r: r.id) if r.id not in used), None)
-            if nxt is None:
-                break
-            used.add(nxt.id)
-            forward = as_key(nxt.u) == here
-            own = list(nxt.line) if forward else list(nxt.line)[::-1]
-            first = first or (nxt.u if forward else nxt.v)
-            last = nxt.v if forward else nxt.u
-            line += own if not line else own[1:]
-            here = as_key(last)
-        head = rows.iloc[0]
-        return pd.DataFrame([{"id": rows["id"].min(), "u": first, "v": last, "line": line, **{a: head[a] for a in attributes}}])
-
-    long = placed.filter("size > 1").select("chain", "id", "u", "v", "line", *attributes).groupBy("chain").applyInPandas(lambda rows: join(rows), schema)
-    return single.unionByName(long)
+    inner = ends.groupBy("node").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("attr").alias("attrs"), F.collect_set("id").alias("both")).filter("n = 2 and ids = 2 and attrs = 1")
+    inner = cut_lineage(inner.join(keep.select("node"), "node", "left_anti").select("node", "both"))
+    touched = inner.select(F.explode("both").alias("id")).distinct()
+    single = edges.join(touched, "id", "left_anti").select("id", "u", "v", "line", *attributes)
+    chained = cut_lineage(edges.join(touched, "id").select("id", "u", "v"))
+    way = lambda d, a, b: chained.select("id", F.lit(d).alias("dir"), F.col(a).alias("a"), F.col(b).alias("b"))
+    arcs = way(0, "u", "v").unionByName(way(1, "v", "u"))
+    placed = cut_lineage(ranked_arcs(arcs, inner.select("node")).join(arcs, ["id", "dir"]))
+    # either way through a chain is known by its last arc; one of the two is kept
+    ways = placed.groupBy("end_id", "end_dir").agg(F.min("id").alias("chain"), F.max("rank").alias("size"), F.max_by(F.struct("a", "id"), "rank").alias("start"), F.min_by("b", "rank").alias("end"))
+    chosen = ways.groupBy("chain").agg(F.min(F.struct("start", "end_id", "end_dir", "size", "end")).alias("w")).select("chain", "w.*")
+    steps = placed.join(chosen, ["end_id", "end_dir"]).select("chain", "id", "dir", (F.col("size") - F.col("rank")).alias("at"))
+    points = F.when(F.col("dir") == 0, F.col("line")).otherwise(F.reverse("line"))
+    points = F.when(F.col("at") == 0, points).otherwise(F.slice(points, 2, F.greatest(F.size("line") - 1, F.lit(0))))
+    pieces = steps.join(edges.select("id", "line"), "id").select("chain", F.floor(F.col("at") / CHAIN_PART).alias("part"), F.struct("at", points.alias("points")).alias("x"))
+    flat = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["points"]))
+    parts = pieces.groupBy("chain", "part").agg(flat("x").alias("points"))
+    lines = parts.groupBy("chain").agg(flat(F.struct("part", "points")).alias("line"))
+    long = lines.join(chosen.select("chain", F.col("start.a").alias("u"), F.col("end").alias("v")), "chain").join(edges.select(F.col("id").alias("chain"), *attributes), "chain")
+    return single.unionByName(long.select(F.col("chain").alias("id"), "u", "v", "line", *attributes))
 
 
 def drop_duplicates(edges: DataFrame, metres: float = DUPLICATE_M, rank: str = "tags") -> DataFrame:
@@ -224,7 +242,7 @@ def doors(buildings: DataFrame, entrance_points: DataFrame, edges: DataFrame) ->
     within 3 m of the footprint; else the middles of up to three sides that have an edge within 60 m;
     else of the side nearest to an edge within 120 m, weak; else a reason."""
     b = buildings.select("id", "ring")
-    met = box_join(b, entrance_points.select(F.col("p").alias("ep")), geo.bounds(F.col("ring")), point_box(F.col("ep")), 1e-3, degrees_for(DOOR_M))
+    met = box_join(b, entrance_points.select(F.col("p").alias("ep")), geo.bounds(F.col("ring")), point_box(F.col("ep")), degrees_for(DOOR_M))
     mapped = met.filter(geo.inside(F.col("ep"), F.col("ring")) | (geo.distance_to_line(F.col("ep"), F.col("ring")) <= DOOR_M)).select("id", F.col("ep").alias("position")).distinct()
     rest = cut_lineage(b.join(mapped.select("id").distinct(), "id", "left_anti"))
     sides = rest.select("id", F.posexplode(geo.pairs(F.col("ring"), lambda p, q: geo.point((p["lon"] + q["lon"]) / 2, (p["lat"] + q["lat"]) / 2))).alias("side", "p")).withColumn("point_id", F.xxhash64("id", "side"))
@@ -272,7 +290,7 @@ def shade(edges: DataFrame, tree_rows: DataFrame, footprints: DataFrame) -> Data
     tree row 0.7, within 8 m to the south or east of a footprint 0.5, else 0.15."""
     mid = edges.select("id", geo.along(F.col("line"), geo.length(F.col("line")) / 2).alias("p"))
     trees = nearest_edge(mid.select(F.col("id").alias("point_id"), "p"), tree_rows.select("id", "line"), 6.0).select(F.col("point_id").alias("id"), F.lit(True).alias("tree"))
-    by = box_join(mid, footprints.select("footprint_id", "ring"), point_box(F.col("p")), geo.bounds(F.col("ring")), 1e-3, degrees_for(8.0))
+    by = box_join(mid, footprints.select("footprint_id", "ring"), point_box(F.col("p")), geo.bounds(F.col("ring")), degrees_for(8.0))
     centre = geo.vertex_mean(F.col("ring"), 9)
     by = by.filter((geo.distance_to_line(F.col("p"), F.col("ring")) <= 8.0) & ((F.col("p")["lat"] < centre["lat"]) | (F.col("p")["lon"] > centre["lon"]))).select("id").distinct().withColumn("near", F.lit(True))
     d = edges.join(trees, "id", "left").join(by, "id", "left")
@@ -288,7 +306,7 @@ def around_footprints(edges: DataFrame, footprints: DataFrame, least_m: float =
     outside and the shorter way; those whose end lies inside, or that pierce several, stay and are returned as
     ``id, reason`` for the allow-list."""
     e = edges.select("id", "line")
-    met = box_join(e.withColumnRenamed("id", "edge_id"), footprints.select("footprint_id", "ring"), geo.bounds(F.col("line")), geo.bounds(F.col("ring")), 1e-3).filter(geo.length_inside(F.col("line"), F.col("ring")) > least_m)
+    met = box_join(e.withColumnRenamed("id", "edge_id"), footprints.select("footprint_id", "ring"), geo.bounds(F.col("line")), geo.bounds(F.col("ring"))).filter(geo.length_inside(F.col("line"), F.col("ring")) > least_m)
     per = met.groupBy("edge_id").agg(F.count("*").alias("n"), F.first("line").alias("line"), F.first("ring").alias("ring"))
     bad_end = geo.inside(F.col("line")[0], F.col("ring")) | geo.inside(F.element_at("line", -1), F.col("ring"))
     fix = per.filter((F.col("n") == 1) & ~bad_end).withColumn("ring", geo.widened(F.col("ring"), 0.3))

@@ -166,7 +166,7 @@ def roads_without_crossing(edges: DataFrame, roads: DataFrame, crossing_nodes: D
     seg = lambda d, line, kind: d.select(F.concat(F.lit(kind), F.col("id").cast("string")).alias("of"), F.posexplode(geo.pairs(F.col(line), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("k", "s")).select(F.concat_ws("/", "of", F.col("k").cast("string")).alias("id"), "of", "s.a", "s.b")
     met = crossings(seg(edges, "geometry", "e:").unionByName(seg(roads, "line", "r:")))
     met = met.filter(F.col("left_id").startswith("e:") & F.col("right_id").startswith("r:")).select(F.concat_ws(" x ", "left_id", "right_id").alias("place"), "point")
-    near = box_join(met, crossing_nodes.select(F.col("position").alias("cp")), point_box(F.col("point")), point_box(F.col("cp")), 1e-3, degrees_for(metres))
+    near = box_join(met, crossing_nodes.select(F.col("position").alias("cp")), point_box(F.col("point")), point_box(F.col("cp")), degrees_for(metres))
     covered = near.filter(geo.haversine(F.col("point"), F.col("cp")) <= metres).select("place").distinct()
     return _out(met.join(covered, "place", "left_anti"), "place", F.to_json("point"))
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +26,8 @@ def resolve(refs: DataFrame, known: DataFrame, places: DataFrame) -> DataFrame:
     part = lambda i: F.nullif(F.regexp_extract("geo", GEO_REF, i), F.lit("")).cast("double")
     d = d.withColumn("geo", ref).withColumns({"gp": F.when(F.col("geo").rlike(GEO_REF), geo.point(part(1), part(2))), "r": part(3)})
     open_ = cut_lineage(d.filter(F.col("first").isNull() & F.col("second").isNull() & F.col("gp").isNotNull()).select("overlay_id", "gp", "r"))
-    # each reference has a box of its own radius; cells of the ordinary size hold most of them
-    near = box_join(open_, places.select(F.col("id").alias("place_id"), F.col("p").alias("pp")), around(F.col("gp"), F.col("r")), point_box(F.col("pp")), 2e-3)
+    # each reference has a box of its own radius
+    near = box_join(open_, places.select(F.col("id").alias("place_id"), F.col("p").alias("pp")), around(F.col("gp"), F.col("r")), point_box(F.col("pp")))
     near = near.filter(geo.haversine(F.col("gp"), F.col("pp")) <= F.col("r")).groupBy("overlay_id").agg(F.count("*").alias("n"), F.min("place_id").alias("place_id"))
     d = d.join(near, "overlay_id", "left")
     exact = F.coalesce("first", "second")
@@ -50,42 +46,51 @@ def repin(entries: DataFrame, refs: DataFrame) -> DataFrame:
 
 def repin_files(texts: DataFrame, refs: DataFrame) -> DataFrame:
     """``texts(file, body)`` of overlay files after ``refs(file, overlay_id, resolution, resolved_to)``: ``file, body,
-    changed, repinned, skipped``, the last two as lists of ``overlay_id, what``. Spatially resolved references
-    take the content id as their primary; a reference that was a bare ``geo:`` text keeps no place. A
-    row without a body stands for a file that isn't there. Each file is edited in a task."""
-    spatial = refs.filter("resolution = 'spatial'").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("overlay_id", "resolved_to"))).alias("wanted"))
-    d = spatial.join(texts, "file", "left").select("file", "body", F.to_json("wanted").alias("wanted"))
-    rows = "array<struct<overlay_id:string,what:string>>"
-    out = d.mapInPandas(_edited, "file string, body string, changed boolean, repinned string, skipped string")
-    return out.withColumns({c: F.from_json(c, rows) for c in ("repinned", "skipped")})
-
-
-def _edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame([_edit(*r) for r in batch.itertuples(index=False)], columns=["file", "body", "changed", "repinned", "skipped"])
-
-
-def _edit(file: str, body: str | None, wanted: str) -> tuple:
-    done, left = [], []
-    doc = None if body is None else json.loads(body)
-    entries = {} if doc is None else {e.get("id"): e for e in doc.get("entries", []) if isinstance(e, dict)}
-    for w in json.loads(wanted):
-        id_, to = w["overlay_id"], w.get("resolved_to")
-        ref = entries.get(id_, {}).get("ref")
-        if doc is None:
-            left.append((id_, "file not found"))
-        elif not (to or "").startswith(("node:", "edge:")):
-            left.append((id_, f"{to} is no content id"))
-        elif isinstance(ref, str):
-            entries[id_]["ref"] = {"primary": to, "fallback": None} if ref.startswith("geo:") else to
-            done.append((id_, to))
-        elif isinstance(ref, dict) and "primary" in ref:
-            ref["primary"] = to
-            done.append((id_, to))
-        else:
-            left.append((id_, "no such entry or reference"))
-    listed = lambda rows: json.dumps([{"overlay_id": a, "what": b} for a, b in rows])
-    return file, json.dumps(doc, indent=2) + "\n" if done else body, bool(done), listed(done), listed(left)
+    changed, repinned, skipped``, the last two as lists of ``overlay_id, what``, for each file that spatially resolved
+    references name. Every entry with the id takes the content id: in the place of a plain text, or as the
+    primary of a pair; a bare ``geo:`` text becomes a pair that keeps no place. A row without a body stands for
+    a file that isn't there. Changed files are written anew, keys by name, two blanks to a level.
+
+    Entries are rows here: each is judged and rewritten by itself, and a file is put together again from its own.
+    """
+    wanted = refs.filter("resolution = 'spatial'").select("file", "overlay_id", "resolved_to").distinct()
+    files = wanted.select("file").distinct().join(texts, "file", "left").withColumn("doc", F.try_parse_json("body"))
+    entries = files.select("file", F.posexplode(F.try_variant_get("doc", "$.entries", "array<variant>")).alias("at", "entry"))
+    entries = entries.withColumn("overlay_id", F.try_variant_get("entry", "$.id", "string"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("entry", path, "variant"))
+    text = F.when(kind("$.ref") == "STRING", F.try_variant_get("entry", "$.ref", "string"))
+    shape = F.when(text.startswith("geo:"), "place").when(text.isNotNull(), "text").when(kind("$.ref.primary").isNotNull(), "pair")
+    met = entries.withColumn("shape", shape).join(wanted.filter(F.col("resolved_to").rlike("^(node|edge):")), ["file", "overlay_id"], "left")
+    met = met.withColumn("done", F.col("resolved_to").isNotNull() & F.col("shape").isNotNull())
+
+    # what every wanted reference comes to
+    fate = wanted.join(met.filter("done").select("file", "overlay_id", F.lit(True).alias("done")).distinct(), ["file", "overlay_id"], "left")
+    fate = fate.join(files.select("file", F.col("body").isNull().alias("absent")), "file")
+    why = (
+        F.when(F.col("absent"), "file not found")
+        .when(~F.coalesce(F.col("resolved_to").rlike("^(node|edge):"), F.lit(False)), F.concat(F.coalesce("resolved_to", F.lit("nothing")), F.lit(" is no content id")))
+        .when(F.col("done").isNull(), "no such entry or reference")
+    )
+    fate = fate.select("file", F.struct("overlay_id", F.coalesce(why, "resolved_to").alias("what")).alias("row"), why.isNull().alias("good"))
+    lists = fate.groupBy("file").agg(*[F.array_sort(F.collect_list(F.when(F.col("good") == good, F.col("row")))).alias(name) for name, good in (("repinned", True), ("skipped", False))])
+
+    new = F.to_json(F.struct(F.col("resolved_to").alias("primary"), F.lit(None).cast("string").alias("fallback")), {"ignoreNullFields": "false"})
+    quoted = F.to_json(F.array("resolved_to"))
+    quoted = F.substring(quoted, 2, F.length(quoted) - 2)
+    pair = _with_key(F.try_variant_get("entry", "$.ref", "map<string,variant>"), "primary", quoted)
+    ref = F.when(F.col("shape") == "place", new).when(F.col("shape") == "text", quoted).otherwise(pair)
+    line = F.when(F.col("done"), _with_key(F.try_variant_get("entry", "$", "map<string,variant>"), "ref", ref)).otherwise(F.to_json("entry"))
+    rebuilt = met.select("file", "done", F.struct("at", line.alias("line")).alias("e")).groupBy("file").agg(F.bool_or("done").alias("changed"), F.array_sort(F.collect_list("e")).alias("es"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("es", lambda e: e["line"]), ","), F.lit("]"))
+    whole = F.parse_json(_with_key(F.try_variant_get("doc", "$", "map<string,variant>"), "entries", listed))
+    d = files.join(rebuilt, "file", "left").join(lists, "file")
+    body = F.when(F.col("changed"), F.concat(F.to_json(whole, {"pretty": "true"}), F.lit("\n"))).otherwise(F.col("body"))
+    return d.select("file", body.alias("body"), F.coalesce("changed", F.lit(False)).alias("changed"), "repinned", "skipped")
+
+
+def _with_key(values: Column, key: str, text: Column) -> Column:
+    """The JSON text of an object in which ``key`` has the value that ``text`` spells."""
+    return F.to_json(F.map_concat(F.map_filter(values, lambda k, _: k != key), F.create_map(F.lit(key), F.parse_json(text))))
 
 
 def override(base: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:

@@ -64,7 +64,7 @@ def project_on_segment(spark, d):
 def point_in_footprint(spark, d):
     f = p.footprints(spark, d).select("footprint_id", "ring")
     n = p.nodes(spark, d).select("id", "position")
-    met = spatial.box_join(n, f, spatial.point_box(F.col("position")), geo.bounds(F.col("ring")), 1e-3)
+    met = spatial.box_join(n, f, spatial.point_box(F.col("position")), geo.bounds(F.col("ring")))
     return met.filter(geo.inside(F.col("position"), F.col("ring"))).groupBy("footprint_id").agg(F.count("*").alias("nodes"))
 
 
@@ -407,6 +407,33 @@ def overlay_resolution(spark, d):
     return found.select(F.col("overlay_id").alias("id"), "resolution", "resolved_to")
 
 
+@query
+def overlay_files(spark, d):
+    """Entries of overlay files, one file per nation, after their references were resolved."""
+    s = p.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("file"))
+    k, id_ = F.col("k"), F.concat(F.lit("s"), F.col("k").cast("string"))
+    pair = lambda *fields: F.to_json(F.struct(*fields))
+    geo_text = F.concat(F.lit("geo:1.5,2.5,r="), (k % 9).cast("string"))
+    ref = (
+        F.when(k % 5 == 0, F.concat(F.lit('"'), geo_text, F.lit('"')))
+        .when(k % 5 == 1, F.lit('"osm:way/9"'))
+        .when(k % 5 == 2, pair(F.lit("node:old").alias("primary"), geo_text.alias("fallback")))
+        .when(k % 5 == 3, pair(geo_text.alias("fallback")))
+    )
+    entry = F.concat(F.lit('{"id":"'), id_, F.lit('"'), F.coalesce(F.concat(F.lit(',"ref":'), ref), F.lit("")), F.lit("}"))
+    lines = s.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", entry.alias("e")))).alias("es"))
+    texts = lines.select("file", F.concat(F.lit('{"entries":['), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("]}")).alias("body"))
+    to = F.concat(F.when(k % 7 == 0, "bldg:").otherwise("node:"), k.cast("string"))
+    refs = s.select("file", id_.alias("overlay_id"), F.when(k % 3 == 2, "exact").otherwise("spatial").alias("resolution"), to.alias("resolved_to"))
+    lost = s.filter(k % 11 == 0).select(F.when(k % 2 == 0, F.col("file")).otherwise("gone").alias("file"), F.concat(F.lit("x"), k.cast("string")).alias("overlay_id"), F.lit("spatial").alias("resolution"), to.alias("resolved_to"))
+    out = overlays.repin_files(texts, refs.unionByName(lost))
+    entries = F.explode_outer(F.try_variant_get(F.try_parse_json("body"), "$.entries", "array<variant>"))
+    out = out.select("file", "changed", F.size("repinned").alias("repinned"), F.size("skipped").alias("skipped"), entries.alias("e"))
+    get = lambda path: F.try_variant_get("e", path, "string")
+    plain = F.when(F.schema_of_variant(F.try_variant_get("e", "$.ref", "variant")) == "STRING", get("$.ref"))
+    return out.select("file", "changed", "repinned", "skipped", get("$.id").alias("overlay_id"), F.coalesce(plain, get("$.ref.primary")).alias("ref"), get("$.ref.fallback").alias("fallback"))
+
+
 @query
 def check_constraints(spark, d):
     c = p.table(spark, d, "customer")

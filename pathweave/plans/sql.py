@@ -245,6 +245,14 @@ SELECT CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN lower(p_type) WHEN p_brand
 WITH {NODE}, {COUNTS}, r AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN (s_suppkey * 15) % n END AS exact_node, {lon('(s_suppkey * 15) % n')} + 0.00001 * (s_suppkey % 7) AS x, {lat('(s_suppkey * 15) % n')} AS y, CASE s_suppkey % 4 WHEN 1 THEN 4.0 WHEN 2 THEN 14.0 ELSE 0.1 END AS r FROM supplier, cnt),
 h AS (SELECT r.id, exact_node, count(n.id) AS hits, min(n.id) AS hit FROM r LEFT JOIN n ON exact_node IS NULL AND abs(n.lat - y) < 0.0002 AND abs(n.lon - x) < 0.0002 AND {hav('n.lon', 'n.lat', 'x', 'y')} <= r GROUP BY ALL)
 SELECT id, CASE WHEN exact_node IS NOT NULL THEN 'exact' WHEN hits = 1 THEN 'spatial' WHEN hits > 1 THEN 'ambiguous' ELSE 'failed' END AS resolution, coalesce(exact_node, CASE WHEN hits = 1 THEN hit END) AS resolved_to FROM h""",
+    "overlay_files": """
+WITH s AS (SELECT s_suppkey AS k, 'f' || s_nationkey AS file, s_suppkey % 5 AS m, 'geo:1.5,2.5,r=' || s_suppkey % 9 AS g FROM supplier),
+w AS (SELECT file, k, 's' || k AS id, k % 7 <> 0 AND m IN (0, 1, 2) AS good FROM s WHERE k % 3 <> 2
+  UNION ALL SELECT CASE WHEN k % 2 = 0 THEN file ELSE 'gone' END, k, 'x' || k, false FROM s WHERE k % 11 = 0),
+f AS (SELECT file, bool_or(good) AS changed, count(*) FILTER (good)::int AS repinned, count(*) FILTER (NOT good)::int AS skipped FROM w GROUP BY 1),
+e AS (SELECT s.file, 's' || s.k AS overlay_id, CASE WHEN w.good THEN 'node:' || s.k WHEN m = 0 THEN g WHEN m = 1 THEN 'osm:way/9' WHEN m = 2 THEN 'node:old' END AS ref,
+  CASE WHEN m IN (2, 3) THEN g END AS fallback FROM s LEFT JOIN w ON w.id = 's' || s.k)
+SELECT file, changed, repinned, skipped, overlay_id, ref, fallback FROM f LEFT JOIN e USING (file)""",
     "check_constraints": """
 SELECT c_custkey::varchar AS entity, m AS measurement FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_acctbal <= 0 OR c_acctbal >= 2000 THEN 'length' END, CASE WHEN c_custkey % 90 = 4 THEN 'order' END], lambda x: x IS NOT NULL)) AS m FROM customer)""",
     "reference_integrity": f"""

@@ -1,6 +1,7 @@
 """Documents written and read back, faults of documents, services, export layers, overlay files."""
 
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
@@ -8,8 +9,8 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from pathweave.functions import cost
-from pathweave.operators import gates, overlays, report, route
+from pathweave.functions import cost, geo
+from pathweave.operators import gates, overlays, report, route, spatial
 from pathweave.sources import readers, writers
 
 
@@ -127,18 +128,50 @@ def test_export_layers(spark):
 
 
 def test_overlay_files(spark):
-    body = json.dumps({"entries": [{"id": "a", "ref": {"primary": "node:old", "fallback": "geo:1,2,r=8"}}, {"id": "b", "ref": "geo:1,2,r=8"}, {"id": "c", "ref": "osm:way/1"}, {"id": "d"}]})
+    body = json.dumps({"entries": [{"id": "a", "ref": {"primary": "node:old", "fallback": "geo:1,2,r=8"}}, {"id": "b", "ref": "geo:1,2,r=8"}, {"id": "c", "ref": "osm:way/1", "note": 'say "x"'}, {"id": "d"}, 7], "more": {"z": [1, "é"], "a": None}})
     texts = spark.createDataFrame([("x.json", body), ("y.json", "{}")], "file string, body string")
     rows = [("x.json", i, "spatial", to) for i, to in (("a", "node:aaaaaaaa"), ("b", "edge:bbbbbbbb"), ("c", "node:cccccccc"), ("d", "node:dddddddd"), ("z", "node:eeeeeeee"))]
     rows += [("x.json", "c", "exact", "node:ffffffff"), ("gone.json", "q", "spatial", "node:aaaaaaaa"), ("y.json", "q", "spatial", "bldg:A")]
     out = {r.file: r for r in overlays.repin_files(texts, spark.createDataFrame(rows, "file string, overlay_id string, resolution string, resolved_to string")).collect()}
-    refs = {e["id"]: e.get("ref") for e in json.loads(out["x.json"].body)["entries"]}
+    refs = {e["id"]: e.get("ref") for e in json.loads(out["x.json"].body)["entries"][:4]}
     assert refs == {"a": {"primary": "node:aaaaaaaa", "fallback": "geo:1,2,r=8"}, "b": {"primary": "edge:bbbbbbbb", "fallback": None}, "c": "node:cccccccc", "d": None}
     assert [r.overlay_id for r in out["x.json"].repinned] == ["a", "b", "c"] and [r.overlay_id for r in out["x.json"].skipped] == ["d", "z"]
     assert not out["y.json"].changed and out["y.json"].body == "{}" and out["y.json"].skipped[0].what == "bldg:A is no content id"
+    assert json.loads(out["x.json"].body)["more"] == {"z": [1, "é"], "a": None} and out["x.json"].changed
     assert out["gone.json"].body is None and out["gone.json"].skipped[0].what == "file not found"
 
 
+def test_boxes_of_all_sizes_meet_once(spark):
+    rng = random.Random(4)
+
+    def boxes(n, sizes):
+        out = []
+        for i in range(n):
+            w, h, x, y = rng.choice(sizes) * rng.random(), rng.choice(sizes) * rng.random(), rng.uniform(-3, 3), rng.uniform(-2, 2)
+            out.append((i, (x, y, x + w, y + h)))
+        return out
+
+    box = "struct<min_lon:double,min_lat:double,max_lon:double,max_lat:double>"
+    for left_sizes, right_sizes, margin in (((0.0, 1e-4, 0.3, 5.0), (1e-3, 0.05, 8.0), 0.0), ((0.0,), (0.0, 2.0), 0.02), ((1.0,), (0.0,), 0.0), ((0.5,), (0.5,), 0.0)):
+        a, b = boxes(120, left_sizes), boxes(150, right_sizes)
+        got = spatial.box_join(spark.createDataFrame(a, f"i long, l {box}"), spark.createDataFrame(b, f"j long, r {box}"), F.col("l"), F.col("r"), margin).select("i", "j").collect()
+        got = [tuple(r) for r in got]
+        near = lambda p, q, m=margin: p[0] - m <= q[2] and q[0] <= p[2] + m and p[1] - m <= q[3] and q[1] <= p[3] + m
+        sure = {(i, j) for i, p in a for j, q in b if near(p, q)}
+        assert len(got) == len(set(got)) and sure <= set(got)
+        # in longitude a margin is wider, as degrees are shorter there
+        assert set(got) <= {(i, j) for i, p in a for j, q in b if near(p, q, margin * 1.1)}
+    nothing = spark.createDataFrame([], f"j long, r {box}")
+    assert spatial.box_join(spark.createDataFrame(a, f"i long, l {box}"), nothing, F.col("l"), F.col("r")).count() == 0
+
+
+def test_cells_do_not_grow_with_the_radius(spark):
+    refs = spark.createDataFrame([(str(r), f"geo:-111.93,33.42,r={r}") for r in (30, 300_000)], "overlay_id string, ref_primary string").withColumn("ref_fallback", F.lit(None).cast("string"))
+    box = refs.select(spatial.around(geo.point(F.lit(-111.93), F.lit(33.42)), F.regexp_extract("ref_primary", "r=([0-9]+)", 1).cast("double")).alias("b"))
+    own = F.array(F.struct(spatial.level_of(F.col("b")).alias("level"), F.lit(0).alias("owner")))
+    assert max(r["n"] for r in box.select(F.size(spatial._cells(F.col("b"), own)).alias("n")).collect()) <= 4
+
+
 def test_radii_count_whole(spark):
     refs = spark.createDataFrame([("near", "geo:-111.93,33.42,r=150"), ("small", "geo:-111.93,33.42,r=100"), ("north", "geo:20.0,75.0,r=150")], "overlay_id string, ref_primary string").withColumn("ref_fallback", F.lit(None).cast("string"))
     places = spark.createDataFrame([("a", (-111.9287, 33.42)), ("n", (20.0045, 75.0))], f"id string, p {POINT}")
