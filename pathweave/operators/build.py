@@ -18,7 +18,7 @@ from pathweave.functions import geo
 from pathweave.operators.components import connected_components
 from pathweave.operators.spatial import box_join, close_pairs, crossings, degrees_for, nearest_edge, point_box
 from pathweave.operators.ways import same_grade
-from pathweave.session import cut_lineage
+from pathweave.session import cut_lineage, write_and_reread
 
 SNAP_M, STUB_M, DUPLICATE_M = 1.5, 8.0, 1.0
 DOOR_M, PROJECT_M, WEAK_M = 3.0, 60.0, 120.0
@@ -128,7 +128,7 @@ def ranked_arcs(arcs: DataFrame, inner: DataFrame) -> DataFrame:
     """
     leaving = arcs.join(inner, F.col("a") == F.col("node")).select("node", F.col("id").alias("next_id"), F.col("dir").alias("next_dir"))
     first = arcs.join(leaving, (F.col("b") == F.col("node")) & (F.col("id") != F.col("next_id")), "left")
-    state = cut_lineage(first.select("id", "dir", "next_id", "next_dir", F.lit(1).cast("long").alias("rank"), F.col("id").alias("end_id"), F.col("dir").alias("end_dir"), F.col("b").alias("low")))
+    state = write_and_reread(first.select("id", "dir", "next_id", "next_dir", F.lit(1).cast("long").alias("rank"), F.col("id").alias("end_id"), F.col("dir").alias("end_dir"), F.col("b").alias("low")), "chains")
     most, rounds = state.count(), 0
     while True:
         open_ = state.filter("next_id is not null")
@@ -137,11 +137,11 @@ def ranked_arcs(arcs: DataFrame, inner: DataFrame) -> DataFrame:
         if 1 << rounds > most:
             whole = state.filter("next_id is null").select("id", "dir", "rank", "end_id", "end_dir")
             cut = inner.join(open_.select(F.col("low").alias("node")).distinct(), "node", "left_anti")
-            return whole.unionByName(ranked_arcs(cut_lineage(arcs.join(open_.select("id", "dir"), ["id", "dir"])), cut))
+            return whole.unionByName(ranked_arcs(write_and_reread(arcs.join(open_.select("id", "dir"), ["id", "dir"]), "chains"), write_and_reread(cut, "chains")))
         end = state.select(F.col("id").alias("next_id"), F.col("dir").alias("next_dir"), *[F.col(c).alias(f"{c}_2") for c in ("next_id", "next_dir", "rank", "end_id", "end_dir", "low")])
         far = open_.join(end, ["next_id", "next_dir"])
         far = far.select("id", "dir", F.col("next_id_2").alias("next_id"), F.col("next_dir_2").alias("next_dir"), (F.col("rank") + F.col("rank_2")).alias("rank"), F.col("end_id_2").alias("end_id"), F.col("end_dir_2").alias("end_dir"), F.least("low", "low_2").alias("low"))
-        state = cut_lineage(state.filter("next_id is null").unionByName(far))
+        state = write_and_reread(state.filter("next_id is null").unionByName(far), "chains")
         rounds += 1
 
 

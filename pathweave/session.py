@@ -54,7 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def write_and_reread(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: for wide rows, which
-    Parquet keeps smaller than a checkpoint and from which later steps read only some columns."""
+    Parquet keeps smaller than a checkpoint and from which later steps read only some columns; and
+    in loops that join a table with itself, as a checkpoint keeps the estimated size, which such a
+    loop squares each round until planning stalls on its digits."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

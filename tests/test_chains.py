@@ -83,8 +83,8 @@ def test_random_graphs(spark):
 
 def test_a_long_chain_and_a_long_ring_in_few_rounds(spark, monkeypatch):
     rounds = []
-    cut = build.cut_lineage
-    monkeypatch.setattr(build, "cut_lineage", lambda df: (rounds.append(1), cut(df))[1])
+    cut = build.write_and_reread
+    monkeypatch.setattr(build, "write_and_reread", lambda df, name: (rounds.append(1), cut(df, name))[1])
     names = list(range(6000))
     random.Random(5).shuffle(names)
     edges = [edge(names[i], i, i + 1) if i % 2 else (names[i], i + 1, i, [i + 1, 7000 + i, i], "a") for i in range(5000)]
