@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pathweave.operators.report import numbered
-from pathweave.session import cut_lineage
+from pathweave.session import cut_lineage, write_and_reread
 
 SEGMENT = 256
 HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>\n"
@@ -84,7 +84,7 @@ def tree(rows: DataFrame, *, id_col: str = "id", parent: str = "parent_id", role
 def jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``node, root, depth, total`` of each node (nodes and scores from the root down to it), and the jumps
     ``node, at`` over 1, 2, 4, ... parents."""
-    state = cut_lineage(nodes.select("node", F.col("parent").alias("at"), F.col("node").alias("root"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.col("node").alias("least")))
+    state = write_and_reread(nodes.select("node", F.col("parent").alias("at"), F.col("node").alias("root"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.col("node").alias("least")), "chat-jumps")
     most, levels = state.count(), []
     while True:
         open_ = state.filter(F.col("at").isNotNull())
@@ -95,7 +95,7 @@ def jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         levels.append(open_.select("node", "at"))
         end = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("total").alias("t"), F.col("least").alias("l"))
         further = open_.join(end, "at").select("node", F.col("next").alias("at"), F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total"), F.least("least", "l").alias("least"))
-        state = cut_lineage(state.filter(F.col("at").isNull()).unionByName(further))
+        state = write_and_reread(state.filter(F.col("at").isNull()).unionByName(further), "chat-jumps")
 
 
 def _without_rings(nodes: DataFrame, stuck: DataFrame) -> DataFrame:
@@ -114,10 +114,10 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     if branches is not None:
         best = W.partitionBy("root").orderBy(F.desc("total"), "node")
         leaves = leaves.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= branches)
-    found = cut_lineage(leaves.select(F.col("node").alias("branch"), "root", (F.col("depth") - 1).alias("place"), "node"))
+    found = write_and_reread(leaves.select(F.col("node").alias("branch"), "root", (F.col("depth") - 1).alias("place"), "node"), "chat-paths")
     for k in reversed(range(len(levels))):
         up = found.join(levels[k], "node").select("branch", "root", (F.col("place") - (1 << k)).alias("place"), F.col("at").alias("node"))
-        found = cut_lineage(found.unionByName(up))
+        found = write_and_reread(found.unionByName(up), "chat-paths")
     return found
 
 

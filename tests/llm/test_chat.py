@@ -105,6 +105,14 @@ def test_a_ring_of_parents_is_opened_at_its_smallest(spark):
     assert got(chat.formatted(nodes, chat.paths(nodes))) == digests(want)
 
 
+def test_a_long_thread_takes_few_rounds(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(5000)]
+    nodes = chat.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    _, levels = chat.jumps(nodes)
+    assert len(levels) == 13
+    assert got(chat.formatted(nodes, chat.paths(nodes))) == digests([(1, [r[2:] for r in rows])])
+
+
 def test_masks_are_spans_of_the_output(spark):
     nodes = chat.chain(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "### é</turn>"), (1, 2, "assistant", "")], "conv_id long, turn long, role string, text string"))
     (row,) = chat.formatted(nodes, chat.paths(nodes)).collect()
