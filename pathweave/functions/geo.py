@@ -33,6 +33,24 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * k + 0.5) / k
 
 
+def hilbert(p: Column, bits: int = 24) -> Column:
+    """The place of a point on a Hilbert curve of ``2^bits`` cells a side over all longitudes and latitudes."""
+    most = (1 << bits) - 1
+    cell = lambda v, low, span: F.greatest(F.lit(0), F.least(F.lit(most), F.floor((v - low) / span * (1 << bits)))).cast("long")
+    state = F.struct(cell(p["lon"], -180.0, 360.0).alias("x"), cell(p["lat"], -90.0, 180.0).alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def step(at: Column, s: Column) -> Column:
+        right, up = (at["x"].bitwiseAND(s) != 0), (at["y"].bitwiseAND(s) != 0)
+        quarter = F.when(right, F.when(up, 2).otherwise(3)).otherwise(F.when(up, 1).otherwise(0))
+        # the lower quarters are mirrored on a diagonal
+        turn = lambda v: F.when(right & ~up, F.lit(most) - v).otherwise(v)
+        x, y = F.when(up, at["x"]).otherwise(turn(at["y"])), F.when(up, at["y"]).otherwise(turn(at["x"]))
+        return F.struct(x.alias("x"), y.alias("y"), (at["d"] + s * s * quarter).alias("d"))
+
+    sides = F.array(*[F.lit(1 << k).cast("long") for k in reversed(range(bits))])
+    return F.aggregate(sides, state, step, lambda at: at["d"])
+
+
 def haversine(a: Column, b: Column) -> Column:
     """Great-circle distance in metres."""
     lat1, lat2 = F.radians(a["lat"]), F.radians(b["lat"])

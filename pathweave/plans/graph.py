@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.functions import cost
-from pathweave.operators import gates, report, route, spatial
+from pathweave.operators import cells, gates, report, route, spatial
 from pathweave.operators.shortest import both_ways
 from pathweave.session import cut_lineage
 from pathweave.sources import readers
@@ -81,7 +81,7 @@ class Graph:
         columns = ["id", "u", "v", "lengthM", "surface", "stairs", "stepCount", "accessible", "shadeIndex"]
         usable = e if closed is None else e.join(closed.select(F.col("edge_id").alias("id")), "id", "left_anti")
         crossings = self.nodes.filter("type = 'crossing'").select("id")
-        solved = cut_lineage(route.solve(asked, usable.select(*columns), crossings, profile, heat))
+        solved = cut_lineage(route.solve(asked, usable.select(*columns), crossings, profile, heat, cells=lambda: cells.by_place(self.nodes)))
         if closed is not None:
             solved = route.blocked_by_closure(solved, e.select(*columns), crossings, profile)
         hour = (depart - dt.timedelta(hours=7)).hour

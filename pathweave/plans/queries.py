@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from pathweave import schema
 from pathweave.functions import cost, geo
-from pathweave.operators import build, gates, legs, overlays, register, report, route, shortest, spatial
+from pathweave.operators import build, cells, gates, legs, overlays, register, report, route, shortest, spatial
 from pathweave.operators.components import connected_components
 from pathweave.operators import ways as ways_
 from pathweave.plans import projection as p
@@ -271,10 +271,10 @@ def _arc_columns(spark, d):
     return p.edges(spark, d).select("id", "u", "v", "lengthM", "surface", "stairs", "stepCount", "accessible", "shadeIndex")
 
 
-def _costs(spark, d, profile, heat=0.0):
+def _costs(spark, d, profile, heat=0.0, **options):
     asked = _asked(spark, d)
     want = asked.filter(F.col("reason").isNull()).select("request", F.col("from_doors").alias("origins"), F.col("to_doors").alias("targets"))
-    found = shortest.cheapest(route.priced_arcs(_arc_columns(spark, d), p.crossing_nodes(spark, d), profile, heat), want, with_path=False)
+    found = shortest.cheapest(route.priced_arcs(_arc_columns(spark, d), p.crossing_nodes(spark, d), profile, heat), want, with_path=False, **options)
     return asked.select("request").join(found, "request", "left").select("request", F.round("cost", 3).alias("cost"))
 
 
@@ -283,6 +283,17 @@ def od_route_cost_default(spark, d):
     return _costs(spark, d, cost.DEFAULT_PROFILE)
 
 
+@query
+def od_route_by_cells(spark, d):
+    """The same costs by the plan for graphs that aren't sent to all tasks."""
+    return _costs(spark, d, cost.DEFAULT_PROFILE, most=10, cells=cells.by_place(p.nodes(spark, d)))
+
+
+@query
+def hilbert_order(spark, d):
+    return cells.hilbert_order(p.nodes(spark, d)).select("id", "idx")
+
+
 @query
 def od_route_cost_accessible(spark, d):
     return _costs(spark, d, cost.ACCESSIBLE_PROFILE)

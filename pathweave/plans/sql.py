@@ -211,6 +211,14 @@ SELECT k AS id, round(d, 2) AS length_m FROM t""",
 WITH RECURSIVE {EDGE}, {BUILDING}, arcs AS MATERIALIZED (SELECT u, v, m FROM e UNION ALL SELECT v, u, m FROM e), {searches()}
 SELECT b AS id, count(*)::bigint AS nodes, round(max(d), 2) AS farthest_m FROM t WHERE d <= 300 GROUP BY 1""",
     "od_route_cost_default": od(arcs()),
+    "od_route_by_cells": od(arcs()),
+    "hilbert_order": f"""
+WITH {NODE}, c AS (SELECT id, floor((lon + 180.0) / 360.0 * 16777216)::bigint AS x, floor((lat + 90.0) / 180.0 * 16777216)::bigint AS y FROM n),
+h AS (SELECT id, list_reduce(list_transform(range(0, 24), lambda k: {{'x': (1 << (23 - k))::bigint, 'y': 0::bigint, 'd': 0::bigint}}), lambda a, s: {{
+    'x': CASE WHEN (a.y & s.x) <> 0 THEN a.x WHEN (a.x & s.x) <> 0 THEN 16777215 - a.y ELSE a.y END,
+    'y': CASE WHEN (a.y & s.x) <> 0 THEN a.y WHEN (a.x & s.x) <> 0 THEN 16777215 - a.x ELSE a.x END,
+    'd': a.d + s.x * s.x * CASE WHEN (a.x & s.x) <> 0 THEN CASE WHEN (a.y & s.x) <> 0 THEN 2 ELSE 3 END WHEN (a.y & s.x) <> 0 THEN 1 ELSE 0 END}}, {{'x': x, 'y': y, 'd': 0::bigint}}).d AS h FROM c)
+SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS idx FROM h""",
     "od_route_cost_accessible": od(arcs(True, avoid=True)),
     "od_route_shade": od(arcs(False, 0.8, 1.0, True)),
     "route_status": STATUS,
