@@ -26,14 +26,17 @@ ID_CELL_M = 0.5
 
 
 def clip(ways: DataFrame, ring: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ways that have a vertex in the service area or cross its border, and the rest with a reason."""
-    # an area is a row per ring, of which there are few; they go along as one row
-    d = ways.crossJoin(F.broadcast(ring.agg(F.collect_list("ring").alias("rings"))))
-    meets = lambda a, b, r: F.exists(geo.pairs(r, lambda c, e: geo.intersection(a, b, c, e).isNotNull()), lambda x: x)
-    inside = F.exists("rings", lambda r: F.exists("line", lambda p: geo.inside(p, r)))
-    cross = F.exists("rings", lambda r: F.exists(geo.pairs(F.col("line"), lambda a, b: meets(a, b, r)), lambda x: x))
-    d = d.withColumn("reject_reason", F.when(~(inside | cross), "outside the service area")).drop("rings")
-    return d.filter("reject_reason is null").drop("reject_reason"), d.filter("reject_reason is not null")
+    """Ways that have a vertex in the service area or cross its border, and the rest with a reason.
+
+    A way meets the rings of ``ring(ring)`` whose boxes touch its own.
+    """
+    d = write_and_reread(ways.withColumn("__way", F.monotonically_increasing_id()), "clip")  # the numbers hold from here on
+    met = box_join(d.select("__way", "line"), ring.select("ring"), geo.bounds(F.col("line")), geo.bounds(F.col("ring")))
+    cross = lambda a, b: F.exists(geo.pairs(F.col("ring"), lambda c, e: geo.intersection(a, b, c, e).isNotNull()), lambda x: x)
+    inside = F.exists("line", lambda p: geo.inside(p, F.col("ring"))) | F.exists(geo.pairs(F.col("line"), cross), lambda x: x)
+    kept = met.filter(inside).select("__way").distinct()
+    out = d.join(kept, "__way", "left_anti").withColumn("reject_reason", F.lit("outside the service area"))
+    return d.join(kept, "__way", "left_semi").drop("__way"), out.drop("__way")
 
 
 def segments(ways: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from pathweave import schema
 from pathweave.functions import geo
@@ -122,9 +123,10 @@ def footprint_piercing(edges: DataFrame, footprints: DataFrame, allowed: DataFra
 
 
 def in_service_area(points: DataFrame, area: DataFrame) -> DataFrame:
-    """G1: ``points(id, p)`` outside all rings of ``area(ring)``, which has a row per ring, of which there are few."""
-    rings = area.agg(F.collect_list("ring").alias("rings"))
-    return _out(points.crossJoin(F.broadcast(rings)).filter(~F.exists("rings", lambda r: geo.inside(F.col("p"), r))), "id", F.lit("outside"))
+    """G1: ``points(id, p)`` outside all rings of ``area(ring)``; a point meets the rings whose box it is in."""
+    met = box_join(points.select("id", "p"), area.select("ring"), point_box(F.col("p")), geo.bounds(F.col("ring")))
+    inside = met.filter(geo.inside(F.col("p"), F.col("ring"))).select("id").distinct()
+    return _out(points.join(inside, "id", "left_anti"), "id", F.lit("outside"))
 
 
 def long_straight(edges: DataFrame, metres: float = 400.0) -> DataFrame:
@@ -245,6 +247,10 @@ def document_gates(doc: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+#: Entities that a report shows of each gate.
+SHOWN = 3
+
+
 def report(gates: dict[str, DataFrame], skipped: tuple[str, ...] = ()) -> DataFrame:
     """``gate, status, violations, sample`` of all gates in one query; the sample is of three entities."""
     order = list(gates) + list(skipped)
@@ -254,7 +260,11 @@ def report(gates: dict[str, DataFrame], skipped: tuple[str, ...] = ()) -> DataFr
         every = one if every is None else every.unionByName(one)
     spark = every.sparkSession
     names = spark.createDataFrame([(i, g, g in skipped) for i, g in enumerate(order)], "place int, gate string, skipped boolean")
-    g = every.groupBy("gate").agg(F.count("*").alias("violations"), F.slice(F.array_sort(F.collect_set(F.concat_ws(": ", "entity", "measurement"))), 1, 3).alias("sample"))
+    every = every.select("gate", F.concat_ws(": ", "entity", "measurement").alias("text")).groupBy("gate", "text").agg(F.count("*").alias("n"))
+    # a row number up to three is cut before the shuffle, so a gate's violations meet in no task
+    first = every.withColumn("r", F.row_number().over(W.partitionBy("gate").orderBy("text"))).filter(F.col("r") <= SHOWN)
+    first = first.groupBy("gate").agg(F.array_sort(F.collect_list("text")).alias("sample"))
+    g = every.groupBy("gate").agg(F.sum("n").alias("violations")).join(first, "gate")
     d = F.broadcast(names).join(g, "gate", "left")
     status = F.when(F.col("skipped"), "SKIP").when(F.coalesce("violations", F.lit(0)) > 0, "FAIL").otherwise("PASS")
     return d.select("place", "gate", status.alias("status"), F.coalesce("violations", F.lit(0)).cast("long").alias("violations"), F.coalesce("sample", F.array().cast("array<string>")).alias("sample")).orderBy("place")

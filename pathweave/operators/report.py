@@ -107,5 +107,5 @@ def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
 
 def latest_by_key(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of each key the last row; deleted ones (``deleted`` is true) are left out."""
-    w = W.partitionBy(*keys).orderBy(F.desc(order))
-    return changes.withColumn("__r", F.row_number().over(w)).filter("__r = 1 and not coalesce(deleted, false)").drop("__r", "deleted")
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in changes.columns if c not in keys]), order).alias("row"))
+    return last.select(*keys, "row.*").filter("not coalesce(deleted, false)").drop("deleted").select(*[c for c in changes.columns if c != "deleted"])

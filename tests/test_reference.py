@@ -416,9 +416,33 @@ def test_streams(spark, tmp_path):
     put("2.json", [("b", "node", 2, True, None), ("a", "node", 1, False, "late")])
     run()
     assert told == [3, 2] and {r.id: r.body for r in changes.current(spark, state).collect()} == {"a": "y"}
+    for n in range(3, 7):  # a part keeps two versions; others are left alone
+        put(f"{n}.json", [("b", "node", n, False, str(n))])
+        run()
+    versions = changes._versions(spark, state)
+    assert sorted(map(len, versions.values())) == [2, 2] and {r.id: r.body for r in changes.current(spark, state).collect()} == {"a": "y", "b": "6"}
     c = spark.createDataFrame([("c1", "h", ["e1", "e9"]), ("c2", "old", ["e2"])], "closure_id string, graph_hash string, edge_ids array<string>").withColumns({"from_utc": F.current_timestamp(), "to_utc": F.lit(None).cast("timestamp")})
     c.write.parquet(str(tmp_path / "c"))
     stream = spark.readStream.schema(c.schema).parquet(str(tmp_path / "c"))
     joined = changes.closures_with_edges(stream, spark.createDataFrame([("e1",), ("e2",)], "id string"), "h")
     joined.writeStream.format("memory").queryName("closed").trigger(availableNow=True).start().awaitTermination(60)
     assert {(r.closure_id, r.edge_id, r.stale) for r in spark.table("closed").collect()} == {("c1", "e1", False), ("c2", "e2", True)}
+
+
+def test_closures_lapse_without_a_row(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    at = lambda s: f"2026-08-27T14:{s // 60:02}:{s % 60:02}Z"
+    batches = [[("e1", "c1", False, 0), ("e2", "c2", True, 10)], [("e1", "c1", False, 50)], [("e3", "c3", False, 75)], [("e3", "c3", False, 130)], [("e3", "c3", False, 131)]]
+    try:
+        for n, rows in enumerate(batches):
+            (folder / f"{n}.json").write_text("\n".join(json.dumps({"edge_id": e, "closure_id": c, "stale": s, "seen": at(t)}) for e, c, s, t in rows))
+            stream = spark.readStream.schema("edge_id string, closure_id string, stale boolean, seen timestamp").json(str(folder))
+            out = changes.closures_in_force(stream)
+            out.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted(tuple(r) for r in spark.read.schema("edge_id string, closure_id string, closed boolean, stale boolean").json(str(tmp_path / "out")).collect())
+    # c1 was confirmed at 50 s and holds until 110; c2 lapses at 70; c3 is still in force
+    assert got == [("e1", "c1", False, False), ("e1", "c1", True, False), ("e2", "c2", False, True), ("e2", "c2", True, True), ("e3", "c3", True, False)]
