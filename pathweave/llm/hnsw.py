@@ -29,14 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pathweave.llm.quantisation import units
+from pathweave.llm.quantisation import scaled, units
 from pathweave.llm.vectors import lengths, split_usable
 from pathweave.session import cut_lineage, write_and_reread
 
-SMALLEST, LARGEST, CELLS = 2048, 65_536, 16_000_000
+SMALLEST, LARGEST, CELLS = 2048, 16_384, 16_000_000
 BLOCK = 8192
 LINKS = 10  # a node's neighbours on upper layers; twice as many on the lowest
 BUILD_WIDTH, SEARCH_WIDTH = 48, 192
+#: In larger shards a search is as wide as a share of the nodes, so that as many of the nearest are found.
+WIDTH_SHARE = 24
 INDEX = "shard int, ids array<long>, least array<long>, vectors array<double>, levels array<int>, neighbours array<int>, entry int"
 
 
@@ -154,6 +156,7 @@ def build(x: np.ndarray, seed: int) -> Graph:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = scaled(a), scaled(b)
     return float((a * b).sum() / (math.sqrt((a * a).sum()) * math.sqrt((b * b).sum())))
 
 
@@ -191,7 +194,7 @@ def search(indexed: DataFrame, queries: DataFrame, n_shards: int, n_queries: int
                 points = np.asarray(row.points, dtype=np.float64).reshape(len(row.queries), -1)
                 out = []
                 for query, p, q in zip(row.queries, points, units(points).astype(np.float32), strict=True):
-                    near = [(-cosine(p, v[n]), least[n], ids[n]) for _, n in g.search(q, max(SEARCH_WIDTH, found_per_shard))]
+                    near = [(-cosine(p, v[n]), least[n], ids[n]) for _, n in g.search(q, max(SEARCH_WIDTH, len(ids) // WIDTH_SHARE, found_per_shard))]
                     out += [(query, n, -d) for d, _, n in sorted(near)[:found_per_shard]]
                 yield pd.DataFrame(out, columns=["query", "rep", "score"])
 

@@ -44,7 +44,14 @@ CHUNK = 1024
 BROADCAST_ROWS = 200_000
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors divided by a power of two near their largest component each, so that no square overflows
+    or vanishes; that changes no digit of a cosine."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1]) if v.size else v
+
+
 def units(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 

@@ -50,10 +50,10 @@ def test_links_equal_brute_force(spark):
     assert len(got) == len(v) + len(ODD) + 1
     n = np.array([got[i].n_links for i in range(len(v))])
     assert (n <= near.sum(axis=1)).all()
-    assert n.sum() >= 0.97 * near.sum() > 0
+    assert n.sum() >= 0.999 * near.sum() > 0
     assert (n[len(v) - 400 :] >= 400).all()
     root = roots(near)
-    assert np.mean([got[i].component_id == root[i] for i in range(len(v))]) > 0.97
+    assert np.mean([got[i].component_id == root[i] for i in range(len(v))]) > 0.999
     assert all(root[got[i].component_id] == root[i] for i in range(len(v)))
     for i in range(len(ODD)):
         assert got[50_000 + i].n_links == 0 and got[50_000 + i].component_id == 50_000 + i
@@ -111,7 +111,7 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
             assert i != q and abs(s - score[i]) < 1e-12
         hits += len(set(order) & {i for _, i, _ in got[q]})
         total += 5
-    assert len(got) == len(range(0, len(v), 10)) and hits >= 0.95 * total
+    assert len(got) == len(range(0, len(v), 10)) and hits >= 0.98 * total
     copy = got[1600]
     assert [i for _, i, _ in copy] == [0, 1500, 1501, 1502, 1503]
 
@@ -140,3 +140,19 @@ def test_lengths_and_repeated_ids(spark):
     twice = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (5, [1.0, 0.2])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.id) for r in hnsw.nearest(twice, F.col("id") == 1).orderBy("rank").collect()] == [(1, 1, 2), (1, 2, 5)]
     assert sorted((r.id, r.n_links, r.component_id) for r in quantisation.links(twice).collect()) == [(1, 3, 1), (2, 3, 1), (2, 3, 1), (5, 3, 1)]
+
+
+def test_huge_and_tiny_vectors(spark):
+    rows = [(0, [0.0, 1.0]), (1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [5e-324, 0.0]), (4, [1.7e308, 1e300]), (50, [1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in quantisation.links(d).collect()}
+    assert got == {0: (0, 0), 1: (2, 1), 2: (2, 1), 50: (2, 1), 3: (1, 3), 4: (1, 3)}
+    near = [(r.rank, r.id, r.score) for r in hnsw.nearest(d, F.col("id") == 50).orderBy("rank").collect()]
+    assert [x[:2] for x in near[:2]] == [(1, 1), (2, 2)] and abs(near[0][2] - 1) < 1e-15
+    assert {x[1] for x in near[2:]} == {0, 3, 4} and all(abs(x[2] - math.sqrt(0.5)) < 1e-7 for x in near[2:])
+
+
+def test_scaling_changes_no_digit():
+    v = np.random.default_rng(9).standard_normal((200, 24))
+    plain = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    assert (quantisation.units(v) == plain).all() and (quantisation.units(np.ldexp(v, 900)) == plain).all()
