@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from pathweave.functions import cost
 from pathweave.operators import cells, gates, report, route, spatial
+from pathweave.operators.kept import answered
 from pathweave.operators.shortest import both_ways
-from pathweave.session import cut_lineage
+from pathweave.session import cut_lineage, write_and_reread
 from pathweave.sources import readers
 
 KINDS = ("buildings", "nodes", "edges")
@@ -87,6 +88,21 @@ class Graph:
         hour = (depart - dt.timedelta(hours=7)).hour
         return route.routes(solved, self.edges, self.nodes, self.buildings, profile[0], hour, self.graph_hash())
 
+    def kept_routes(self, path: str, requests: DataFrame, profile: tuple = cost.DEFAULT_PROFILE, depart: dt.datetime | None = None, closed: DataFrame | None = None) -> DataFrame:
+        """``routes`` with ``kept``: what the table under ``path`` has for the pair, profile and local hour isn't searched
+        again. Another graph, or other closed edges, empty the table."""
+        depart = depart or dt.datetime.now(dt.timezone.utc)
+        shut = "" if closed is None else report.table_digest(closed.select("edge_id").distinct()).first()["digest"]
+        hour, name = (depart - dt.timedelta(hours=7)).hour, profile[0]
+        asked = requests.select("request", "from_id", "to_id").withColumns({"profile": F.lit(name), "hour": F.lit(hour)})
+        keys = ("from_id", "to_id", "profile", "hour")
+
+        def solve(questions: DataFrame) -> DataFrame:
+            numbered = write_and_reread(questions.withColumn("request", F.monotonically_increasing_id()), "kept-numbers")
+            return numbered.join(self.routes(numbered.select("request", "from_id", "to_id"), profile, depart, closed), "request").drop("request")
+
+        return answered(path, f"{self.graph_hash()}/{shut}", asked, keys, solve).drop("profile", "hour", "from_id", "to_id")
+
     def unverified(self, routes: DataFrame) -> DataFrame:
         """``request, unverified``: whether a route uses an edge of unknown accessibility."""
         used = routes.filter("ok").select("request", F.explode("route.edgeIds").alias("id"))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pathweave import schema
-from pathweave.functions import cost, geo
-from pathweave.operators import build, cells, gates, legs, overlays, register, report, route, shortest, spatial
+from pathweave.functions import cost, geo, json_schema
+from pathweave.operators import build, cells, gates, kept, legs, overlays, register, report, route, shortest, spatial
 from pathweave.operators.components import connected_components
 from pathweave.operators import ways as ways_
 from pathweave.plans import projection as p
-from pathweave.session import cut_lineage
+from pathweave.session import cut_lineage, scratch_path
 from pathweave.sources import readers, writers
 
 SHADED = ("walk-shade", 1.35, True, False, 0.8, 20.0)
@@ -289,6 +289,50 @@ def od_route_by_cells(spark, d):
     return _costs(spark, d, cost.DEFAULT_PROFILE, most=10, cells=cells.by_place(p.nodes(spark, d)))
 
 
+@query
+def kept_routes(spark, d):
+    """Route costs by a table of kept answers: requests of even numbers first, then all of them."""
+    asked = _asked(spark, d)
+    doors = asked.select("from_id", "to_id", "from_doors", "to_doors", "reason").distinct()
+    path, pairs = scratch_path(spark, "routes"), asked.select("request", "from_id", "to_id")
+
+    def solve(questions):
+        q = questions.join(doors.filter("reason is null"), ["from_id", "to_id"]).withColumn("request", F.struct("from_id", "to_id"))
+        q = q.select((F.col("from_id") * 1_000_000 + F.col("to_id")).alias("request"), "from_id", "to_id", F.col("from_doors").alias("origins"), F.col("to_doors").alias("targets"))
+        found = shortest.cheapest(route.priced_arcs(_arc_columns(spark, d), p.crossing_nodes(spark, d), cost.DEFAULT_PROFILE), q, with_path=False)
+        numbered = questions.withColumn("request", F.col("from_id") * 1_000_000 + F.col("to_id"))
+        return numbered.join(found.select("request", "cost"), "request", "left").drop("request")
+
+    kept.answered(path, "first graph", pairs, ("from_id", "to_id"), solve).write.format("noop").mode("overwrite").save()
+    kept.answered(path, "graph", pairs.filter("request % 2 = 0"), ("from_id", "to_id"), solve).write.format("noop").mode("overwrite").save()
+    again = kept.answered(path, "graph", pairs, ("from_id", "to_id"), solve)
+    return again.select("request", F.round("cost", 3).alias("cost"), "kept")
+
+
+@query
+def schema_faults_s1(spark, d):
+    """Documents of nodes, one per nation, against a schema."""
+    c = p.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    k = F.col("c_custkey")
+    node = F.to_json(F.struct(
+        F.when(k % 17 != 0, F.concat(F.when(k % 13 == 0, "edge:").otherwise("node:"), k.cast("string"))).alias("id"), F.lower("c_mktsegment").alias("type"),
+        F.array(*[F.lit(-111.9 + 0.1 * i) for i in range(2)], F.when(k % 19 == 0, 1.5)).alias("at"), F.when(k % 3 == 0, F.col("c_acctbal").cast("decimal(12,2)")).alias("m"), F.when(k % 5 == 0, (k % 2 == 0)).alias("signal"),
+    ))
+    docs = c.groupBy(F.col("c_nationkey").alias("file")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", node.alias("n")))).alias("ns"))
+    text = F.concat(F.lit('{"nodes":['), F.array_join(F.transform("ns", lambda x: x["n"]), ","), F.lit("]"), F.when(F.col("file") % 4 == 0, ',"more":1}').otherwise("}"))
+    schema_ = {
+        "type": "object", "required": ["nodes", "manifest"], "additionalProperties": False, "properties": {"nodes": {"type": "array", "items": {"$ref": "#/$defs/node"}}},
+        "$defs": {"node": {
+            "type": "object", "required": ["id"], "properties": {
+                "id": {"type": "string", "pattern": "^node:"}, "type": {"enum": ["building", "household", "machinery"]}, "m": {"type": "number", "minimum": 0, "exclusiveMinimum": 0},
+                "at": {"type": "array", "minItems": 3, "items": {"type": ["number", "null"], "maximum": 1}}},
+            "allOf": [{"if": {"properties": {"type": {"const": "household"}}}, "then": {"required": ["signal"]}}]}},
+    }
+    found = json_schema.document_faults(docs.select("file", F.parse_json(text).alias("doc")), schema_, most=None)
+    kind = F.regexp_extract("fault", r"^(?:nodes\[\d+\])?\.?(.*?)(?:\[\d+\])?: .*?(is missing|unexpected|doesn't match|isn't one of|is less than|is not more than|is more than|isn't of type|are fewer than)", 2)
+    return found.groupBy("file", kind.alias("fault")).agg(F.count("*").alias("rows"), F.sum("at").alias("places"))
+
+
 @query
 def hilbert_order(spark, d):
     return cells.hilbert_order(p.nodes(spark, d)).select("id", "idx")

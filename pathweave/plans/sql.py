@@ -212,6 +212,14 @@ WITH RECURSIVE {EDGE}, {BUILDING}, arcs AS MATERIALIZED (SELECT u, v, m FROM e U
 SELECT b AS id, count(*)::bigint AS nodes, round(max(d), 2) AS farthest_m FROM t WHERE d <= 300 GROUP BY 1""",
     "od_route_cost_default": od(arcs()),
     "od_route_by_cells": od(arcs()),
+    "kept_routes": f"SELECT request, cost, request % 2 = 0 AS kept FROM ({od(arcs())})",
+    "schema_faults_s1": """
+WITH c AS (SELECT c_custkey AS k, c_nationkey AS file, c_acctbal::decimal(12,2) AS b, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer),
+f AS (SELECT file, pos, unnest(list_filter([CASE WHEN k % 17 = 0 THEN 'is missing' END, CASE WHEN k % 17 <> 0 AND k % 13 = 0 THEN 'doesn''t match' END,
+  CASE WHEN seg NOT IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY') THEN 'isn''t one of' END, CASE WHEN k % 3 = 0 AND b < 0 THEN 'is less than' END, CASE WHEN k % 3 = 0 AND b <= 0 THEN 'is not more than' END,
+  CASE WHEN k % 19 = 0 THEN 'is more than' END, CASE WHEN seg = 'HOUSEHOLD' AND k % 5 <> 0 THEN 'is missing' END], lambda x: x IS NOT NULL)) AS fault FROM c
+  UNION ALL SELECT DISTINCT file, 0, 'is missing' FROM c UNION ALL SELECT DISTINCT file, 0, 'unexpected' FROM c WHERE file % 4 = 0)
+SELECT file, fault, count(*)::bigint AS rows, sum(pos)::bigint AS places FROM f GROUP BY 1, 2""",
     "hilbert_order": f"""
 WITH {NODE}, c AS (SELECT id, floor((lon + 180.0) / 360.0 * 16777216)::bigint AS x, floor((lat + 90.0) / 180.0 * 16777216)::bigint AS y FROM n),
 h AS (SELECT id, list_reduce(list_transform(range(0, 24), lambda k: {{'x': (1 << (23 - k))::bigint, 'y': 0::bigint, 'd': 0::bigint}}), lambda a, s: {{
