@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from pathweave.functions import geo
 from pathweave.operators.components import connected_components
-from pathweave.operators.spatial import box_join, close_pairs, crossings, degrees_for, nearest_edge, point_box
+from pathweave.operators.spatial import box_join, close_pairs, crossings, degrees_for, hull, nearest_edge, point_box
 from pathweave.operators.ways import same_grade
 from pathweave.session import cut_lineage, write_and_reread
 
@@ -304,27 +304,74 @@ def shade(edges: DataFrame, tree_rows: DataFrame, footprints: DataFrame) -> Data
     return d.withColumn("f", found).withColumns({"shadeIndex": F.col("f.i"), "shadeSource": F.col("f.s")}).drop("f", "tree", "near")
 
 
-def around_footprints(edges: DataFrame, footprints: DataFrame, least_m: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Edges(id, line) that run more than ``least_m`` through one footprint led along its border, 0.3 m
-    outside and the shorter way; those whose end lies inside, or that pierce several, stay and are returned as
-    ``id, reason`` for the allow-list."""
-    e = edges.select("id", "line")
-    met = box_join(e.withColumnRenamed("id", "edge_id"), footprints.select("footprint_id", "ring"), geo.bounds(F.col("line")), geo.bounds(F.col("ring"))).filter(geo.length_inside(F.col("line"), F.col("ring")) > least_m)
-    per = met.groupBy("edge_id").agg(F.count("*").alias("n"), F.first("line").alias("line"), F.first("ring").alias("ring"))
+#: How far outside a border a way is led, and how often a way is led around another footprint.
+OUTSIDE_M, LED_TIMES = 0.3, 12
+
+
+def blocks_of(footprints: DataFrame, apart_m: float = 2 * OUTSIDE_M) -> DataFrame:
+    """``footprint_id, block, ring``: footprints that leave no room to pass between them are a block, whose ring is their
+    convex hull; one by itself has its own ring."""
+    f = footprints.select("footprint_id", "ring")
+    f = write_and_reread(f.withColumn("n", F.monotonically_increasing_id()), "blocks")  # the numbers hold from here on
+    left, right = f.select(F.col("n").alias("a"), F.col("ring").alias("ra")), f.select(F.col("n").alias("b"), F.col("ring").alias("rb"))
+    near = box_join(left, right, geo.bounds(F.col("ra")), geo.bounds(F.col("rb")), degrees_for(apart_m)).filter("a < b")
+    close = lambda r, s: F.exists(r, lambda p: geo.inside(p, s) | (geo.distance_to_line(p, s) <= apart_m))
+    cross = F.exists(geo.pairs(F.col("ra"), lambda p, q: F.exists(geo.pairs(F.col("rb"), lambda x, y: geo.intersection(p, q, x, y).isNotNull()), lambda z: z)), lambda z: z)
+    near = near.filter(close(F.col("ra"), F.col("rb")) | close(F.col("rb"), F.col("ra")) | cross)
+    placed = f.join(connected_components(near, "a", "b").withColumnRenamed("node", "n"), "n", "left").withColumn("block", F.coalesce("component", "n"))
+    placed = cut_lineage(placed.select("footprint_id", "n", "block", "ring"))
+    many = placed.groupBy("block").count().filter("count > 1").select("block")
+    corners = placed.join(many, "block").select("block", F.explode("ring").alias("p")).select("block", "p.lon", "p.lat").distinct()
+
+    def around(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "ring": [[{"lon": x, "lat": y} for x, y in hull(rows)]]})
+
+    hulls = corners.groupBy("block").applyInPandas(around, f"block long, ring array<{geo.POINT}>")
+    single = placed.join(many, "block", "left_anti").select("footprint_id", "block", "ring")
+    return single.unionByName(placed.select("footprint_id", "block").join(hulls, "block").select("footprint_id", "block", "ring"))
+
+
+def _led(met: DataFrame) -> DataFrame:
+    """``id, new_line`` of ``met(edge_id, line, ring)``: the shorter way around a ring, a bit outside, for lines whose ends lie outside."""
     bad_end = geo.inside(F.col("line")[0], F.col("ring")) | geo.inside(F.element_at("line", -1), F.col("ring"))
-    fix = per.filter((F.col("n") == 1) & ~bad_end).withColumn("ring", geo.widened(F.col("ring"), 0.3))
+    fix = met.filter(~bad_end).withColumn("ring", geo.widened(F.col("ring"), OUTSIDE_M))
     ring_n = F.size("ring") - 1
     place = lambda p: F.array_min(F.zip_with(geo.pairs(F.col("ring"), lambda a, b: F.struct(geo.project(p, a, b).alias("x"))), F.sequence(F.lit(0), ring_n - 1), lambda s, i: F.struct(s["x"]["dist_m"].alias("d"), i.alias("k"))))["k"]
     hits = F.flatten(F.zip_with(geo.pairs(F.col("line"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.sequence(F.lit(0), F.size("line") - 2), lambda s, i: F.transform(F.filter(geo.pairs(F.col("ring"), lambda c, d: geo.intersection(s["a"], s["b"], c, d)), lambda x: x.isNotNull()), lambda x: F.struct(i.alias("seq"), x["t"].alias("t"), x["point"].alias("p")))))
-    fix = fix.withColumn("hits", F.array_sort(hits)).filter(F.size("hits") >= 2).withColumns({"h0": F.col("hits")[0], "h1": F.element_at("hits", -1)})
-    fix = fix.withColumns({"k0": place(F.col("h0.p")), "k1": place(F.col("h1.p"))})
+    # written out between, as each step uses the one before many times over
+    fix = write_and_reread(fix.withColumn("hits", F.array_sort(hits)).filter(F.size("hits") >= 2), "led-hits")
+    fix = fix.withColumns({"h0": F.col("hits")[0], "h1": F.element_at("hits", -1)})
+    fix = write_and_reread(fix.withColumns({"k0": place(F.col("h0.p")), "k1": place(F.col("h1.p"))}).drop("hits"), "led-places")
     steps = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     on = F.transform(steps(F.pmod(F.col("k1") - F.col("k0") + ring_n, ring_n).cast("int")), lambda s: F.col("ring")[((F.col("k0") + s) % ring_n).cast("int")])
     back = F.transform(steps(F.pmod(F.col("k0") - F.col("k1") + ring_n, ring_n).cast("int")), lambda s: F.col("ring")[F.pmod(F.col("k0") - s + 1, ring_n).cast("int")])
     head = F.slice("line", F.lit(1), F.col("h0.seq") + 1)
     tail = F.slice("line", F.col("h1.seq") + 2, F.size("line"))
     way = lambda mid: F.concat(head, F.array("h0.p"), mid, F.array("h1.p"), tail)
-    led = fix.withColumns({"x": way(on), "y": way(back)}).select(F.col("edge_id").alias("id"), F.when(geo.length(F.col("x")) <= geo.length(F.col("y")), F.col("x")).otherwise(F.col("y")).alias("new_line"))
-    out = edges.join(led, "id", "left").withColumn("line", F.coalesce("new_line", "line")).drop("new_line")
-    left = per.join(led.select(F.col("id").alias("edge_id")), "edge_id", "left_anti").select(F.col("edge_id").alias("id"), F.lit("runs into the footprint").alias("reason"))
-    return out, left
+    return fix.withColumns({"x": way(on), "y": way(back)}).select(F.col("edge_id").alias("id"), F.when(geo.length(F.col("x")) <= geo.length(F.col("y")), F.col("x")).otherwise(F.col("y")).alias("new_line"))
+
+
+def around_footprints(edges: DataFrame, footprints: DataFrame, least_m: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Edges(id, line) that run more than ``least_m`` through footprints led along their borders, 0.3 m
+    outside and the shorter way. Footprints without room between them are passed as one block; blocks that an edge
+    runs through are passed one after the other. Those whose end lies inside, or that no such way clears, stay as they were and are
+    returned as ``id, reason`` for the allow-list."""
+    rings = write_and_reread(blocks_of(footprints), "footprint-blocks")
+    own = footprints.select("footprint_id", F.col("ring").alias("own"))
+
+    def pierced(lines: DataFrame) -> DataFrame:
+        met = box_join(lines.select(F.col("id").alias("edge_id"), "line"), own, geo.bounds(F.col("line")), geo.bounds(F.col("own")))
+        return met.filter(geo.length_inside(F.col("line"), F.col("own")) > least_m).select("edge_id", "line", "footprint_id")
+
+    known = write_and_reread(edges.select("id", "line").join(pierced(edges).select(F.col("edge_id").alias("id")).distinct(), "id"), "led")
+    lines = known
+    for _ in range(LED_TIMES):
+        met = pierced(lines).join(rings, "footprint_id").groupBy("edge_id").agg(F.first("line").alias("line"), F.min_by("ring", "block").alias("ring"))
+        led = write_and_reread(_led(met), "led-ways")
+        if led.isEmpty():
+            break
+        lines = write_and_reread(lines.join(led, "id", "left").select("id", F.coalesce("new_line", "line").alias("line")), "led")
+    stuck = cut_lineage(pierced(lines).select(F.col("edge_id").alias("id")).distinct())
+    cleared = lines.join(stuck, "id", "left_anti").select("id", F.col("line").alias("new_line"))
+    out = edges.join(cleared, "id", "left").withColumn("line", F.coalesce("new_line", "line")).drop("new_line")
+    return out, stuck.withColumn("reason", F.lit("runs into the footprint"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from pathweave.functions import geo
 from pathweave.operators.components import connected_components
-from pathweave.operators.spatial import close_pairs
+from pathweave.operators.spatial import close_pairs, spans
 from pathweave.session import cut_lineage
 
 WING_M = 150.0
@@ -59,15 +59,13 @@ def records(points: DataFrame, metres: float = WING_M) -> DataFrame:
     ``bldg:CODE#2``. Ties go to the row that comes first. The largest member is the primary.
     """
     d = clusters(points.withColumn("gsf0", F.coalesce(F.col("gsf").cast("double"), F.lit(0.0))), metres)
-    spans = d.select(F.col("cluster"), F.col("position").alias("p"), F.col("id").alias("i")).alias("l").join(d.select("cluster", F.col("position").alias("q"), F.col("id").alias("j")).alias("r"), "cluster").filter("i < j")
-    spans = spans.groupBy("cluster").agg(F.max(geo.haversine(F.col("p"), F.col("q"))).alias("span"))
     per = d.groupBy("code", "cluster").agg(F.count("*").alias("member_count"), F.sum("gsf0").alias("summed_gsf"), F.max("gsf0").alias("primary_gsf"))
     per = per.withColumn("ordinal", F.row_number().over(W.partitionBy("code").orderBy(F.desc("summed_gsf"), "cluster")) - 1)
     count = F.count("*").over(W.partitionBy("code"))
     members = F.sum("member_count").over(W.partitionBy("code"))
     per = per.withColumn("resolution", F.when(members == 1, "single").when(count > 1, "separate").otherwise("wings"))
     per = per.withColumn("record_id", F.concat(F.lit("bldg:"), "code", F.when(F.col("ordinal") > 0, F.concat(F.lit("#"), (F.col("ordinal") + 1).cast("string"))).otherwise("")))
-    per = per.join(spans, "cluster", "left").withColumn("max_span_m", F.round(F.coalesce("span", F.lit(0.0)), 1)).drop("span", "code")
+    per = per.join(spans(d, "cluster"), "cluster", "left").withColumn("max_span_m", F.round(F.coalesce("span", F.lit(0.0)), 1)).drop("span", "code")
     first = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("gsf0"), "id")) == 1
     return d.join(per, "cluster").withColumn("is_primary", first).drop("gsf0")
 
@@ -142,3 +140,19 @@ def shape_errors(shapes: DataFrame, lon: tuple[float, float], lat: tuple[float,
         )
     )
     return shapes.select("ordinal", F.explode(faults).alias("fault"))
+
+
+class ShapeFaults(ValueError):
+    """An ingest was stopped."""
+
+
+def checked_shapes(shapes: DataFrame, lon: tuple[float, float], lat: tuple[float, float], shown: int = 20) -> DataFrame:
+    """``shapes`` if they have no fault and there are any; else the ingest stops with the number of faults and the first ``shown``."""
+    if shapes.isEmpty():
+        raise ShapeFaults("no shapes")
+    faults = cut_lineage(shape_errors(shapes, lon, lat))
+    n = faults.count()
+    if n:
+        first = [f"shape {r['ordinal']}: {r['fault']}" for r in faults.orderBy("ordinal", "fault").limit(shown).collect()]
+        raise ShapeFaults(f"{n} faults: " + "; ".join(first))
+    return shapes

@@ -59,6 +59,26 @@ def ratchet(limit: float, value: float) -> float:
     return min(limit, ceil(round(value * 100, 9)) / 100)
 
 
+def build_metrics(build_hash: str, values: dict[str, DataFrame]) -> DataFrame:
+    """``build_hash, metric, value, gate, passed`` of one build: a row for each metric of ``values``, tables with
+    ``value`` and, where a gate judges the metric, ``gate, passed``. A row per build and metric is a point of its series."""
+    out = None
+    for name, d in values.items():
+        have = {c: F.col(c) for c in d.columns}
+        one = d.select(F.lit(build_hash).alias("build_hash"), F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"), have.get("gate", F.lit(None)).cast("string").alias("gate"), have.get("passed", F.lit(None)).cast("boolean").alias("passed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def metric_changes(series: DataFrame, builds: DataFrame) -> DataFrame:
+    """``metric, build_hash, value, before, change, passed, lost`` of ``series`` by the order of ``builds(build_hash, generated_utc)``:
+    each value beside that of the build before, and whether a gate that had passed fails now."""
+    w = W.partitionBy("metric").orderBy("generated_utc", "build_hash")
+    d = series.join(builds.select("build_hash", "generated_utc"), "build_hash")
+    d = d.withColumns({"before": F.lag("value").over(w), "had": F.lag("passed").over(w)})
+    return d.select("metric", "build_hash", "generated_utc", "value", "before", (F.col("value") - F.col("before")).alias("change"), "passed", (F.coalesce("had", F.lit(False)) & ~F.coalesce("passed", F.lit(True))).alias("lost"))
+
+
 def graph_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SHA-256 over the ordered node ids and ``id|from|to|length`` of the ordered edges. The digests of
     ranges are taken first, so no task holds the whole graph as text; it is not the digest of the whole

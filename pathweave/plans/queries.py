@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from pathweave import schema
 from pathweave.functions import cost, geo, json_schema
-from pathweave.operators import build, cells, gates, kept, legs, overlays, register, report, route, shortest, spatial
+from pathweave.operators import build, cells, gates, kept, legs, overlays, register, report, route, shapes, shortest, spatial
 from pathweave.operators.components import connected_components
 from pathweave.operators import ways as ways_
 from pathweave.plans import projection as p
@@ -96,7 +96,18 @@ def dedup_code_records(spark, d):
     c = p.table(spark, d, "customer")
     points = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("C"), (F.col("c_custkey") % 97).cast("string")).alias("code"), F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal")).otherwise(0).alias("gsf"), p.place(F.col("c_custkey")).alias("position"))
     r = register.records(points).filter("is_primary")
-    return r.select("record_id", "cluster", "member_count", "summed_gsf", "primary_gsf", "resolution")
+    return r.select("record_id", "cluster", "member_count", "summed_gsf", "primary_gsf", "resolution", "max_span_m")
+
+
+@query
+def metric_changes(spark, d):
+    """The series of a metric over builds, one a day: orders per priority and their prices."""
+    o = p.table(spark, d, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    builds = o.select(day.alias("build_hash"), F.col("o_orderdate").cast("timestamp").alias("generated_utc")).distinct()
+    series = o.groupBy(day.alias("build_hash"), F.col("o_orderpriority").alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    series = series.select("build_hash", "metric", "value", F.lit("M").alias("gate"), (F.col("value") >= 2).alias("passed"))
+    return report.metric_changes(series, builds).select("metric", "build_hash", "value", "before", "change", "lost")
 
 
 @query
@@ -263,6 +274,18 @@ def isochrone_300m(spark, d):
     return near.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("nodes"), F.round(F.max("cost"), 2).alias("farthest_m"))
 
 
+@query
+def isochrone_hulls(spark, d):
+    """The concave hulls of what lies within 150 m of each building: their rings' area and border, in cells."""
+    seeds = p.buildings(spark, d).select(F.col("id").alias("source"), F.explode("doors").alias("node"))
+    near = shortest.isochrone(_plain_arcs(spark, d), seeds, 150.0)
+    found = shapes.concave_hulls(near.select("source", p.place(F.col("node")).alias("p")))
+    high = shapes.ALPHA_M / geo.DEGREE_M
+    wide = F.lit(high) / F.cos(F.radians(F.lit(33.5)))
+    border = geo.total(geo.pairs(F.col("ring"), lambda a, b: F.abs(b["lon"] - a["lon"]) / wide + F.abs(b["lat"] - a["lat"]) / high))
+    return found.groupBy(F.col("source").alias("id")).agg(F.round(F.sum("area_m2"), 1).alias("area_m2"), F.round(F.sum(border)).cast("long").alias("sides"))
+
+
 def _asked(spark, d):
     return cut_lineage(route.request_status(p.requests(spark, d), p.buildings(spark, d)))
 
@@ -489,6 +512,24 @@ def overlay_files(spark, d):
     return out.select("file", "changed", "repinned", "skipped", get("$.id").alias("overlay_id"), F.coalesce(plain, get("$.ref.primary")).alias("ref"), get("$.ref.fallback").alias("fallback"))
 
 
+@query
+def around_blocks(spark, d):
+    """Edges through two houses wall to wall, and then through one that stands apart."""
+    k = F.col("p_partkey")
+    lon, lat = F.lit(-111.95) + (k % 40) * 0.002, F.lit(33.40) + F.floor(k / 40) * 0.002
+    half = F.lit(0.00005) + F.col("p_size") * 0.000001
+    at = lambda x, y: geo.point(lon + half * x, lat + half * y)
+    box = lambda x: F.array(at(x - 1, -1), at(x + 1, -1), at(x + 1, 1), at(x - 1, 1), at(x - 1, -1))
+    part = p.table(spark, d, "part").select("p_partkey", "p_size")
+    houses = part.select(F.posexplode(F.array(box(0), box(2), box(6))).alias("i", "ring"), k).select((k * 3 + F.col("i")).alias("footprint_id"), "ring")
+    up = (k % 5) / 10.0 - 0.2
+    e = part.select(k.alias("id"), F.when(k % 7 == 0, F.array(at(0.2, up), at(9, up))).otherwise(F.array(at(-2, up), at(9, up))).alias("line"))
+    led, left = build.around_footprints(e, houses)
+    still = spatial.piercing(led, houses).groupBy("edge_id").agg(F.count("*").alias("n"))
+    d = led.join(still, led["id"] == still["edge_id"], "left").join(left, "id", "left")
+    return d.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("pierced"), (F.size("line") > 2).alias("led"), "reason")
+
+
 @query
 def check_constraints(spark, d):
     c = p.table(spark, d, "customer")

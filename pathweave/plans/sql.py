@@ -141,8 +141,13 @@ WITH RECURSIVE p AS (SELECT c_custkey AS id, 'C' || (c_custkey % 97) AS code, {l
 ca AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.code = b.code AND a.id <> b.id AND {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 150),
 t(k, c) USING KEY (k) AS (SELECT id, id FROM p UNION ALL SELECT a.v, min(t.c) FROM t JOIN ca a ON a.u = t.k JOIN recurring.t q ON q.k = a.v WHERE t.c < q.c GROUP BY a.v),
 g AS (SELECT code, c AS cluster, count(*)::bigint AS member_count, sum(gsf)::double AS summed_gsf, max(gsf)::double AS primary_gsf FROM t JOIN p ON p.id = t.k GROUP BY 1, 2),
-o AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY summed_gsf DESC, cluster) - 1 AS ord, count(*) OVER (PARTITION BY code) AS nc, sum(member_count) OVER (PARTITION BY code) AS nm FROM g)
-SELECT 'bldg:' || code || CASE WHEN ord > 0 THEN '#' || (ord + 1) ELSE '' END AS record_id, cluster, member_count, summed_gsf, primary_gsf, CASE WHEN nm = 1 THEN 'single' WHEN nc > 1 THEN 'separate' ELSE 'wings' END AS resolution FROM o""",
+o AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY summed_gsf DESC, cluster) - 1 AS ord, count(*) OVER (PARTITION BY code) AS nc, sum(member_count) OVER (PARTITION BY code) AS nm FROM g),
+far AS (SELECT s.c AS cluster, round(max({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}), 1) AS max_span_m FROM t s JOIN t z ON s.c = z.c JOIN p a ON a.id = s.k JOIN p b ON b.id = z.k GROUP BY 1)
+SELECT 'bldg:' || code || CASE WHEN ord > 0 THEN '#' || (ord + 1) ELSE '' END AS record_id, cluster, member_count, summed_gsf, primary_gsf, CASE WHEN nm = 1 THEN 'single' WHEN nc > 1 THEN 'separate' ELSE 'wings' END AS resolution, max_span_m FROM o JOIN far USING (cluster)""",
+    "metric_changes": """
+WITH s AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS build_hash, o_orderpriority AS metric, count(*)::double AS value FROM orders GROUP BY 1, 2),
+l AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY build_hash) AS before FROM s)
+SELECT metric, build_hash, value, before, value - before AS change, coalesce(before >= 2 AND value < 2, false) AS lost FROM l""",
     "footprint_coverage": f"""
 WITH {COUNTS}, {FOOTPRINT}, b AS (SELECT 'S' || (s_suppkey % 70) AS code, greatest(0, floor(s_acctbal) * 12)::bigint AS gsf FROM supplier), c AS (SELECT DISTINCT code FROM fp WHERE p_size > 10),
 d AS (SELECT b.*, c.code IS NOT NULL AS has FROM b LEFT JOIN c USING (code))
@@ -212,6 +217,10 @@ WITH RECURSIVE {EDGE}, {BUILDING}, arcs AS MATERIALIZED (SELECT u, v, m FROM e U
 SELECT b AS id, count(*)::bigint AS nodes, round(max(d), 2) AS farthest_m FROM t WHERE d <= 300 GROUP BY 1""",
     "od_route_cost_default": od(arcs()),
     "od_route_by_cells": od(arcs()),
+    "isochrone_hulls": f"""
+WITH RECURSIVE {EDGE}, {BUILDING}, arcs AS MATERIALIZED (SELECT u, v, m FROM e UNION ALL SELECT v, u, m FROM e), {searches()},
+h AS (SELECT 60.0 / ({R} * pi() / 180) AS high), c AS (SELECT DISTINCT b, floor({lon('k')} / (high / cos(radians(33.5))))::bigint AS x, floor({lat('k')} / high)::bigint AS y FROM t, h WHERE d <= 150)
+SELECT b AS id, round(count(*) * 3600.0, 1)::double AS area_m2, sum(4 - (SELECT count(*) FROM c o WHERE o.b = c.b AND abs(o.x - c.x) + abs(o.y - c.y) = 1))::bigint AS sides FROM c GROUP BY 1""",
     "kept_routes": f"SELECT request, cost, request % 2 = 0 AS kept FROM ({od(arcs())})",
     "schema_faults_s1": """
 WITH c AS (SELECT c_custkey AS k, c_nationkey AS file, c_acctbal::decimal(12,2) AS b, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer),
@@ -269,6 +278,8 @@ f AS (SELECT file, bool_or(good) AS changed, count(*) FILTER (good)::int AS repi
 e AS (SELECT s.file, 's' || s.k AS overlay_id, CASE WHEN w.good THEN 'node:' || s.k WHEN m = 0 THEN g WHEN m = 1 THEN 'osm:way/9' WHEN m = 2 THEN 'node:old' END AS ref,
   CASE WHEN m IN (2, 3) THEN g END AS fallback FROM s LEFT JOIN w ON w.id = 's' || s.k)
 SELECT file, changed, repinned, skipped, overlay_id, ref, fallback FROM f LEFT JOIN e USING (file)""",
+    "around_blocks": """
+SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 3 ELSE 0 END::bigint AS pierced, p_partkey % 7 <> 0 AS led, CASE WHEN p_partkey % 7 = 0 THEN 'runs into the footprint' END AS reason FROM part""",
     "check_constraints": """
 SELECT c_custkey::varchar AS entity, m AS measurement FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_acctbal <= 0 OR c_acctbal >= 2000 THEN 'length' END, CASE WHEN c_custkey % 90 = 4 THEN 'order' END], lambda x: x IS NOT NULL)) AS m FROM customer)""",
     "reference_integrity": f"""
