@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from math import ceil, log
+from collections.abc import Sequence
+from math import ceil, floor, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +44,35 @@ def detours(samples: DataFrame) -> DataFrame:
     return samples.withColumn("detour_ratio", F.try_divide("graph_m", "straight_m")).withColumn("failure", F.when(F.col("graph_m").isNull(), "disconnected"))
 
 
+def quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """The interpolated quantiles of a column, as one has them of all its values in order; None if there are none.
+
+    Values are counted and dealt by ranges, and the two neighbours of each rank are looked for in the range that
+    holds them, so no task sees more than a range of different values.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    counted = cut_lineage(counted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
+    ranges = counted.groupBy("part").agg(F.sum("c").alias("c"))  # a row per range
+    ranges = ranges.withColumn("before", F.sum("c").over(W.orderBy("part")) - F.col("c"))
+    n = counted.agg(F.sum("c")).first()[0]
+    if not n:
+        return [None] * len(shares)
+    places = [q * (n - 1) for q in shares]
+    ranks = sorted({r for h in places for r in (floor(h), ceil(h))})
+    wanted = ranges.withColumn("rank", F.explode(F.array(*[F.lit(r).cast("long") for r in ranks])))
+    wanted = wanted.filter("before <= rank and rank < before + c").select("part", "rank", (F.col("rank") - F.col("before")).alias("left"))
+    up_to = F.sum("c").over(W.partitionBy("rank").orderBy("v"))
+    found = counted.join(F.broadcast(wanted), "part").withColumn("up_to", up_to).filter("up_to > left").groupBy("rank").agg(F.min("v").alias("v"))
+    value = {r["rank"]: r["v"] for r in found.collect()}
+    return [value[floor(h)] + (value[ceil(h)] - value[floor(h)]) * (h - floor(h)) for h in places]
+
+
 def quality(samples: DataFrame) -> DataFrame:
     """``gate, value, most, ok`` over the ratios of ``detours``; percentiles are interpolated."""
-    p = lambda q: F.coalesce(F.percentile("detour_ratio", F.lit(q)), F.lit(0.0))
-    one = samples.agg(p(0.5).alias("R1"), p(0.9).alias("R2"), F.coalesce(F.max("detour_ratio"), F.lit(0.0)).alias("R3"), F.count_if(F.col("failure").isNotNull()).cast("double").alias("R4"))
+    samples = cut_lineage(samples.select("detour_ratio", "failure"))
+    r1, r2 = quantiles(samples, "detour_ratio", (0.5, 0.9))
+    one = samples.agg(F.coalesce(F.lit(r1), F.lit(0.0)).alias("R1"), F.coalesce(F.lit(r2), F.lit(0.0)).alias("R2"), F.coalesce(F.max("detour_ratio"), F.lit(0.0)).alias("R3"), F.count_if(F.col("failure").isNotNull()).cast("double").alias("R4"))
     limits = {"R1": 1.30, "R2": 1.45, "R3": 3.00, "R4": 0.0}
     rows = F.array(*[F.struct(F.lit(g).alias("gate"), F.round(g, 3).alias("value"), F.lit(most).alias("most")) for g, most in limits.items()])
     return one.select(F.explode(rows).alias("x")).select("x.*", (F.col("x.value") <= F.col("x.most")).alias("ok"))

@@ -23,6 +23,16 @@ def test_spans_equal_all_pairs(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
 
 
+@pytest.mark.parametrize("n", (0, 1, 2, 10, 3001))
+def test_quantiles_are_those_of_all_values(spark, n):
+    rng = random.Random(n)
+    values = [rng.choice((rng.random(), 0.5, 2.0)) for _ in range(n)]
+    shares = (0.0, 0.1, 0.5, 0.9, 0.999, 1.0)
+    d = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+    want = d.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0] or [None] * len(shares)
+    assert report.quantiles(d, "v", shares) == [w if w is None else pytest.approx(w, abs=1e-12) for w in want]
+
+
 def test_an_ingest_stops_on_faults(spark):
     ring = [{"lon": float(x), "lat": float(y)} for x, y in ((0, 0), (1, 0), (1, 1), (0, 0))]
     kind = f"ordinal int, geometry_type string, code string, ring array<{geo.POINT}>"
