@@ -45,7 +45,7 @@ from pathweave.session import cut_lineage, write_and_reread
 
 RUN = 16_384  # tokens of an event row
 BATCH = 262_144  # tokens that the machine works on at a time
-CACHE = 150_000  # pieces whose tokens are known, in each of two generations
+CACHE = 300_000  # pieces whose tokens are known, in each of two generations
 TEXTS = 256  # texts that are looked up together
 PARTIAL = 1_000_000  # different pairs that a task sums up before it hands them on
 PAIRS = 2_000_000

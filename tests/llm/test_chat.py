@@ -85,7 +85,7 @@ def best(rows, branches):
     return [(min(x[0] for x in p), [x[2:4] for x in p]) for t in trees.values() for _, p in sorted(t, key=lambda x: x[0])[:branches]]
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from((1, 2, None)))
 def test_trees_ranked_by_score(spark, seed, branches):
     rng = random.Random(seed)
