@@ -18,3 +18,9 @@ def test_parallel_edges_between_far_places(spark, tmp_path):
     d = put(spark, tmp_path, lineitem=(rows, "l_suppkey long, l_partkey long, l_quantity double"))
     found = QUERIES["parallel_edge_ord"](spark, d).collect()
     assert len(found) == len(rows) and all(r.ord == r.q - 1 for r in found)
+
+
+def test_shapes_beyond_the_first_rows_stay_in_bounds(spark, tmp_path):
+    d = put(spark, tmp_path, customer=([(i,) for i in range(90_000)], "c_custkey long"), part=([(i, "bolt", 1 + i % 50) for i in range(0, 90_000, 1000)], "p_partkey long, p_type string, p_size int"))
+    found = {r.fault: r.ordinals for r in QUERIES["shape_faults"](spark, d).collect()}
+    assert found["vertex out of bounds"] == sum(i for i in range(0, 90_000, 1000) if i % 13 and i % 17 and i % 19 == 0)
