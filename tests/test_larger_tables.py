@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from pathweave.operators import components, spatial
 from pathweave.plans.queries import QUERIES
 
 
@@ -24,3 +27,17 @@ def test_shapes_beyond_the_first_rows_stay_in_bounds(spark, tmp_path):
     d = put(spark, tmp_path, customer=([(i,) for i in range(90_000)], "c_custkey long"), part=([(i, "bolt", 1 + i % 50) for i in range(0, 90_000, 1000)], "p_partkey long, p_type string, p_size int"))
     found = {r.fault: r.ordinals for r in QUERIES["shape_faults"](spark, d).collect()}
     assert found["vertex out of bounds"] == sum(i for i in range(0, 90_000, 1000) if i % 13 and i % 17 and i % 19 == 0)
+
+
+def test_component_rounds_keep_estimated_sizes(spark, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    found = components.connected_components(spark.range(600).selectExpr("id as src", "id + 1 as dst"))
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 64
+    assert found.count() == 601 and found.filter("component <> 0").isEmpty()
+
+
+def test_joins_by_place_never_broadcast_by_estimate(spark):
+    lines = spark.range(50).selectExpr("id as left_id", "named_struct('lon', id / 1e4, 'lat', 0D) as p")
+    other = lines.selectExpr("left_id as right_id", "p as q")
+    met = spatial.box_join(lines, other, spatial.point_box(F.col("p")), spatial.point_box(F.col("q")))
+    assert met.count() == 50 and "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
