@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from pathweave.functions import geo
 from pathweave.operators.components import connected_components
-from pathweave.operators.spatial import box_join, close_pairs, crossings, degrees_for, hull, nearest_edge, point_box
+from pathweave.operators.spatial import box_join, close_pairs, convex, crossings, degrees_for, nearest_edge, point_box
 from pathweave.operators.ways import same_grade
 from pathweave.session import cut_lineage, write_and_reread
 
@@ -308,6 +308,12 @@ def shade(edges: DataFrame, tree_rows: DataFrame, footprints: DataFrame) -> Data
 OUTSIDE_M, LED_TIMES = 0.3, 12
 
 
+def spread(d: DataFrame, key: str) -> DataFrame:
+    """``d`` by ``key`` in as many tasks as are asked for: rows are small beside the work on them, and by their size Spark
+    would leave them to a few."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def blocks_of(footprints: DataFrame, apart_m: float = 2 * OUTSIDE_M) -> DataFrame:
     """``footprint_id, block, ring``: footprints that leave no room to pass between them are a block, whose ring is their
     convex hull; one by itself has its own ring."""
@@ -316,17 +322,22 @@ def blocks_of(footprints: DataFrame, apart_m: float = 2 * OUTSIDE_M) -> DataFram
     left, right = f.select(F.col("n").alias("a"), F.col("ring").alias("ra")), f.select(F.col("n").alias("b"), F.col("ring").alias("rb"))
     near = box_join(left, right, geo.bounds(F.col("ra")), geo.bounds(F.col("rb")), degrees_for(apart_m)).filter("a < b")
     close = lambda r, s: F.exists(r, lambda p: geo.inside(p, s) | (geo.distance_to_line(p, s) <= apart_m))
-    cross = F.exists(geo.pairs(F.col("ra"), lambda p, q: F.exists(geo.pairs(F.col("rb"), lambda x, y: geo.intersection(p, q, x, y).isNotNull()), lambda z: z)), lambda z: z)
-    near = near.filter(close(F.col("ra"), F.col("rb")) | close(F.col("rb"), F.col("ra")) | cross)
+    cross = F.exists(geo.pairs(F.col("ra"), lambda p, q: F.exists(geo.pairs(F.col("rb"), lambda x, y: geo.intersection(p, q, x, y, geo.once).isNotNull()), lambda z: z)), lambda z: z)
+    # exploded before it is filtered, as a filter alone would be worked out within the join
+    touch = F.explode(F.array(close(F.col("ra"), F.col("rb")) | close(F.col("rb"), F.col("ra")) | cross))
+    near = near.select("a", "b", touch.alias("touch")).filter("touch")
     placed = f.join(connected_components(near, "a", "b").withColumnRenamed("node", "n"), "n", "left").withColumn("block", F.coalesce("component", "n"))
     placed = cut_lineage(placed.select("footprint_id", "n", "block", "ring"))
     many = placed.groupBy("block").count().filter("count > 1").select("block")
     corners = placed.join(many, "block").select("block", F.explode("ring").alias("p")).select("block", "p.lon", "p.lat").distinct()
+    corners = spread(corners, "block").groupBy("block").agg(F.collect_list("lon").alias("lon"), F.collect_list("lat").alias("lat"))
 
-    def around(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "ring": [[{"lon": x, "lat": y} for x, y in hull(rows)]]})
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rings = [convex(zip(x.tolist(), y.tolist(), strict=True)) for x, y in zip(batch["lon"], batch["lat"], strict=True)]
+            yield pd.DataFrame({"block": batch["block"], "ring": [[{"lon": x, "lat": y} for x, y in ring] for ring in rings]})
 
-    hulls = corners.groupBy("block").applyInPandas(around, f"block long, ring array<{geo.POINT}>")
+    hulls = corners.mapInPandas(around, f"block long, ring array<{geo.POINT}>")
     single = placed.join(many, "block", "left_anti").select("footprint_id", "block", "ring")
     return single.unionByName(placed.select("footprint_id", "block").join(hulls, "block").select("footprint_id", "block", "ring"))
 
@@ -336,19 +347,22 @@ def _led(met: DataFrame) -> DataFrame:
     bad_end = geo.inside(F.col("line")[0], F.col("ring")) | geo.inside(F.element_at("line", -1), F.col("ring"))
     fix = met.filter(~bad_end).withColumn("ring", geo.widened(F.col("ring"), OUTSIDE_M))
     ring_n = F.size("ring") - 1
-    place = lambda p: F.array_min(F.zip_with(geo.pairs(F.col("ring"), lambda a, b: F.struct(geo.project(p, a, b).alias("x"))), F.sequence(F.lit(0), ring_n - 1), lambda s, i: F.struct(s["x"]["dist_m"].alias("d"), i.alias("k"))))["k"]
-    hits = F.flatten(F.zip_with(geo.pairs(F.col("line"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.sequence(F.lit(0), F.size("line") - 2), lambda s, i: F.transform(F.filter(geo.pairs(F.col("ring"), lambda c, d: geo.intersection(s["a"], s["b"], c, d)), lambda x: x.isNotNull()), lambda x: F.struct(i.alias("seq"), x["t"].alias("t"), x["point"].alias("p")))))
-    # written out between, as each step uses the one before many times over
-    fix = write_and_reread(fix.withColumn("hits", F.array_sort(hits)).filter(F.size("hits") >= 2), "led-hits")
+    place = lambda p: F.array_min(F.zip_with(geo.pairs(F.col("ring"), lambda a, b: geo.project(p, a, b, geo.once)["dist_m"]), F.sequence(F.lit(0), ring_n - 1), lambda m, i: F.struct(m.alias("d"), i.alias("k"))))["k"]
+    parts = F.zip_with(geo.pairs(F.col("line"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.sequence(F.lit(0), F.size("line") - 2), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), i.alias("seq")))
+    hits = F.flatten(F.transform(parts, lambda s: F.transform(geo.meetings(s["a"], s["b"], F.col("ring")), lambda x: F.struct(s["seq"].alias("seq"), x["t"].alias("t"), x["point"].alias("p")))))
+    # exploded before they are filtered, as a filter alone would be worked out below, from hits of its own
+    fix = fix.select("edge_id", "line", "ring", F.explode(F.array(F.array_sort(hits))).alias("hits")).filter(F.size("hits") >= 2)
     fix = fix.withColumns({"h0": F.col("hits")[0], "h1": F.element_at("hits", -1)})
-    fix = write_and_reread(fix.withColumns({"k0": place(F.col("h0.p")), "k1": place(F.col("h1.p"))}).drop("hits"), "led-places")
+    fix = fix.select("edge_id", "line", "ring", "h0", "h1", F.explode(F.array(F.struct(place(F.col("h0.p")).alias("k0"), place(F.col("h1.p")).alias("k1")))).alias("k"))
+    fix = fix.select("edge_id", "line", "ring", "h0", "h1", "k.k0", "k.k1")
     steps = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     on = F.transform(steps(F.pmod(F.col("k1") - F.col("k0") + ring_n, ring_n).cast("int")), lambda s: F.col("ring")[((F.col("k0") + s) % ring_n).cast("int")])
     back = F.transform(steps(F.pmod(F.col("k0") - F.col("k1") + ring_n, ring_n).cast("int")), lambda s: F.col("ring")[F.pmod(F.col("k0") - s + 1, ring_n).cast("int")])
     head = F.slice("line", F.lit(1), F.col("h0.seq") + 1)
     tail = F.slice("line", F.col("h1.seq") + 2, F.size("line"))
     way = lambda mid: F.concat(head, F.array("h0.p"), mid, F.array("h1.p"), tail)
-    return fix.withColumns({"x": way(on), "y": way(back)}).select(F.col("edge_id").alias("id"), F.when(geo.length(F.col("x")) <= geo.length(F.col("y")), F.col("x")).otherwise(F.col("y")).alias("new_line"))
+    both = fix.select(F.col("edge_id").alias("id"), F.explode(F.array(F.struct(way(on).alias("x"), way(back).alias("y")))).alias("w")).select("id", "w.x", "w.y")
+    return both.select("id", F.when(geo.length(F.col("x")) <= geo.length(F.col("y")), F.col("x")).otherwise(F.col("y")).alias("new_line"))
 
 
 def around_footprints(edges: DataFrame, footprints: DataFrame, least_m: float = 2.0) -> tuple[DataFrame, DataFrame]:
@@ -361,17 +375,28 @@ def around_footprints(edges: DataFrame, footprints: DataFrame, least_m: float =
 
     def pierced(lines: DataFrame) -> DataFrame:
         met = box_join(lines.select(F.col("id").alias("edge_id"), "line"), own, geo.bounds(F.col("line")), geo.bounds(F.col("own")))
-        return met.filter(geo.length_inside(F.col("line"), F.col("own")) > least_m).select("edge_id", "line", "footprint_id")
-
-    known = write_and_reread(edges.select("id", "line").join(pierced(edges).select(F.col("edge_id").alias("id")).distinct(), "id"), "led")
-    lines = known
-    for _ in range(LED_TIMES):
-        met = pierced(lines).join(rings, "footprint_id").groupBy("edge_id").agg(F.first("line").alias("line"), F.min_by("ring", "block").alias("ring"))
-        led = write_and_reread(_led(met), "led-ways")
+        # exploded before it is filtered, as a filter alone would be worked out within the join
+        inside = F.explode(F.array(geo.length_inside(F.col("line"), F.col("own"))))
+        return met.select("edge_id", "line", "footprint_id", inside.alias("m")).filter(F.col("m") > least_m)
+
+    # a line that wasn't led a last time keeps what it runs through, so a round has to look at the led ones only
+    lines = edges.select("id", "line").filter("id is not null")
+    cleared = stuck = None
+    for times in range(LED_TIMES + 1):
+        met = spread(pierced(lines).join(rings, "footprint_id"), "edge_id").groupBy("edge_id").agg(F.first("line").alias("line"), F.min_by("ring", "block").alias("ring"))
+        met = write_and_reread(met, "led-met")
+        found = met.select(F.col("edge_id").alias("id"))
+        if times:
+            clear = lines.select("id", F.col("line").alias("new_line")).join(found, "id", "left_anti")
+            cleared = clear if cleared is None else cleared.unionByName(clear)
+        led = write_and_reread(_led(met) if times < LED_TIMES else _led(met.limit(0)), "led-ways")
+        left = found.join(led, "id", "left_anti")
+        stuck = left if stuck is None else stuck.unionByName(left)
         if led.isEmpty():
             break
-        lines = write_and_reread(lines.join(led, "id", "left").select("id", F.coalesce("new_line", "line").alias("line")), "led")
-    stuck = cut_lineage(pierced(lines).select(F.col("edge_id").alias("id")).distinct())
-    cleared = lines.join(stuck, "id", "left_anti").select("id", F.col("line").alias("new_line"))
-    out = edges.join(cleared, "id", "left").withColumn("line", F.coalesce("new_line", "line")).drop("new_line")
+        lines = led.withColumnRenamed("new_line", "line")
+    stuck = cut_lineage(stuck)
+    out = edges
+    if cleared is not None:
+        out = edges.join(write_and_reread(cleared, "led"), "id", "left").withColumn("line", F.coalesce("new_line", "line")).drop("new_line")
     return out, stuck.withColumn("reason", F.lit("runs into the footprint"))
