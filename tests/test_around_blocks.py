@@ -59,3 +59,10 @@ def test_lambdas_work_their_terms_out_once(spark):
     # uses of the ring in the plan: its sides are met once and each piece's middle is tested once
     text = d.select(inside.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("ring#") < 20
+
+
+def test_cells_are_compiled(spark):
+    d = spark.createDataFrame([(1, _line((0, 0), (30, 5))), (2, _line((20, -3), (400, 900)))], f"a long, la array<{geo.POINT}>")
+    met = spatial.box_join(d, d.select(F.col("a").alias("b"), F.col("la").alias("lb")), geo.bounds(F.col("la")), geo.bounds(F.col("lb")), 1e-6)
+    assert sorted((r.a, r.b) for r in met.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert "lambda" not in met._jdf.queryExecution().optimizedPlan().toString()
