@@ -24,12 +24,13 @@ and an empty result; only the named columns are read.
 
 from __future__ import annotations
 
-import array
 import os
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -44,11 +45,11 @@ from pathweave.llm import files
 from pathweave.llm.rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
 from pathweave.session import scratch_path, write_and_reread
 
-MAGIC = b"PWIDS\0\0\1"
+MAGIC = b"PWIDS\0\0\2"
 TAIL = struct.Struct("<QQQ")  # where the table begins, its compressed length, documents
 NO_ID = -(2**63)
 BASE = 300_000
-CHUNK = 4 << 20  # bytes of text that are split at once
+CHUNK = 8 << 20  # bytes of text that are split at once
 MARK = "\0"
 #: Letters that lower case maps one to one and normalisation leaves alone, then ASCII marks but the apostrophe.
 LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
@@ -82,37 +83,24 @@ class Pieces:
         self.folds = one == self.whole("ab")
         self.mark = int(np.frombuffer(self.whole(MARK), dtype="<u2")[0]) if self.apart else -1
         #: how the model spells letters; whether a lower-case word is one call of the model
-        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda c: [(c, None)]
-        self.spelt = {ord(c): "".join(part for part, _ in spell(c)) for c in LOWER}
-        probes = ["".join(LOWER), *("".join(LOWER[k : k + n]) for n in (1, 2, 5) for k in range(len(LOWER)))]
-        self.direct = self.apart and self.folds and all(self.word(p) == self.whole(p) for p in probes)
+        self.spelt: dict[int, str] = {}
+        self.direct = False
+        if self.apart and self.folds and self.tokenizer.pre_tokenizer:
+            self.spelt = {ord(c): "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in LOWER}
+            probes = ["".join(LOWER), *("".join(LOWER[k : k + n]) for n in (1, 2, 5) for k in range(len(LOWER)))]
+            self.learn_words(probes)
+            self.direct = all(self.base[p] == self.whole(p) for p in probes)
+            self.base = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def word(self, word: str) -> bytes:
-        """The ids of a word of ``LOWER`` letters, which normalisation and splitting leave alone."""
-        tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.spelt))
-        return np.array([t.id for t in tokens], dtype="<u2").tobytes()
-
-    def learn(self, words: list[str], others: list[str]) -> None:
-        """The ids of parts of pieces that aren't known yet: ``words`` by the model, ``others`` many as one text.
+    def learn(self, new: list[str]) -> None:
+        """The ids of other parts of pieces, many as one text.
 
         A character that none of these holds stands between them as a token of its own.
         """
         base = self.base
-        if len(base) > BASE:  # what has come up again stays
-            again = {p: base[p] for parts in (words, others) for p in parts if p in base}
-            base.clear()
-            base.update(again)
-            base[""] = b""
-        new = [w for w in words if w not in base]
-        if self.direct:
-            model, spelt, pack = self.tokenizer.model.tokenize, self.spelt, array.array
-            for w in new:
-                base[w] = pack("H", [t.id for t in model(w if w.isascii() else w.translate(spelt))]).tobytes()
-            new = []
-        new += [p for p in others if p not in base]
         for piece in [p for p in new if MARK in p]:
             base[piece] = self.whole(piece)
         plain = [p for p in new if MARK not in p]
@@ -127,11 +115,29 @@ class Pieces:
                 base[piece] = raw[2 * begin : 2 * end]
                 begin = end + 1
 
+    def learn_words(self, new: list[str]) -> None:
+        """The ids of words of ``LOWER`` letters, which normalisation and splitting leave alone."""
+        model, spelt = self.tokenizer.model.tokenize, self.spelt
+        for a in range(0, len(new), 2048):
+            some = new[a : a + 2048]
+            tokens = [model(w if w.isascii() else w.translate(spelt)) for w in some]
+            raw = np.array([t.id for own in tokens for t in own], dtype="<u2").tobytes()
+            ends = [2 * n for n in accumulate(map(len, tokens))]
+            self.base.update(zip(some, [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+
     def known(self, words: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all of ``words``, then of all ``others``, and how many each has."""
-        named = [a.to_numpy(zero_copy_only=False).tolist() for a in (words, others)]
-        self.learn(*named)
-        codes = [self.base[p] for parts in named for p in parts]
+        both = [a.to_numpy(zero_copy_only=False).tolist() for a in (words, others)]
+        parts = both[0] + both[1]
+        codes = list(map(self.base.get, parts))
+        unknown = [k for k, c in enumerate(codes) if c is None]
+        if len(self.base) + len(unknown) > BASE:  # what has come up again stays
+            self.base = {"": b""} | {p: c for p, c in zip(parts, codes, strict=True) if c is not None}
+        simple = bisect_left(unknown, len(both[0])) if self.direct else 0
+        self.learn_words([parts[k] for k in unknown[:simple]])
+        self.learn([parts[k] for k in unknown[simple:]])
+        for k in unknown:
+            codes[k] = self.base[parts[k]]
         return np.frombuffer(b"".join(codes), dtype="<u2"), np.fromiter(map(len, codes), np.int64, len(codes)) // 2
 
     def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
