@@ -1,4 +1,4 @@
-"""Token ids in binary files: documents by ascending id, ids coded by an adaptive range coder.
+"""Token ids in binary files: documents by ascending id, ids coded by a context-mixing range coder.
 
 Writing deals the documents out by ranges of their id, so that file k holds ids above those of
 file k - 1; each task encodes its documents with the tokenizers library and codes the ids in
@@ -13,9 +13,9 @@ gives each document's place in the whole sequence of ids.
 White space never belongs to a token of this kind of tokenizer (it splits there before its
 merges), so texts are split between blanks by Arrow, a chunk of them at a time, and the library
 sees each distinct piece that it has not seen lately. A word of plain letters, which normalisation
-and its splitting leave alone, goes to the library's model as it is. ``by_pieces=False`` gives it whole texts, and a
-tokenizer that isn't of this kind gets them whole as well. The strings of special tokens in a
-text become these tokens, as the library's plain call has it.
+and its splitting leave alone, goes to the library's model as it is. ``by_pieces=False`` gives
+it whole texts, and a tokenizer that isn't of this kind gets them whole as well. The strings of
+special tokens in a text become these tokens, as the library's plain call has it.
 
 Cases: null or empty text is the end id alone; documents with equal ids follow each other by
 text; a null document id comes first and is read back as null; an empty table gives no files
