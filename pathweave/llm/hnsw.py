@@ -39,6 +39,8 @@ LINKS = 10  # a node's neighbours on upper layers; twice as many on the lowest
 BUILD_WIDTH, SEARCH_WIDTH = 48, 192
 #: In larger shards a search is as wide as a share of the nodes, so that as many of the nearest are found.
 WIDTH_SHARE = 24
+#: Queries that walk a graph in step, and nodes that each opens in a step.
+TOGETHER, OPENED = 128, 16
 INDEX = "shard int, ids array<long>, least array<long>, vectors array<double>, levels array<int>, neighbours array<int>, entry int"
 
 
@@ -99,13 +101,13 @@ class Graph:
         """Of nodes, nearest first, those nearer to the new one than to any kept before; filled up by the nearest others."""
         nodes = np.array([n for _, n in found])
         between = 1.0 - self.x[nodes] @ self.x[nodes].T
-        kept: list[int] = []
+        kept, others, least = [], [], np.full(len(nodes), np.inf, np.float32)  # the distance to the nearest kept one
         for i, (d, _) in enumerate(found):
-            if len(kept) >= most:
-                break
-            if not kept or between[i, kept].min() > d:
+            if len(kept) < most and least[i] > d:
                 kept.append(i)
-        others = [i for i in range(len(found)) if i not in set(kept)]
+                np.minimum(least, between[i], out=least)
+            else:
+                others.append(i)
         return nodes[kept + others[: most - len(kept)]].tolist()
 
     def insert(self, node: int, top: int) -> None:
@@ -130,6 +132,52 @@ class Graph:
                 order = np.argsort(d, kind="stable")
                 own[:] = self.spread(list(zip(d[order].tolist(), around[order].tolist(), strict=True)), len(own))
 
+    def search_all(self, points: np.ndarray, width: int) -> np.ndarray:
+        """``search`` for many points in step: a row of the nodes found for each, nearest first, filled up with -1.
+
+        Each step opens the ``OPENED`` nearest unopened nodes of every point whose nearest ``width`` have any, so the
+        walk ends as ``walk`` does, when no node that may lead nearer is left."""
+        n = len(points)
+        if self.entry < 0:
+            return np.full((n, width), -1, dtype=np.int64)
+        lists = self.tables[0]
+        entries = np.full(n, self.entry)
+        for layer in range(len(self.tables) - 1, 0, -1):
+            entries = np.array([self.walk(q, [(float(1.0 - self.x[e] @ q), int(e))], 1, layer)[0][1] for q, e in zip(points, entries, strict=True)])
+        out = np.full((n, width), -1, dtype=np.int64)
+        for s in range(0, n, TOGETHER):
+            q, some = points[s : s + TOGETHER], entries[s : s + TOGETHER]
+            rows = np.arange(len(q))
+            nodes, far, shut = np.full((len(q), width), -1), np.full((len(q), width), np.inf, np.float32), np.ones((len(q), width), dtype=bool)
+            seen = np.zeros((len(q), len(self.x) + 1), dtype=bool)  # the last column is for places without a node
+            nodes[:, 0], far[:, 0], shut[:, 0] = some, 1.0 - (self.x[some] * q).sum(axis=1), False
+            seen[rows, some] = seen[:, -1] = True
+            while len(rows):
+                # rows are in order of distance, so the first unopened ones are the nearest
+                at = np.argsort(shut, axis=1, kind="stable")[:, :OPENED]
+                live = ~np.take_along_axis(shut, at, axis=1)
+                going = live.any(axis=1)
+                if not going.all():
+                    done = ~going
+                    out[s + rows[done]] = nodes[done]
+                    rows, q, nodes, far, shut, seen, at, live = (v[going] for v in (rows, q, nodes, far, shut, seen, at, live))
+                    if not len(rows):
+                        break
+                near = np.where(live[:, :, None], lists[np.take_along_axis(nodes, at, axis=1)], -1).reshape(len(rows), -1)
+                np.put_along_axis(shut, at, True, axis=1)
+                near.sort(axis=1)
+                near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+                lane = np.arange(len(rows))[:, None]
+                near[seen[lane, near]] = -1
+                seen[lane, near] = True
+                i, j = np.nonzero(near >= 0)
+                d = np.full(near.shape, np.inf, np.float32)
+                d[i, j] = 1.0 - np.einsum("nd,nd->n", self.x[near[i, j]], q[i])
+                nodes, far, shut = np.concatenate([nodes, near], axis=1), np.concatenate([far, d], axis=1), np.concatenate([shut, near < 0], axis=1)
+                order = np.argsort(far, axis=1, kind="stable")[:, :width]
+                nodes, far, shut = (np.take_along_axis(v, order, axis=1) for v in (nodes, far, shut))
+        return out
+
     def search(self, q: np.ndarray, width: int) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
@@ -160,6 +208,14 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float((a * b).sum() / (math.sqrt((a * a).sum()) * math.sqrt((b * b).sum())))
 
 
+def _candidates(p: np.ndarray, v: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
+    """Of nodes those that may be among the ``most`` nearest, by a cosine in double precision that is no farther than 1e-9 from ``cosine``."""
+    if len(nodes) <= most:
+        return nodes
+    close = units(v[nodes]) @ units(p[None])[0]
+    return nodes[close >= np.partition(close, -most)[-most] - 1e-9]
+
+
 def shards_for(n: int, dims: int) -> int:
     """The number of shards of ``n`` vectors."""
     most = max(SMALLEST, min(LARGEST, CELLS // dims))
@@ -193,8 +249,9 @@ def search(indexed: DataFrame, queries: DataFrame, n_shards: int, n_queries: int
                 g = Graph(units(v), np.asarray(row.levels), np.asarray(row.neighbours), int(row.entry))
                 points = np.asarray(row.points, dtype=np.float64).reshape(len(row.queries), -1)
                 out = []
-                for query, p, q in zip(row.queries, points, units(points).astype(np.float32), strict=True):
-                    near = [(-cosine(p, v[n]), least[n], ids[n]) for _, n in g.search(q, max(SEARCH_WIDTH, len(ids) // WIDTH_SHARE, found_per_shard))]
+                met = g.search_all(units(points).astype(np.float32), max(SEARCH_WIDTH, len(ids) // WIDTH_SHARE, found_per_shard))
+                for query, p, nodes in zip(row.queries, points, met, strict=True):
+                    near = [(-cosine(p, v[n]), least[n], ids[n]) for n in _candidates(p, v, nodes[nodes >= 0], found_per_shard)]
                     out += [(query, n, -d) for d, _, n in sorted(near)[:found_per_shard]]
                 yield pd.DataFrame(out, columns=["query", "rep", "score"])
 

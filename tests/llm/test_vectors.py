@@ -156,3 +156,25 @@ def test_scaling_changes_no_digit():
     v = np.random.default_rng(9).standard_normal((200, 24))
     plain = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
     assert (quantisation.units(v) == plain).all() and (quantisation.units(np.ldexp(v, 900)) == plain).all()
+
+
+def test_walks_in_step_find_what_single_walks_find(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.build(x, 23)
+    points = np.concatenate([x[:3], rng.normal(size=(150, 24))])
+    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+    one = [[n for _, n in graph.search(p, 200)] for p in points]
+    low, walk = [], hnsw.Graph.walk
+    monkeypatch.setattr(hnsw.Graph, "walk", lambda self, q, start, width, layer: (low.append(layer), walk(self, q, start, width, layer))[1])
+    many = graph.search_all(points, 200)
+    assert 0 not in low  # no point walks the lowest layer by itself
+    true = np.argsort(-(points @ x.T), axis=1)[:, :5]
+    share = lambda found: np.mean([len(set(f) & set(t)) for f, t in zip(found, true.tolist(), strict=True)]) / 5
+    assert share(many.tolist()) >= max(0.98, share(one) - 0.005)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(one, many.tolist(), strict=True)]) >= 0.97 * 200
+    assert all(len(set(m)) == len(m) for m in many.tolist()) and [m[0] for m in many[:3]] == [0, 1, 2]
+    few = hnsw.build(x[:7], 23).search_all(points, 200)
+    assert all(sorted(n for n in f if n >= 0) == list(range(7)) for f in few.tolist())
+    assert hnsw.Graph(np.zeros((0, 24)), np.zeros(0, np.int32)).search_all(points, 9).shape == (len(points), 9)
