@@ -222,6 +222,11 @@ def shards_for(n: int, dims: int) -> int:
     return max(1, math.ceil(n / min(most, max(SMALLEST, n // 8))))
 
 
+def _tasks(n_shards: int) -> int:
+    """Partitions that leave most shards one of their own. Shards are far smaller than the work on them, so by their size Spark would put several into a task."""
+    return 4 * n_shards
+
+
 def index(classes: DataFrame, n_shards: int, seed: int = 23) -> DataFrame:
     """A row per shard of ``classes(rep, members, v)``."""
 
@@ -232,14 +237,15 @@ def index(classes: DataFrame, n_shards: int, seed: int = 23) -> DataFrame:
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "ids": [rows["rep"].to_numpy()], "least": [rows["least"].to_numpy()], "vectors": [v.ravel()], "levels": [g.levels], "neighbours": [g.flat()], "entry": [g.entry]})
 
     shard = F.pmod(F.xxhash64(F.col("members")[0], "v", F.lit(seed)), F.lit(n_shards)).cast("int")
-    return write_and_reread(classes.select(shard.alias("shard"), "rep", F.col("members")[0].alias("least"), "v").groupBy("shard").applyInPandas(run, INDEX), "hnsw-index")
+    dealt = classes.select(shard.alias("shard"), "rep", F.col("members")[0].alias("least"), "v").repartition(_tasks(n_shards), "shard")
+    return write_and_reread(dealt.groupBy("shard").applyInPandas(run, INDEX), "hnsw-index")
 
 
 def search(indexed: DataFrame, queries: DataFrame, n_shards: int, n_queries: int, found_per_shard: int) -> DataFrame:
     """``query, rep, score`` of the nearest in every shard for ``queries(query, v)``."""
     blocks = max(1, math.ceil(n_queries / BLOCK))
     packed = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list("query").alias("queries"), F.flatten(F.collect_list("v")).alias("points"))
-    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).repartition(n_shards * blocks, "shard", "block")
+    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).repartition(_tasks(n_shards), "shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

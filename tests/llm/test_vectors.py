@@ -178,3 +178,18 @@ def test_walks_in_step_find_what_single_walks_find(monkeypatch):
     few = hnsw.build(x[:7], 23).search_all(points, 200)
     assert all(sorted(n for n in f if n >= 0) == list(range(7)) for f in few.tolist())
     assert hnsw.Graph(np.zeros((0, 24)), np.zeros(0, np.int32)).search_all(points, 9).shape == (len(points), 9)
+
+
+def test_shards_are_not_put_together_into_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SMALLEST", 40)
+    tasks, kept = [], hnsw.write_and_reread
+
+    def noted(df, name):
+        out = kept(df, name)
+        if name == "hnsw-index":
+            tasks.append((len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(hnsw, "write_and_reread", noted)
+    assert hnsw.nearest(frame(spark, sample(300, 8, 4)), F.col("id") % 50 == 0).count() > 0
+    assert tasks and all(2 * files > shards >= 8 for files, shards in tasks)
